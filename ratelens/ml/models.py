@@ -9,6 +9,7 @@ scalars come back to the driver.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LogisticRegression,
@@ -23,7 +24,7 @@ from ..constants import (CV_FOLDS, FEATURE_COLUMNS, LABEL_COLUMN,
                          RF_TREES)
 from ..functions.cleaning import require_columns
 from ..functions.flags import engineer_features
-from ..session import checkpoint_root
+from ..session import materialize
 from .metrics import average_precision, roc_auc
 from .split import stratified_folds
 
@@ -142,6 +143,7 @@ def compare_models(scored_by_name: Mapping[str, DataFrame]) -> DataFrame:
     frames = []
     first = None
     for name, scored in scored_by_name.items():
+        scored = materialize(scored)  # several metric passes read it
         first = scored if first is None else first
         auc = roc_auc(scored).select(F.lit(name).alias("model"), "roc_auc")
         ap = average_precision(scored)
@@ -165,22 +167,29 @@ def best_model(metrics: DataFrame, forest: str = "Random Forest",
 
 def cross_validate(frame: DataFrame, k: int = CV_FOLDS, features: Sequence[str] = FEATURE_COLUMNS,
                    label: str = LABEL_COLUMN, id_col: str = "encounter_id",
-                   trees: int = RF_TREES, max_depth: int = RF_MAX_DEPTH) -> DataFrame:
+                   trees: int = RF_TREES, max_depth: int = RF_MAX_DEPTH,
+                   parallelism: int = 4) -> DataFrame:
     """J-19: stratified k-fold ROC-AUC for both models, weights refit per fold.
 
     The fold-assigned frame is checkpointed to the shared checkpoint folder
     once, so the 2k fits read it without recomputing the hash assignment.
+    Up to ``parallelism`` fits are submitted at once (each fit is itself a
+    series of distributed jobs), as Spark's CrossValidator does.
     Returns (model, fold, roc_auc).
     """
     spark = frame.sparkSession
-    checkpoint_root(spark)
-    folds = stratified_folds(frame, label, id_col, k).checkpoint(eager=True)
-    rows = []
-    for f in range(k):
+    folds = materialize(stratified_folds(frame, label, id_col, k))
+    fitters = {"Logistic Regression": lambda t: fit_logistic(t, features, label),
+               "Random Forest": lambda t: fit_forest(t, features, label, trees, max_depth)}
+
+    def run(task: tuple[str, int]) -> tuple[str, int, float]:
+        name, f = task
         train = folds.filter(F.col("fold") != f)
         test = folds.filter(F.col("fold") == f)
-        for name, fit in (("Logistic Regression", lambda t: fit_logistic(t, features, label)),
-                          ("Random Forest", lambda t: fit_forest(t, features, label, trees, max_depth))):
-            auc = roc_auc(score(fit(train), test, id_col, label)).first()[0]
-            rows.append((name, f, float(auc)))
+        auc = roc_auc(score(fitters[name](train), test, id_col, label)).first()[0]
+        return name, f, float(auc)
+
+    tasks = [(name, f) for f in range(k) for name in fitters]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(run, tasks))
     return spark.createDataFrame(rows, "model string, fold int, roc_auc double")

@@ -36,6 +36,7 @@ from ..operators.rates import (event_rate, kpi_summary, medication_gap,
                                patient_fanout_rate, rate_vs_overall)
 from ..operators.reshape import kpi_long, pivot_rate, pivot_table
 from ..sources.fixture import encounters_raw
+from ..session import materialize
 from ..sources.readers import register_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -631,7 +632,7 @@ def j19f(spark, sf):
 
 
 def _train_test(spark, sf):
-    split = stratified_split(frame(spark, sf), LABEL_COLUMN, "encounter_id")
+    split = materialize(stratified_split(frame(spark, sf), LABEL_COLUMN, "encounter_id"))
     return split.filter("is_test = 0"), split.filter("is_test = 1")
 
 

@@ -64,3 +64,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if "://" in root:
         return root.rstrip("/") + "/ratelens/" + name
     return os.path.join(root, "ratelens", name)
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+
+    Used before iterative work (model fits, cross-validation) so repeated
+    passes read the written data instead of recomputing joins, and a lost
+    executor does not force a recompute from the base tables.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
