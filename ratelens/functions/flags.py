@@ -97,15 +97,16 @@ def engineer_features(df: DataFrame) -> DataFrame:
     One projection: Catalyst collapses the derived columns, nothing is copied.
     """
     require_columns(df, FEATURE_INPUTS, "engineer_features")
-    base = df.withColumns({
+    v1 = long_stay() + high_med_burden() + high_utilizer()
+    return df.withColumns({
         "readmitted_flag": event_flag(),
         "long_stay": long_stay(),
         "high_med_burden": high_med_burden(),
         "high_utilizer": high_utilizer(),
         "age_risk": age_risk(),
+        "risk_score": v1,
+        "risk_score_v2": v1 + age_risk(),
     })
-    base = base.withColumn("risk_score", risk_score_v1(base))
-    return base.withColumn("risk_score_v2", risk_score_v2(base))
 
 
 def high_risk(score: Column | None = None, cut: int = HIGH_RISK_SCORE) -> Column:

@@ -37,10 +37,24 @@ def score_groups(scored: DataFrame, label: str = "label", score: str = "score")
             .withColumn("fp", F.col("__n") - F.col("tp")).drop("__n"))
 
 
-def cumulative_by_score(groups: DataFrame, n_bins: int = 1024) -> DataFrame:
-    """Add inclusive cumulative ``ctp``/``cfp`` in descending score order."""
+def default_bins(spark) -> int:
+    """Bins for the ranking windows: a few per shuffle partition, so the
+    per-bin windows spread over the cluster whatever its size."""
+    return max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def cumulative_by_score(groups: DataFrame, n_bins: int | None = None,
+                        cuts_from: DataFrame | None = None) -> DataFrame:
+    """Add inclusive cumulative ``ctp``/``cfp`` in descending score order, and
+    the totals ``P`` (positives) and ``N`` (negatives) on every row.
+
+    ``cuts_from`` is the frame the quantile cut points are taken from (any
+    frame with a ``score`` column; the row-level scores need no shuffle).
+    """
+    n_bins = n_bins or default_bins(groups.sparkSession)
     probs = [i / n_bins for i in range(1, n_bins)]
-    cuts = sorted(set(groups.approxQuantile("score", probs, 1.0 / (4 * n_bins))))
+    src = groups if cuts_from is None else cuts_from
+    cuts = sorted(set(src.approxQuantile("score", probs, 1.0 / (4 * n_bins))))
     if cuts:
         splits = [float("-inf")] + cuts + [float("inf")]
         binned = Bucketizer(splits=splits, inputCol="score", outputCol="bin",
@@ -49,57 +63,64 @@ def cumulative_by_score(groups: DataFrame, n_bins: int = 1024) -> DataFrame:
         binned = groups.withColumn("bin", F.lit(0.0))
     totals = binned.groupBy("bin").agg(F.sum("tp").alias("btp"), F.sum("fp").alias("bfp"))
     above = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
+    # Windows over the bin totals only: at most n_bins + 1 rows.
     offsets = totals.select(
         "bin",
         F.coalesce(F.sum("btp").over(above), F.lit(0)).alias("otp"),
-        F.coalesce(F.sum("bfp").over(above), F.lit(0)).alias("ofp"))
+        F.coalesce(F.sum("bfp").over(above), F.lit(0)).alias("ofp"),
+        F.sum("btp").over(everything).alias("P"),
+        F.sum("bfp").over(everything).alias("N"))
     # offsets has at most n_bins + 1 rows by construction: safe to broadcast.
     run = (Window.partitionBy("bin").orderBy(F.col("score").desc())
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (binned.join(F.broadcast(offsets), "bin")
             .select("score", "tp", "fp",
                     (F.col("otp") + F.sum("tp").over(run)).alias("ctp"),
-                    (F.col("ofp") + F.sum("fp").over(run)).alias("cfp")))
+                    (F.col("ofp") + F.sum("fp").over(run)).alias("cfp"),
+                    "P", "N"))
+
+
+def _cumulative(scored: DataFrame, label: str, score: str, n_bins: int | None) -> DataFrame:
+    return cumulative_by_score(score_groups(scored, label, score), n_bins,
+                               cuts_from=scored.select(F.col(score).alias("score")))
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
-            n_bins: int = 1024) -> DataFrame:
+            n_bins: int | None = None) -> DataFrame:
     """J-8: one-row ROC-AUC (ties count one half)."""
-    cum = cumulative_by_score(score_groups(scored, label, score), n_bins)
+    cum = _cumulative(scored, label, score, n_bins)
     return cum.agg(
         (F.sum(F.col("fp").cast("double") * (2 * F.col("ctp") - F.col("tp")).cast("double"))
-         / (2.0 * F.sum("tp") * F.sum("fp"))).alias("roc_auc"))
+         / (2.0 * F.max("P") * F.max("N"))).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame, label: str = "label", score: str = "score",
-                      n_bins: int = 1024) -> DataFrame:
+                      n_bins: int | None = None) -> DataFrame:
     """J-9: average precision, sum over thresholds of precision x recall step."""
-    cum = cumulative_by_score(score_groups(scored, label, score), n_bins)
+    cum = _cumulative(scored, label, score, n_bins)
     return cum.agg(F.round(
         F.sum(F.col("tp") * (F.col("ctp") / (F.col("ctp") + F.col("cfp"))))
-        / F.sum("tp"), METRIC_DIGITS).alias("average_precision"))
+        / F.max("P"), METRIC_DIGITS).alias("average_precision"))
 
 
 def roc_curve(scored: DataFrame, label: str = "label", score: str = "score",
-              n_bins: int = 1024) -> DataFrame:
+              n_bins: int | None = None) -> DataFrame:
     """J-10: (threshold, fpr, tpr) at every distinct score."""
-    cum = cumulative_by_score(score_groups(scored, label, score), n_bins)
-    p = cum.select(F.sum("tp")).scalar()
-    n = cum.select(F.sum("fp")).scalar()
+    cum = _cumulative(scored, label, score, n_bins)
     return (cum.select(F.col("score").alias("threshold"),
-                       (F.col("cfp") / n).alias("fpr"),
-                       (F.col("ctp") / p).alias("tpr"))
+                       (F.col("cfp") / F.col("N")).alias("fpr"),
+                       (F.col("ctp") / F.col("P")).alias("tpr"))
             .orderBy(F.col("threshold").desc()))
 
 
 def pr_curve(scored: DataFrame, label: str = "label", score: str = "score",
-             n_bins: int = 1024) -> DataFrame:
+             n_bins: int | None = None) -> DataFrame:
     """J-11: (threshold, precision, recall) at every distinct score."""
-    cum = cumulative_by_score(score_groups(scored, label, score), n_bins)
-    p = cum.select(F.sum("tp")).scalar()
+    cum = _cumulative(scored, label, score, n_bins)
     return (cum.select(F.col("score").alias("threshold"),
                        (F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("precision"),
-                       (F.col("ctp") / p).alias("recall"))
+                       (F.col("ctp") / F.col("P")).alias("recall"))
             .orderBy(F.col("threshold").desc()))
 
 
@@ -150,10 +171,11 @@ def threshold_sweep(scored: DataFrame, grid: Sequence[float] | None = None,
                   .agg(F.sum(F.col(label).cast("long")).alias("pos"),
                        F.count(F.lit(1)).alias("n")))
     spark = scored.sparkSession
-    # Every bucket 0..len(grid) as rows, so empty buckets count as zero.
-    buckets = spark.createDataFrame(
-        [(i, float(grid[i - 1]) if i > 0 else None) for i in range(len(grid) + 1)],
-        "bucket int, threshold double")
+    # Every bucket 0..len(grid) as rows (built JVM-side), so empty buckets count as zero.
+    cells = [F.struct(F.lit(i).alias("bucket"),
+                      F.lit(float(grid[i - 1]) if i > 0 else None).cast("double").alias("threshold"))
+             for i in range(len(grid) + 1)]
+    buckets = spark.range(1).select(F.inline(F.array(*cells)))
     # Both sides hold at most len(grid) + 1 rows.
     filled = (F.broadcast(buckets).join(per_bucket, "bucket", "left")
               .select("bucket", "threshold",
@@ -163,10 +185,10 @@ def threshold_sweep(scored: DataFrame, grid: Sequence[float] | None = None,
         Window.unboundedPreceding, Window.currentRow)
     at_or_above = (filled.select("bucket", "threshold",
                                  F.sum("pos").over(down).alias("tp"),
-                                 F.sum("neg").over(down).alias("fp"))
+                                 F.sum("neg").over(down).alias("fp"),
+                                 F.sum("pos").over(Window.partitionBy()).alias("P"))
                    .filter(F.col("bucket") > 0))
-    totals = per_bucket.agg(F.sum("pos").alias("P"))
-    p_all = totals.scalar()
+    p_all = F.col("P")
     prec = _safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
     rec = _safe_div(F.col("tp"), p_all)
     return (at_or_above

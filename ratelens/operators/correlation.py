@@ -22,18 +22,25 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | Mapping[str, Colu
     else:
         exprs = {c: F.col(c) for c in columns}
     names = list(exprs)
-    cells = []
+    # One coefficient per unordered pair (the matrix is symmetric).
+    pair_aggs = []
     for i, x in enumerate(names):
-        for j, y in enumerate(names):
+        for j in range(i, len(names)):
+            y = names[j]
             both = exprs[x].isNotNull() & exprs[y].isNotNull()
             xv = F.when(both, exprs[x].cast("double"))
             yv = F.when(both, exprs[y].cast("double"))
             r = F.try_divide(F.covar_pop(xv, yv), F.stddev_pop(xv) * F.stddev_pop(yv))
+            pair_aggs.append(r.alias(f"r_{i}_{j}"))
+    cells = []
+    for i, x in enumerate(names):
+        for j, y in enumerate(names):
+            r = F.col(f"r_{min(i, j)}_{max(i, j)}")
             if digits is not None:
                 r = F.round(r, digits)
             r = F.when(r == 0, F.lit(0.0)).otherwise(r)
             cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
                                   F.lit(x).alias("var_x"), F.lit(y).alias("var_y"),
                                   r.alias("r")))
-    return (df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    return (df.agg(*pair_aggs).select(F.inline(F.array(*cells)))
             .orderBy("i", "j").drop("i", "j"))

@@ -60,8 +60,37 @@ def _cyclic_status(eid: Column, modulus: int) -> Column:
             .otherwise("No"))
 
 
+STORED_TABLE = "encounters_raw.parquet"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def encounters_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw encounter rows (strings with ``?`` kept), one per order."""
+    """Raw encounter rows (strings with ``?`` kept), one per order.
+
+    A folder that already holds a written ``encounters_raw.parquet`` table
+    (see ``store_encounters``) is read directly; otherwise the rows are
+    derived from the driver tables in that folder.
+    """
+    stored = f"{sf_dir.rstrip('/')}/{STORED_TABLE}"
+    if _exists(spark, stored):
+        return spark.read.parquet(stored)
+    return derive_encounters(spark, sf_dir)
+
+
+def store_encounters(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
+    """Derive the encounter rows once and write them to ``out_dir`` (the
+    load step: later queries read the written table)."""
+    path = f"{out_dir.rstrip('/')}/{STORED_TABLE}"
+    derive_encounters(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return path
+
+
+def derive_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encounter rows computed from orders, customer, nation, region, lineitem."""
     lines = (read_table(spark, sf_dir, "lineitem")
              .groupBy("l_orderkey")
              .agg(F.count(F.lit(1)).cast("int").alias("n_lines"),
