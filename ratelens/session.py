@@ -73,5 +73,11 @@ def materialize(df):
     passes read the written data instead of recomputing joins, and a lost
     executor does not force a recompute from the base tables.
     """
-    checkpoint_root(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    # Small inputs can arrive in fewer partitions than there are cores; give
+    # the iterative work at least one partition per core (no-op at scale).
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     return df.checkpoint(eager=True)
