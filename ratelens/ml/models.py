@@ -16,7 +16,7 @@ from pyspark.ml.classification import (LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import (CV_FOLDS, FEATURE_COLUMNS, LABEL_COLUMN,
@@ -160,6 +160,16 @@ def compare_models(scored_by_name: Mapping[str, DataFrame]) -> DataFrame:
     return out.unionByName(baseline)
 
 
+def with_best_flag(metrics: DataFrame, forest: str = "Random Forest",
+                   logistic: str = "Logistic Regression") -> DataFrame:
+    """J-15 as a column: ``best`` marks the model with the higher ROC-AUC
+    among the two (the forest wins ties); the metrics table has 3 rows."""
+    auc = {m: F.max(F.when(F.col("model") == m, F.col("roc_auc"))).over(Window.partitionBy())
+           for m in (forest, logistic)}
+    winner = F.when(auc[forest] >= auc[logistic], F.lit(forest)).otherwise(F.lit(logistic))
+    return metrics.withColumn("best", F.col("model") == winner)
+
+
 def best_model(metrics: DataFrame, forest: str = "Random Forest",
                logistic: str = "Logistic Regression") -> str:
     """J-15: the forest wins ties on ROC-AUC."""

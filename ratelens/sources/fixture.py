@@ -64,8 +64,11 @@ STORED_TABLE = "encounters_raw.parquet"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    try:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    except Exception:  # no JVM gateway (e.g. a remote session): derive instead
+        return False
 
 
 def encounters_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
