@@ -26,7 +26,7 @@ def _cut_positions(n: Column, fractions: list[float]) -> Column:
 
 
 def assign_parts(df: DataFrame, label: str, id_col: str, fractions: list[float],
-                 seed: int = RANDOM_STATE, out: str = "part", bits: int = 12) -> DataFrame:
+                 seed: int = RANDOM_STATE, out: str = "part", bits: int = 16) -> DataFrame:
     """Add ``out`` = index of the part (0 .. len(fractions)) of each row.
 
     ``fractions`` are cumulative cut points in (0, 1), e.g. ``[0.2]`` for a
@@ -47,7 +47,9 @@ def assign_parts(df: DataFrame, label: str, id_col: str, fractions: list[float],
     last_part = F.size(F.filter("__cuts", lambda c: c <= F.col("__start") + F.col("__cnt") - 1))
     table = table.select(label, "__bin", "__start", "__cuts",
                          first_part.alias("__p0"), last_part.alias("__p1"))
-    # At most (number of classes) x 2**bits rows: bounded, broadcast.
+    # At most (number of classes) x 2**bits rows (about 131k for two classes
+    # and 16 bits, a few MB): bounded, broadcast. Straddling bins hold about
+    # n_class / 2**bits rows each, the only rows that are ranked.
     joined = keyed.join(F.broadcast(table), [label, "__bin"])
     inside = (joined.filter(F.col("__p0") == F.col("__p1"))
               .withColumn(out, F.col("__p0")))

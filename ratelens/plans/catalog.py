@@ -300,6 +300,11 @@ def g01(spark, sf):
     return event_rate(enc(spark, sf), ["age"], order="desc", drop_null_keys=True)
 
 
+@query("g01_rate_by_age_ascending")
+def g01b(spark, sf):
+    return event_rate(enc(spark, sf), ["age"], order="asc", drop_null_keys=True)
+
+
 @query("g02_rate_by_los")
 def g02(spark, sf):
     return event_rate(enc(spark, sf), ["time_in_hospital"], drop_null_keys=True)

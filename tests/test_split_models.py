@@ -13,7 +13,7 @@ def _frame(spark, n=2000):
 
 def test_split_exact_quota_disjoint_deterministic(spark):
     df = _frame(spark)
-    for bits in (12, 2):  # 2 bits forces straddling bins
+    for bits in (16, 2):  # 2 bits forces straddling bins
         out = assign_parts(df, "y", "encounter_id", [0.2], out="p", bits=bits)
         counts = {(r.y, r.p): r["count"] for r in out.groupBy("y", "p").count().collect()}
         n1 = 2000 // 7 + 1
@@ -26,7 +26,7 @@ def test_split_exact_quota_disjoint_deterministic(spark):
 
 def test_split_bins_agree(spark):
     df = _frame(spark)
-    fine = assign_parts(df, "y", "encounter_id", [0.2], out="p", bits=12)
+    fine = assign_parts(df, "y", "encounter_id", [0.2], out="p", bits=16)
     coarse = assign_parts(df, "y", "encounter_id", [0.2], out="p", bits=2)
     assert fine.exceptAll(coarse).count() == 0
 
