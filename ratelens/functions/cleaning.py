@@ -30,13 +30,21 @@ def sentinel_to_null(col: Column, tokens: Sequence[str] = MISSING_TOKENS) -> Col
     return F.when(col.isin(*tokens), F.lit(None)).otherwise(col)
 
 
-def numeric(col: Column) -> Column:
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType)
+
+
+def numeric(col: Column, data_type: T.DataType | None = None) -> Column:
     """Count-like value as int; text that is not a whole number becomes NULL (C-2).
 
     ``try_cast`` to double first so that '3.0' is accepted, then int only for
     whole values. Under ANSI mode a plain cast of '?' would fail the job.
+    A column that is already an integer type is returned as int without
+    any conversion, so filters on it still reach the Parquet scan.
     """
-    d = col.cast("string").try_cast("double")
+    if isinstance(data_type, _INTEGRAL):
+        return col if isinstance(data_type, T.IntegerType) else col.cast("int")
+    d = col.try_cast("double") if isinstance(data_type, T.StringType) else \
+        col.cast("string").try_cast("double")
     return F.when(d == F.floor(d), d.cast("int"))
 
 
@@ -58,10 +66,12 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS,
     ``{"number_diagnoses": "num_diagnoses"}``.
     """
     require_columns(df, list(columns) + list((rename or {}).keys()), "coerce_numeric")
-    out = df.select(*[numeric(F.col(c)).alias(c) if c in columns else F.col(c)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    out = df.select(*[numeric(F.col(c), types[c]).alias(c) if c in columns else F.col(c)
                       for c in df.columns])
     if rename:
-        out = out.withColumns({new: numeric(F.col(old)) for old, new in rename.items()})
+        out = out.withColumns({new: numeric(F.col(old), types[old])
+                               for old, new in rename.items()})
     return out
 
 
@@ -69,14 +79,13 @@ def clean_encounters(raw: DataFrame, tokens: Sequence[str] = MISSING_TOKENS,
                      numeric_columns: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
     """Sentinel to NULL and numeric coercion in a single projection (A-2)."""
     require_columns(raw, numeric_columns, "clean_encounters")
-    string_cols = {f.name for f in raw.schema.fields
-                   if isinstance(f.dataType, T.StringType)}
+    types = {f.name: f.dataType for f in raw.schema.fields}
     exprs = []
     for c in raw.columns:
         e = F.col(c)
-        if c in string_cols:
-            e = sentinel_to_null(e, tokens)
         if c in numeric_columns:
-            e = numeric(e)
+            e = numeric(e, types[c])  # a token such as '?' fails the parse -> NULL
+        elif isinstance(types[c], T.StringType):
+            e = sentinel_to_null(e, tokens)
         exprs.append(e.alias(c))
     return raw.select(*exprs)
