@@ -75,3 +75,44 @@ def test_medication_gap(spark):
     got = {r.los: r for r in R.medication_gap(df).collect()}
     assert set(got) == {2, 3}
     assert got[2].gap == 50.0 and got[3].low_meds_pct == 100.0 and got[3].high_meds_pct is None
+
+
+def test_hot_patient_fanout_matches_brute_force(spark):
+    """One patient holds a third of all encounters and several age rows."""
+    rows = []
+    for i in range(900):
+        pid = 1 if i % 3 == 0 else 100 + i
+        rows.append((i, pid, "<30" if i % 7 == 0 else "NO", i % 5 + 1))
+    enc = spark.createDataFrame(rows, "encounter_id long, patient_nbr long, readmitted string, "
+                                      "num_medications int")
+    dim = spark.createDataFrame(
+        [(1, "[70-80)", "Male"), (1, "[80-90)", "Male"), (1, "[80-90)", "Female")]
+        + [(100 + i, "[50-60)", "Female") for i in range(900) if i % 3 != 0],
+        "patient_nbr long, age string, gender string")
+    fast = {r.age: r for r in R.patient_fanout_rate(
+        enc, dim, "age", measures={"avg_meds": "num_medications"}, order=None).collect()}
+    brute = {r.age: r for r in enc.join(dim, "patient_nbr").groupBy("age").agg(
+        F.avg("num_medications").alias("avg_meds"),
+        F.avg(F.when(F.col("readmitted") == "<30", 1).otherwise(0)).alias("readmission_rate"),
+        F.count(F.lit(1)).alias("patient_count")).collect()}
+    assert fast.keys() == brute.keys()
+    for k in brute:
+        assert tuple(fast[k]) == tuple(brute[k][c] for c in fast[k].__fields__)
+    assert fast["[80-90)"].patient_count == 600  # 300 encounters x 2 patient rows
+
+
+def test_hot_score_in_ranking_metrics(spark):
+    """A third of the rows share one score; ties stay exact across bins."""
+    from ratelens.ml import metrics as M
+    rows = [(i, 1 if i % 4 == 0 else 0, 0.5 if i % 3 == 0 else (i % 97) / 97.0)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, label int, score double")
+    pos = [s for _, l, s in rows if l == 1]
+    neg = [s for _, l, s in rows if l == 0]
+    import bisect
+    neg_sorted = sorted(neg)
+    u = sum(bisect.bisect_left(neg_sorted, p) + 0.5 * (bisect.bisect_right(neg_sorted, p)
+                                                      - bisect.bisect_left(neg_sorted, p))
+            for p in pos)
+    auc = M.roc_auc(df, n_bins=8).first()[0]
+    assert abs(auc - u / (len(pos) * len(neg))) < 1e-12
