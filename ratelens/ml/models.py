@@ -191,7 +191,7 @@ def cross_validate(frame: DataFrame, k: int = CV_FOLDS, features: Sequence[str]
     Returns (model, fold, roc_auc).
     """
     spark = frame.sparkSession
-    folds = materialize(stratified_folds(frame, label, id_col, k))
+    folds = materialize(stratified_folds(materialize(frame), label, id_col, k))
     fitters = {"Logistic Regression": lambda t: fit_logistic(t, features, label),
                "Random Forest": lambda t: fit_forest(t, features, label, trees, max_depth)}
 

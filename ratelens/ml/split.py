@@ -31,6 +31,10 @@ def assign_parts(df: DataFrame, label: str, id_col: str, fractions: list[float],
 
     ``fractions`` are cumulative cut points in (0, 1), e.g. ``[0.2]`` for a
     20 % first part, or ``[0.2, 0.4, 0.6, 0.8]`` for five folds.
+
+    The input is read three times (bin counts, whole bins, straddling bins);
+    pass a written or checkpointed frame (``session.materialize``) when it is
+    expensive to recompute.
     """
     h = F.xxhash64(F.col(id_col), F.lit(seed))
     keyed = df.withColumns({

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import HIGH_MEDS_CUT, MAX_LOS_DAY, MEDS_HIGH, MEDS_LOW
@@ -85,19 +85,30 @@ def known(df: DataFrame, col: str) -> DataFrame:
     return df.filter(F.col(col).isNotNull() & (F.col(col) != "?"))
 
 
-def patient_fanout_rate(enc: DataFrame, dim: DataFrame, key: str = "age", *,
+def patient_fanout_rate(enc: DataFrame, dim: DataFrame | None = None, key: str = "age", *,
                         measures: Mapping[str, str] = (), count_name: str | None = "patient_count",
                         rate_name: str = RATE, order: str | None = "desc",
-                        limit: int | None = None) -> DataFrame:
+                        limit: int | None = None,
+                        dim_columns: Sequence[str] = ("patient_nbr", "age", "gender")) -> DataFrame:
     """G-11 / G-13: rate by a patient-table column through the fan-out join.
 
     Same numbers as ``encounters JOIN patient_table USING (patient_nbr)``
-    grouped by ``dim.key``, where each encounter counts once per matching
-    (patient, age, gender) row. Instead of materialising that many-to-many
-    join, encounters are first reduced to one row per patient (sums and
-    counts), joined to the distinct patient rows, and the sums are added per
-    key. A patient with a huge number of encounters becomes one row before
-    any shuffle, and the join emits at most one row per patient-table row.
+    grouped by ``patient_table.key``, where each encounter counts once per
+    matching (patient, age, gender) row; the many-to-many join is never
+    materialised.
+
+    * ``dim`` given (a separate patient table): encounters are reduced to one
+      row per patient (sums and counts), joined to the patient rows, and the
+      sums are added per key.
+    * ``dim`` None (the patient table is the distinct ``dim_columns`` of the
+      same rows, as in the analysed project): one pass. Rows are grouped by
+      (patient, age, gender), which gives the patient-table rows themselves;
+      patient totals come from a window partitioned by patient over that
+      aggregate (at most ages x genders rows per patient), then the totals are
+      added per key. No join, and the source is read once.
+
+    Either way a patient with a huge number of encounters is combined map-side
+    into one row before any shuffle.
     """
     measures = dict(measures)
     require_columns(enc, ["patient_nbr", "readmitted"] + list(measures.values()),
@@ -105,8 +116,15 @@ def patient_fanout_rate(enc: DataFrame, dim: DataFrame, key: str = "age", *,
     sums = [F.sum(event_flag()).alias("__ev"), F.count(F.lit(1)).alias("__n")]
     for name, col in measures.items():
         sums += [F.sum(col).alias(f"__s_{name}"), F.count(col).alias(f"__c_{name}")]
-    per_patient = enc.groupBy("patient_nbr").agg(*sums)
-    joined = dim.select("patient_nbr", key).join(per_patient, "patient_nbr")
+    sum_cols = ["__ev", "__n"] + [x for name in measures for x in (f"__s_{name}", f"__c_{name}")]
+    if dim is None:
+        require_columns(enc, dim_columns, "patient_fanout_rate")
+        per_row = enc.groupBy(*dim_columns).agg(*sums)
+        patient = Window.partitionBy("patient_nbr")
+        joined = per_row.select(key, *[F.sum(c).over(patient).alias(c) for c in sum_cols])
+    else:
+        per_patient = enc.groupBy("patient_nbr").agg(*sums)
+        joined = dim.select("patient_nbr", key).join(per_patient, "patient_nbr")
     aggs = [(F.sum(f"__s_{name}") / F.sum(f"__c_{name}")).alias(name) for name in measures]
     aggs.append((F.sum("__ev") / F.sum("__n")).alias(rate_name))
     if count_name:

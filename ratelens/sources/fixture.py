@@ -10,7 +10,7 @@ test checks that both give identical rows.
 Plan shape (what scales): lineitem is aggregated per order (partial
 aggregation map-side, one shuffle on ``l_orderkey``), orders are joined to that
 aggregate on the same key, then joined to customer on ``custkey``. Only the
-25-row nation x region lookup is broadcast, behind a row-count check;
+nation and region lookups are broadcast, each behind a row-count check;
 customer and orders use shuffle joins unless AQE finds them small at runtime,
 and AQE's skew-join split covers a hot customer.
 """
@@ -102,7 +102,7 @@ def derive_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
                   _open_lines("A").alias("n_inp"),
                   _open_lines("N").alias("n_emg")))
     geo = (read_table(spark, sf_dir, "nation")
-           .join(read_table(spark, sf_dir, "region"),
+           .join(checked_broadcast(read_table(spark, sf_dir, "region"), 10_000),
                  F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "r_name"))
     cust = (read_table(spark, sf_dir, "customer")

@@ -116,3 +116,23 @@ def test_hot_score_in_ranking_metrics(spark):
             for p in pos)
     auc = M.roc_auc(df, n_bins=8).first()[0]
     assert abs(auc - u / (len(pos) * len(neg))) < 1e-12
+
+
+def test_single_pass_fanout_equals_join_form(spark):
+    """dim=None (patient table = distinct rows of the same frame) gives the same
+    numbers as the explicit join, including a hot patient with several ages."""
+    rows = []
+    for i in range(600):
+        pid = 7 if i % 3 == 0 else 1000 + i % 50
+        age = ["[70-80)", "[80-90)", "[50-60)"][i % 3 if pid == 7 else i % 2]
+        rows.append((i, pid, age, "Male" if i % 5 else "Female",
+                     "<30" if i % 4 == 0 else "NO", i % 9))
+    enc = spark.createDataFrame(rows, "encounter_id long, patient_nbr long, age string, "
+                                      "gender string, readmitted string, num_medications int")
+    one = R.patient_fanout_rate(enc, None, "age", measures={"avg_meds": "num_medications"},
+                                order=None)
+    two = R.patient_fanout_rate(enc, T.patient_dim(enc), "age",
+                                measures={"avg_meds": "num_medications"}, order=None)
+    assert sorted(tuple(r) for r in one.collect()) == sorted(tuple(r) for r in two.collect())
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
