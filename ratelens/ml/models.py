@@ -25,7 +25,8 @@ from ..constants import (CV_FOLDS, FEATURE_COLUMNS, LABEL_COLUMN,
 from ..functions.cleaning import require_columns
 from ..functions.flags import engineer_features
 from ..session import materialize
-from .metrics import average_precision, roc_auc
+from .metrics import (average_precision, classification_report, confusion, roc_auc,
+                      threshold_sweep)
 from .split import stratified_folds
 
 RF_MAX_DEPTH = 15  # unlimited depth is not available; Spark allows at most 30
@@ -178,6 +179,23 @@ def best_model(metrics: DataFrame, forest: str = "Random Forest",
     return forest if vals[forest] >= vals[logistic] else logistic
 
 
+def evaluate_best(train: DataFrame, test: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
+                  label: str = LABEL_COLUMN, id_col: str = "encounter_id",
+                  threshold: float = 0.5) -> dict[str, DataFrame]:
+    """Fit both models, compare them on ``test`` and evaluate the better one
+    (J-12, J-15 .. J-18): returns ``comparison``, ``best_scored``,
+    ``confusion``, ``sweep`` and ``report`` DataFrames."""
+    scored = {"Logistic Regression": materialize(score(fit_logistic(train, features, label),
+                                                       test, id_col, label)),
+              "Random Forest": materialize(score(fit_forest(train, features, label),
+                                                 test, id_col, label))}
+    comparison = with_best_flag(compare_models(scored))
+    best = scored[best_model(comparison)]
+    return {"comparison": comparison, "best_scored": best,
+            "confusion": confusion(best, threshold), "sweep": threshold_sweep(best),
+            "report": classification_report(best, threshold)}
+
+
 def cross_validate(frame: DataFrame, k: int = CV_FOLDS, features: Sequence[str] = FEATURE_COLUMNS,
                    label: str = LABEL_COLUMN, id_col: str = "encounter_id",
                    trees: int = RF_TREES, max_depth: int = RF_MAX_DEPTH,

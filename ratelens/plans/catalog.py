@@ -672,3 +672,9 @@ def j12(spark, sf):
 @query("j20_cv_summary", model=True)
 def j20(spark, sf):
     return M.cv_summary(ML.cross_validate(frame(spark, sf)))
+
+
+@query("j18_best_model_report", model=True)
+def j18b(spark, sf):
+    train, test = _train_test(spark, sf)
+    return ML.evaluate_best(train, test)["report"]

@@ -62,3 +62,17 @@ def test_models_fit_small(spark):
     assert scored.columns == ["id", "label", "score"]
     assert scored.filter((F.col("score") < 0) | (F.col("score") > 1)).count() == 0
     mf.unpersist()
+
+
+def test_evaluate_best_flow(spark):
+    split = stratified_split(frame(spark, SF_SMALL), "readmitted_flag", "encounter_id").cache()
+    out = ML.evaluate_best(split.filter("is_test = 0"), split.filter("is_test = 1"))
+    comp = out["comparison"].collect()
+    assert [r.model for r in comp][-1] == "Baseline (random)"
+    assert sum(r.best for r in comp) == 1
+    n_test = split.filter("is_test = 1").count()
+    assert sum(r.n for r in out["confusion"].collect()) == n_test
+    assert len(out["sweep"].collect()) == 16
+    rep = {r["class"]: r for r in out["report"].collect()}
+    assert rep["accuracy"].support == n_test
+    split.unpersist()
