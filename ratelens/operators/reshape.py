@@ -44,7 +44,8 @@ def pivot_table(long: DataFrame, index: str, columns: str, value: str,
     The input is an aggregate (a few rows per index value), so the pivot's
     own aggregation is tiny.
     """
-    wide = long.groupBy(index).pivot(columns, list(values)).agg(F.first(value))
+    # one row per (index, column) in the input; max() keeps that value deterministically
+    wide = long.groupBy(index).pivot(columns, list(values)).agg(F.max(value))
     if row_domain is not None:
         pos = bracket_order(F.col(index), row_domain)
         wide = wide.filter(pos.isNotNull()).orderBy(pos)

@@ -10,7 +10,6 @@ tables (for example tables written bucketed on ``encounter_id`` by
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..constants import VISIT_COLUMNS_2
 from ..functions.flags import (event_flag, high_med_burden, high_utilizer,

@@ -17,7 +17,7 @@ from ..constants import (FEATURE_COLUMNS, LABEL_COLUMN, LOS_ORDER, MAX_LOS_DAY,
                          MED_GROUPS, MEDICATIONS, RISK_GROUPS, RISK_HIGH,
                          RISK_STANDARD, VISIT_COLUMNS_2, WEIGHT_ORDER, AGE_ORDER)
 from ..functions.cleaning import clean_encounters, coerce_numeric
-from ..functions.flags import (age_risk, bracket_order, engineer_features,
+from ..functions.flags import (bracket_order, engineer_features,
                                event_flag, high_med_burden, high_meds,
                                high_risk, high_utilizer, long_stay,
                                los_category, med_group, risk_group,

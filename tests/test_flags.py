@@ -1,6 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
-
 from ratelens.functions import flags as D
 from ratelens.functions.cleaning import clean_encounters, require_columns
 
