@@ -80,3 +80,20 @@ def register_views(tables: dict[str, DataFrame]) -> None:
     """A-8: expose frames to ``spark.sql`` under the given names."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
+
+
+def register_encounter_tables(encounters: DataFrame, prefix: str = "") -> list[str]:
+    """A-8: register the four tables of the SQL analysis as temp views.
+
+    ``patients`` (all columns), ``patient_table`` (distinct patient, age,
+    gender), ``encounters`` and ``utilization``, so existing SQL text can run
+    through ``spark.sql``. Averages of ``CASE ... THEN 1.0`` become
+    decimal(p, 5) in Spark; write ``1`` or ``1.0D`` for full precision.
+    """
+    from ..operators.tables import encounter_fact, patient_dim, utilization_fact
+    views = {f"{prefix}patients": encounters,
+             f"{prefix}patient_table": patient_dim(encounters),
+             f"{prefix}encounters": encounter_fact(encounters),
+             f"{prefix}utilization": utilization_fact(encounters)}
+    register_views(views)
+    return list(views)
