@@ -68,9 +68,18 @@ def assign_parts(df: DataFrame, label: str, id_col: str, fractions: list[float],
 
 def stratified_split(df: DataFrame, label: str, id_col: str,
                      test_fraction: float = TEST_FRACTION,
-                     seed: int = RANDOM_STATE) -> DataFrame:
+                     seed: int = RANDOM_STATE, group_col: str | None = None) -> DataFrame:
     """J-2: add ``is_test`` (0/1) with exactly round(test_fraction * n) test
-    rows in each class."""
+    rows in each class.
+
+    ``group_col`` (e.g. ``patient_nbr``) keeps every group in one part, so no
+    patient is in both train and test. Then the split is by a seeded hash of
+    the group (no shuffle at all) and the test share is close to, not
+    exactly, ``test_fraction``; class proportions are not forced.
+    """
+    if group_col is not None:
+        u = F.pmod(F.xxhash64(F.col(group_col), F.lit(seed)), F.lit(1_000_000))
+        return df.withColumn("is_test", (u < int(round(test_fraction * 1_000_000))).cast("int"))
     parts = assign_parts(df, label, id_col, [test_fraction], seed, "__part")
     return parts.withColumn("is_test", (F.col("__part") == 0).cast("int")).drop("__part")
 

@@ -76,3 +76,14 @@ def test_evaluate_best_flow(spark):
     rep = {r["class"]: r for r in out["report"].collect()}
     assert rep["accuracy"].support == n_test
     split.unpersist()
+
+
+def test_group_split_keeps_groups_whole(spark):
+    df = spark.range(20000).select(F.col("id").alias("encounter_id"),
+                                   (F.col("id") % 997).alias("patient_nbr"),
+                                   (F.col("id") % 7 == 0).cast("int").alias("y"))
+    out = stratified_split(df, "y", "encounter_id", group_col="patient_nbr")
+    mixed = out.groupBy("patient_nbr").agg(F.countDistinct("is_test").alias("k")).filter("k > 1")
+    assert mixed.count() == 0
+    share = out.agg(F.avg("is_test")).first()[0]
+    assert 0.15 < share < 0.25
