@@ -202,8 +202,8 @@ def cross_validate(frame: DataFrame, k: int = CV_FOLDS, features: Sequence[str]
                    parallelism: int = 4) -> DataFrame:
     """J-19: stratified k-fold ROC-AUC for both models, weights refit per fold.
 
-    The fold-assigned frame is checkpointed to the shared checkpoint folder
-    once, so the 2k fits read it without recomputing the hash assignment.
+    The fold-assigned frame is written once to the shared checkpoint folder
+    (``materialize``), so the 2k fits read it without recomputing anything.
     Up to ``parallelism`` fits are submitted at once (each fit is itself a
     series of distributed jobs), as Spark's CrossValidator does.
     Returns (model, fold, roc_auc).
