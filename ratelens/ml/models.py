@@ -47,9 +47,9 @@ def class_counts(df: DataFrame, label: str = LABEL_COLUMN) -> dict[int, int]:
 
 
 def balanced_weights(df: DataFrame, label: str = LABEL_COLUMN,
-                     out: str = "weight") -> DataFrame:
+                     out: str = "weight", counts: dict[int, int] | None = None) -> DataFrame:
     """J-3: weight n / (classes * n_class) per row, so weights sum to n."""
-    counts = class_counts(df, label)
+    counts = class_counts(df, label) if counts is None else counts
     n, k = sum(counts.values()), len(counts)
     w = None
     for cls, cnt in counts.items():
@@ -103,8 +103,9 @@ def forest_model(features: Sequence[str] = FEATURE_COLUMNS, label: str = LABEL_C
 
 def fit_logistic(train: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
                  label: str = LABEL_COLUMN) -> PipelineModel:
-    weighted = balanced_weights(train, label)
-    return logistic_model(features, label, n_train=weighted.count()).fit(weighted)
+    counts = class_counts(train, label)  # one small aggregate gives n as well
+    weighted = balanced_weights(train, label, counts=counts)
+    return logistic_model(features, label, n_train=sum(counts.values())).fit(weighted)
 
 
 def fit_forest(train: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
