@@ -22,7 +22,7 @@ from ..functions.flags import (bracket_order, engineer_features,
                                high_risk, high_utilizer, long_stay,
                                los_category, med_group, risk_group,
                                sql_risk_score)
-from ..functions.formatting import rate_band
+from ..functions.formatting import rate_band, sign_band
 from ..ml import metrics as M
 from ..ml import models as ML
 from ..ml.split import split_summary, stratified_folds, stratified_split
@@ -200,6 +200,11 @@ def c13(spark, sf):
     return g27(spark, sf).withColumn("band", rate_band(F.col("readmission_pct")))
 
 
+@query("c13_medication_diff_direction")
+def c13b(spark, sf):
+    return g30(spark, sf).withColumn("direction", sign_band(F.col("diff")))
+
+
 @query("c14_kpi_formatted")
 def c14(spark, sf):
     return kpi_long(kpi_summary(enc(spark, sf)), formatted=True)
