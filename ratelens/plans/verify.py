@@ -4,12 +4,14 @@ Usage: ``python -m ratelens.plans.verify [sf_dir] [name ...]``
 
 Comparison: same column names (sorted), same row count, and the same
 multiset of rows after normalising values (floats to 10 significant
-digits, -0.0 to 0.0, NaN to None).
+digits, -0.0 to 0.0, NaN to None). With RATELENS_STRICT=1 floats must be
+bit-identical.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -35,6 +37,8 @@ def _norm(v):
             return None
         if v == 0:
             return 0.0
+        if os.environ.get("RATELENS_STRICT"):  # exact binary value
+            return v
         return float(f"{v:.10g}")
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
