@@ -6,6 +6,9 @@ from the driver tables and writes it under the session's checkpoint folder
 (the analysed project likewise loads its CSV into a database first); every
 other timing is one query over that written table, collected in full.
 
+Set BENCH_EVENT_LOG to a folder to also write Spark's event log there
+(stage and task times, read offline; no UI or server is started).
+
 Before timing, one untimed load runs on the smallest scale factor in a
 different folder (JVM and code-generation warm-up; no data or result of the
 timed run is shared with it).
@@ -40,8 +43,11 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
-                        extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    if os.environ.get("BENCH_EVENT_LOG"):
+        extra.update({"spark.eventLog.enabled": "true",
+                      "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), extra=extra)
     times: dict[str, float] = {}
     warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm_dir) and os.path.abspath(warm_dir) != os.path.abspath(sf_dir):
