@@ -80,11 +80,6 @@ def event_rate(df: DataFrame, keys: Sequence[KeyLike], event: Column | None = No
     return out
 
 
-def known(df: DataFrame, col: str) -> DataFrame:
-    """C-5: keep rows whose category is known (not NULL and not '?')."""
-    return df.filter(F.col(col).isNotNull() & (F.col(col) != "?"))
-
-
 def patient_fanout_rate(enc: DataFrame, dim: DataFrame | None = None, key: str = "age", *,
                         measures: Mapping[str, str] = (), count_name: str | None = "patient_count",
                         rate_name: str = RATE, order: str | None = "desc",
