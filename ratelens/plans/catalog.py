@@ -54,21 +54,40 @@ def query(name: str, model: bool = False):
 
 
 # --- shared inputs (lazy plans; nothing runs until an action) ---------------
+# The base frames are built once per (session, folder), as a user builds the
+# cleaned frame once and queries it many times. DataFrames are immutable lazy
+# plans, so sharing them is safe; every query is still planned and executed
+# from the files when it runs.
+_BASE: dict[tuple[int, str, str], DataFrame] = {}
+
+
+def _memo(kind: str, spark: SparkSession, sf: str, build) -> DataFrame:
+    key = (id(spark), sf, kind)
+    df = _BASE.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _BASE[key] = build()
+    return df
+
+
+def reset_base_frames() -> None:
+    """Forget the memoised base frames (e.g. after input files changed)."""
+    _BASE.clear()
+
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return encounters_raw(spark, sf)
+    return _memo("raw", spark, sf, lambda: encounters_raw(spark, sf))
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
-    return clean_encounters(raw(spark, sf))
+    return _memo("clean", spark, sf, lambda: clean_encounters(raw(spark, sf)))
 
 
 def enc(spark: SparkSession, sf: str) -> DataFrame:
-    return engineer_features(clean(spark, sf))
+    return _memo("enc", spark, sf, lambda: engineer_features(clean(spark, sf)))
 
 
 def frame(spark: SparkSession, sf: str) -> DataFrame:
-    return ML.model_frame(enc(spark, sf))
+    return _memo("frame", spark, sf, lambda: ML.model_frame(enc(spark, sf)))
 
 
 def rule_scored(spark: SparkSession, sf: str) -> DataFrame:
