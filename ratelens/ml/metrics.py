@@ -177,7 +177,7 @@ def threshold_sweep(scored: DataFrame, grid: Sequence[float] | None = None,
              for i in range(len(grid) + 1)]
     buckets = spark.range(1).select(F.inline(F.array(*cells)))
     # Both sides hold at most len(grid) + 1 rows.
-    filled = (F.broadcast(buckets).join(per_bucket, "bucket", "left")
+    filled = (buckets.join(F.broadcast(per_bucket), "bucket", "left")
               .select("bucket", "threshold",
                       F.coalesce("pos", F.lit(0)).alias("pos"),
                       F.coalesce(F.col("n") - F.col("pos"), F.lit(0)).alias("neg")))

@@ -59,11 +59,13 @@ def balanced_weights(df: DataFrame, label: str = LABEL_COLUMN,
 
 
 def class_weight_table(df: DataFrame, label: str = LABEL_COLUMN) -> DataFrame:
-    """J-3 as a table: class, n, weight."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    k = df.select(F.countDistinct(label)).scalar()
+    """J-3 as a table: class, n, weight (one pass; totals from a window over
+    the per-class rows)."""
+    everything = Window.partitionBy()
     return (df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("weight", total / (k * F.col("n"))).orderBy(label))
+            .withColumn("weight", F.sum("n").over(everything)
+                        / (F.count(F.lit(1)).over(everything) * F.col("n")))
+            .orderBy(label))
 
 
 def logistic_model(features: Sequence[str] = FEATURE_COLUMNS, label: str = LABEL_COLUMN,

@@ -164,13 +164,20 @@ def rate_vs_overall(df: DataFrame, keys: Sequence[KeyLike], event: Column | None
                     count_name: str = "patient_count") -> DataFrame:
     """G-33: group rate against the overall rate, with difference and lift.
 
-    The overall rate is a scalar subquery (one extra aggregate job whose
-    single value is attached to every row), not a cross join.
+    One pass: groups carry their event and row sums, and the overall rate is
+    the ratio of their totals, taken with a window over the grouped rows (one
+    row per cohort, so the window is over a small table). No second scan, no
+    cross join.
     """
     ev = event_flag() if event is None else event
-    overall = df.select(F.avg(ev).alias("overall_rate")).scalar()
-    return (event_rate(df, keys, ev, count_name=count_name, order=None)
-            .withColumn("overall_rate", overall)
+    grouped = (df.groupBy(*_key_exprs(keys))
+               .agg(F.sum(ev).alias("__ev"), F.count(F.lit(1)).alias(count_name)))
+    everything = Window.partitionBy()
+    return (grouped
+            .withColumn(RATE, F.col("__ev") / F.col(count_name))
+            .withColumn("overall_rate", F.sum("__ev").over(everything)
+                        / F.sum(count_name).over(everything))
             .withColumn("diff", F.col(RATE) - F.col("overall_rate"))
-            .withColumn("lift", F.col(RATE) / F.col("overall_rate")))
+            .withColumn("lift", F.col(RATE) / F.col("overall_rate"))
+            .drop("__ev"))
 
