@@ -82,26 +82,44 @@ def cumulative_by_score(groups: DataFrame, n_bins: int | None = None,
 
 
 def _cumulative(scored: DataFrame, label: str, score: str, n_bins: int | None) -> DataFrame:
-    return cumulative_by_score(score_groups(scored, label, score), n_bins,
-                               cuts_from=scored.select(F.col(score).alias("score")))
+    """Distinct-score groups are computed once (one pass over the scored frame,
+    which may be an expensive model transform) and written to the shared
+    folder; cut points and running sums both read that small table."""
+    from ..session import materialize
+    return cumulative_by_score(materialize(score_groups(scored, label, score)), n_bins)
+
+
+def _auc(cum: DataFrame):
+    return (F.sum(F.col("fp").cast("double") * (2 * F.col("ctp") - F.col("tp")).cast("double"))
+            / (2.0 * F.max("P") * F.max("N")))
+
+
+def _ap(cum: DataFrame):
+    return F.round(F.sum(F.col("tp") * (F.col("ctp") / (F.col("ctp") + F.col("cfp"))))
+                   / F.max("P"), METRIC_DIGITS)
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
             n_bins: int | None = None) -> DataFrame:
     """J-8: one-row ROC-AUC (ties count one half)."""
     cum = _cumulative(scored, label, score, n_bins)
-    return cum.agg(
-        (F.sum(F.col("fp").cast("double") * (2 * F.col("ctp") - F.col("tp")).cast("double"))
-         / (2.0 * F.max("P") * F.max("N"))).alias("roc_auc"))
+    return cum.agg(_auc(cum).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame, label: str = "label", score: str = "score",
                       n_bins: int | None = None) -> DataFrame:
     """J-9: average precision, sum over thresholds of precision x recall step."""
     cum = _cumulative(scored, label, score, n_bins)
-    return cum.agg(F.round(
-        F.sum(F.col("tp") * (F.col("ctp") / (F.col("ctp") + F.col("cfp"))))
-        / F.max("P"), METRIC_DIGITS).alias("average_precision"))
+    return cum.agg(_ap(cum).alias("average_precision"))
+
+
+def ranking_metrics(scored: DataFrame, label: str = "label", score: str = "score",
+                    n_bins: int | None = None) -> DataFrame:
+    """J-8 + J-9 from one cumulative table: roc_auc, average_precision and
+    positive_rate (the AP of a random ranking)."""
+    cum = _cumulative(scored, label, score, n_bins)
+    return cum.agg(_auc(cum).alias("roc_auc"), _ap(cum).alias("average_precision"),
+                   (F.max("P") / (F.max("P") + F.max("N"))).alias("positive_rate"))
 
 
 def roc_curve(scored: DataFrame, label: str = "label", score: str = "score",

@@ -25,7 +25,7 @@ from ..constants import (CV_FOLDS, FEATURE_COLUMNS, LABEL_COLUMN,
 from ..functions.cleaning import require_columns
 from ..functions.flags import engineer_features
 from ..session import materialize
-from .metrics import (average_precision, classification_report, confusion, roc_auc,
+from .metrics import (classification_report, confusion, ranking_metrics, roc_auc,
                       threshold_sweep)
 from .split import stratified_folds
 
@@ -148,20 +148,18 @@ def compare_models(scored_by_name: Mapping[str, DataFrame]) -> DataFrame:
     """J-12: ROC-AUC and average precision per model, plus a random baseline
     row (AUC 0.5, AP = positive rate)."""
     frames = []
-    first = None
     for name, scored in scored_by_name.items():
-        scored = materialize(scored)  # several metric passes read it
-        first = scored if first is None else first
-        auc = roc_auc(scored).select(F.lit(name).alias("model"), "roc_auc")
-        ap = average_precision(scored)
-        frames.append(auc.join(ap.withColumn("model", F.lit(name)), "model"))
+        # one scoring pass per model: AUC, AP and positive rate together
+        frames.append(ranking_metrics(scored).select(
+            F.lit(name).alias("model"), "roc_auc", "average_precision", "positive_rate"))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    baseline = first.agg(F.lit("Baseline (random)").alias("model"),
-                         F.lit(RANDOM_BASELINE_AUC).alias("roc_auc"),
-                         F.avg(F.col("label").cast("double")).alias("average_precision"))
-    return out.unionByName(baseline)
+    baseline = frames[0].select(F.lit("Baseline (random)").alias("model"),
+                                F.lit(RANDOM_BASELINE_AUC).alias("roc_auc"),
+                                F.col("positive_rate").alias("average_precision"),
+                                "positive_rate")
+    return out.unionByName(baseline).drop("positive_rate")
 
 
 def with_best_flag(metrics: DataFrame, forest: str = "Random Forest",

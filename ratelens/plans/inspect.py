@@ -49,7 +49,10 @@ def main(argv: list[str]) -> int:
     print(f"Generated by `python -m ratelens.plans.inspect {sf_dir}` with automatic broadcast "
           "off (explicit, size-checked broadcasts stay). Counts are from the plan before "
           "adaptive re-planning; `python` is true if any Python/pandas node runs. "
-          "Model queries train models and are listed without a plan.\n")
+          "Model queries train models and are listed without a plan. Queries that start "
+          "from a written intermediate (`materialize`: the split input, the distinct-score "
+          "groups of the ranking metrics) show the plan after that write, so their base-table "
+          "scans happen once, in the write job.\n")
     print("| query | shuffles | broadcasts | SMJ | BHJ | windows | scans | tables | python |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
     for name in sorted(QUERIES):
