@@ -24,7 +24,11 @@ def plan_summary(df: DataFrame) -> dict[str, object]:
     node = lambda name: sum(1 for ln in lines if re.search(rf"[-+:\s]\*?\s*(\(\d+\)\s*)?{name}\b", ln)
                             or ln.lstrip().startswith(name))
     scans = re.findall(r"FileScan parquet[^\[]*\[([^\]]*)\].*?Location: [^\[]*\[([^\]]*)\]", plan)
-    tables = sorted({loc.rsplit("/", 1)[-1] for _, loc in scans})
+    names = set()
+    for _, loc in scans:
+        m = re.search(r"([A-Za-z_]+\.parquet)", loc)
+        names.add(m.group(1) if m else "written intermediate")
+    tables = sorted(names)
     return {
         "shuffles": plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
         + plan.count("Exchange RoundRobinPartitioning") + plan.count("Exchange SinglePartition"),
