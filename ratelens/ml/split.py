@@ -49,12 +49,16 @@ def assign_parts(df: DataFrame, label: str, id_col: str, fractions: list[float],
              .withColumn("__cuts", _cut_positions(F.sum("__cnt").over(whole), fractions)))
     first_part = F.size(F.filter("__cuts", lambda c: c <= F.col("__start")))
     last_part = F.size(F.filter("__cuts", lambda c: c <= F.col("__start") + F.col("__cnt") - 1))
-    table = table.select(label, "__bin", "__start", "__cuts",
-                         first_part.alias("__p0"), last_part.alias("__p1"))
+    table = table.select(F.col(label).alias("__label"), F.col("__bin").alias("__tbin"),
+                         "__start", "__cuts", first_part.alias("__p0"), last_part.alias("__p1"))
     # At most (number of classes) x 2**bits rows (about 131k for two classes
     # and 16 bits, a few MB): bounded, broadcast. Straddling bins hold about
     # n_class / 2**bits rows each, the only rows that are ranked.
-    joined = keyed.join(F.broadcast(table), [label, "__bin"])
+    # null-safe on the label, so rows whose class is NULL form their own class
+    # instead of being dropped by the join
+    joined = keyed.join(F.broadcast(table),
+                        F.col(label).eqNullSafe(F.col("__label"))
+                        & (F.col("__bin") == F.col("__tbin")))
     inside = (joined.filter(F.col("__p0") == F.col("__p1"))
               .withColumn(out, F.col("__p0")))
     rank = Window.partitionBy(label, "__bin").orderBy("__h", id_col)

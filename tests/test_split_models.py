@@ -87,3 +87,13 @@ def test_group_split_keeps_groups_whole(spark):
     assert mixed.count() == 0
     share = out.agg(F.avg("is_test")).first()[0]
     assert 0.15 < share < 0.25
+
+
+def test_split_keeps_rows_with_null_label(spark):
+    df = spark.range(500).select(F.col("id").alias("encounter_id"),
+                                 F.when(F.col("id") % 10 == 0, None)
+                                 .otherwise((F.col("id") % 3 == 0).cast("int")).alias("y"))
+    out = stratified_split(df, "y", "encounter_id")
+    assert out.count() == 500
+    null_test = out.filter(F.col("y").isNull() & (F.col("is_test") == 1)).count()
+    assert null_test == 10  # round(0.2 * 50)
