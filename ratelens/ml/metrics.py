@@ -13,6 +13,9 @@ window ordered over all rows would run in a single task, so instead:
 Equal scores always fall in the same bin, so ties are handled exactly. The
 formulas below use the tie-aware trapezoid for ROC-AUC and the step sum
 for average precision.
+
+Rows with a NULL label or NULL score cannot be ranked or counted as either
+class; every operator here excludes them explicitly (``_rankable``).
 """
 
 from __future__ import annotations
@@ -29,9 +32,13 @@ from ..constants import (DEFAULT_THRESHOLD, SWEEP_COUNT, SWEEP_START,
 METRIC_DIGITS = 10  # sums of ratios are rounded to remove summation-order noise
 
 
+def _rankable(scored: DataFrame, label: str, score: str) -> DataFrame:
+    return scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+
+
 def score_groups(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row per distinct score: (score, tp, fp)."""
-    return (scored.groupBy(F.col(score).alias("score"))
+    return (_rankable(scored, label, score).groupBy(F.col(score).alias("score"))
             .agg(F.sum(F.col(label).cast("long")).alias("tp"),
                  F.count(F.lit(1)).alias("__n"))
             .withColumn("fp", F.col("__n") - F.col("tp")).drop("__n"))
@@ -145,7 +152,7 @@ def pr_curve(scored: DataFrame, label: str = "label", score: str = "score",
 def _counts(scored: DataFrame, threshold: float, label: str, score: str) -> DataFrame:
     pred = F.col(score) >= threshold
     pos = F.col(label) == 1
-    return scored.agg(F.count_if(~pos & ~pred).alias("tn"),
+    return _rankable(scored, label, score).agg(F.count_if(~pos & ~pred).alias("tn"),
                       F.count_if(~pos & pred).alias("fp"),
                       F.count_if(pos & ~pred).alias("fn"),
                       F.count_if(pos & pred).alias("tp"))
@@ -185,7 +192,7 @@ def threshold_sweep(scored: DataFrame, grid: Sequence[float] | None = None,
     """
     grid = sweep_grid() if grid is None else list(grid)
     bucket = sum(F.when(F.col(score) >= g, 1).otherwise(0) for g in grid)
-    per_bucket = (scored.groupBy(bucket.alias("bucket"))
+    per_bucket = (_rankable(scored, label, score).groupBy(bucket.alias("bucket"))
                   .agg(F.sum(F.col(label).cast("long")).alias("pos"),
                        F.count(F.lit(1)).alias("n")))
     spark = scored.sparkSession

@@ -94,3 +94,13 @@ def test_cv_summary_population_std(spark):
     df = spark.createDataFrame([("m", 0, 0.6), ("m", 1, 0.8)], "model string, fold int, roc_auc double")
     r = M.cv_summary(df).first()
     assert math.isclose(r["mean"], 0.7) and math.isclose(r["std"], 0.1) and r["scores"] == [0.6, 0.8]
+
+
+def test_null_label_or_score_excluded_everywhere(spark):
+    rows = [(0, 1, 0.9), (1, 0, 0.2), (2, 1, 0.6), (3, 0, 0.7), (4, None, 0.95), (5, 1, None)]
+    df = spark.createDataFrame(rows, "id long, label int, score double")
+    clean = df.dropna()
+    assert M.roc_auc(df).first()[0] == M.roc_auc(clean).first()[0]
+    assert [tuple(r) for r in M.threshold_sweep(df).collect()] == \
+        [tuple(r) for r in M.threshold_sweep(clean).collect()]
+    assert sum(r.n for r in M.confusion(df).collect()) == 4
