@@ -46,18 +46,26 @@ def get_session(master: str | None = None, app_name: str = "ratelens",
     return spark
 
 
+_FALLBACK_ROOTS: dict[int, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared folder). Only when
-    it is unset (local tests) do we create a scratch folder and register it.
+    Read from ``spark.checkpoint.dir`` (the cluster's shared folder), else the
+    folder already given to ``SparkContext.setCheckpointDir``. Only when
+    neither is set (local tests) is a scratch folder created; it is registered
+    with the context (``spark.checkpoint.dir`` itself cannot be changed at
+    runtime) and reused for the life of the context.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="ratelens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        root = _FALLBACK_ROOTS.get(id(sc))
+        if root is None:
+            root = _FALLBACK_ROOTS[id(sc)] = tempfile.mkdtemp(prefix="ratelens-ckpt-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root
 
 
