@@ -444,9 +444,9 @@ def _groups(*names):
 
 
 @query("g19_los_meds_risk")
-def g19(spark, sf):
+def g19(spark, sf, order="desc"):
     return event_rate(clean(spark, sf), _groups("los_category", "med_group", "risk_group"),
-                      digits=1, count_name="patient_count", order="desc", **PCT)
+                      digits=1, count_name="patient_count", order=order, **PCT)
 
 
 @query("g20_los_day_meds")
@@ -468,15 +468,15 @@ def g22(spark, sf):
 
 
 @query("g23_race_risk")
-def g23(spark, sf):
+def g23(spark, sf, order="key"):
     return event_rate(Q.known(clean(spark, sf), "race"), _groups("race", "risk_group"),
-                      digits=1, count_name="count", **PCT)
+                      digits=1, count_name="count", order=order, **PCT)
 
 
 @query("g24_race_los")
-def g24(spark, sf):
+def g24(spark, sf, order="key"):
     return event_rate(Q.known(clean(spark, sf), "race"), _groups("race", "los_category"),
-                      digits=1, **PCT)
+                      digits=1, order=order, **PCT)
 
 
 @query("g25_race_meds_risk")
@@ -487,10 +487,10 @@ def g25(spark, sf):
 
 
 @query("g26_insulin_dose_risk")
-def g26(spark, sf):
+def g26(spark, sf, order="key"):
     return event_rate(Q.prescribed(clean(spark, sf), "insulin"),
                       [F.col("insulin").alias("dose_status"), risk_group().alias("risk_group")],
-                      digits=1, count_name="count", **PCT)
+                      digits=1, count_name="count", order=order, **PCT)
 
 
 @query("g27_weight_rate")
@@ -502,15 +502,15 @@ def g27(spark, sf):
 
 
 @query("g28_weight_los")
-def g28(spark, sf):
+def g28(spark, sf, order="key"):
     return event_rate(Q.known(clean(spark, sf), "weight"), _groups("weight", "los_category"),
-                      digits=1, count_name="count", min_n=15, **PCT)
+                      digits=1, count_name="count", min_n=15, order=order, **PCT)
 
 
 @query("g29_weight_meds")
-def g29(spark, sf):
+def g29(spark, sf, order="key"):
     return event_rate(Q.known(clean(spark, sf), "weight"), _groups("weight", "med_group"),
-                      digits=1, count_name="count", min_n=15, **PCT)
+                      digits=1, count_name="count", min_n=15, order=order, **PCT)
 
 
 @query("g30_medication_impact")
@@ -561,7 +561,7 @@ def h01(spark, sf):
 
 
 def _risk_pivot(spark, sf, label):
-    g = g19(spark, sf).filter(F.col("risk_group") == label)
+    g = g19(spark, sf, order=None).filter(F.col("risk_group") == label)
     return pivot_table(g, "los_category", "med_group", "readmission_pct", MED_GROUPS,
                        row_domain=LOS_ORDER)
 
@@ -578,29 +578,29 @@ def h02b(spark, sf):
 
 @query("h03_race_risk_pivot")
 def h03(spark, sf):
-    return pivot_table(g23(spark, sf), "race", "risk_group", "readmission_pct", RISK_GROUPS)
+    return pivot_table(g23(spark, sf, order=None), "race", "risk_group", "readmission_pct", RISK_GROUPS)
 
 
 @query("h04_race_los_pivot")
 def h04(spark, sf):
-    return pivot_table(g24(spark, sf), "race", "los_category", "readmission_pct", LOS_ORDER)
+    return pivot_table(g24(spark, sf, order=None), "race", "los_category", "readmission_pct", LOS_ORDER)
 
 
 @query("h05_insulin_risk_pivot")
 def h05(spark, sf):
-    return pivot_table(g26(spark, sf), "dose_status", "risk_group", "readmission_pct",
+    return pivot_table(g26(spark, sf, order=None), "dose_status", "risk_group", "readmission_pct",
                        RISK_GROUPS)
 
 
 @query("h06_weight_los_pivot")
 def h06(spark, sf):
-    return pivot_table(g28(spark, sf), "weight", "los_category", "readmission_pct",
+    return pivot_table(g28(spark, sf, order=None), "weight", "los_category", "readmission_pct",
                        LOS_ORDER, row_domain=WEIGHT_ORDER)
 
 
 @query("h07_weight_meds_pivot")
 def h07(spark, sf):
-    return pivot_table(g29(spark, sf), "weight", "med_group", "readmission_pct",
+    return pivot_table(g29(spark, sf, order=None), "weight", "med_group", "readmission_pct",
                        MED_GROUPS, row_domain=WEIGHT_ORDER, drop_empty=True)
 
 
