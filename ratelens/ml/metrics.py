@@ -96,12 +96,12 @@ def _cumulative(scored: DataFrame, label: str, score: str, n_bins: int | None) -
     return cumulative_by_score(materialize(score_groups(scored, label, score)), n_bins)
 
 
-def _auc(cum: DataFrame):
+def _auc():
     return (F.sum(F.col("fp").cast("double") * (2 * F.col("ctp") - F.col("tp")).cast("double"))
             / (2.0 * F.max("P") * F.max("N")))
 
 
-def _ap(cum: DataFrame):
+def _ap():
     return F.round(F.sum(F.col("tp") * (F.col("ctp") / (F.col("ctp") + F.col("cfp"))))
                    / F.max("P"), METRIC_DIGITS)
 
@@ -110,14 +110,14 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
             n_bins: int | None = None) -> DataFrame:
     """J-8: one-row ROC-AUC (ties count one half)."""
     cum = _cumulative(scored, label, score, n_bins)
-    return cum.agg(_auc(cum).alias("roc_auc"))
+    return cum.agg(_auc().alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame, label: str = "label", score: str = "score",
                       n_bins: int | None = None) -> DataFrame:
     """J-9: average precision, sum over thresholds of precision x recall step."""
     cum = _cumulative(scored, label, score, n_bins)
-    return cum.agg(_ap(cum).alias("average_precision"))
+    return cum.agg(_ap().alias("average_precision"))
 
 
 def ranking_metrics(scored: DataFrame, label: str = "label", score: str = "score",
@@ -125,7 +125,7 @@ def ranking_metrics(scored: DataFrame, label: str = "label", score: str = "score
     """J-8 + J-9 from one cumulative table: roc_auc, average_precision and
     positive_rate (the AP of a random ranking)."""
     cum = _cumulative(scored, label, score, n_bins)
-    return cum.agg(_auc(cum).alias("roc_auc"), _ap(cum).alias("average_precision"),
+    return cum.agg(_auc().alias("roc_auc"), _ap().alias("average_precision"),
                    (F.max("P") / (F.max("P") + F.max("N"))).alias("positive_rate"))
 
 
