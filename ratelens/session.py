@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 # Settings we want on by default. AQE re-plans joins from runtime sizes,
@@ -31,14 +33,28 @@ _DEFAULTS = {
 def get_session(master: str | None = None, app_name: str = "ratelens",
                 shuffle_partitions: int | None = None,
                 extra: dict[str, str] | None = None) -> SparkSession:
-    """Return the active session, creating one with our defaults if needed."""
+    """Return the active session, creating one with our defaults if needed.
+
+    A session that already runs is returned as it is. For a new one a default
+    is set only where the platform (spark-defaults, submit options) has not
+    set that key.
+    """
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(_DEFAULTS)
+    conf = dict(extra or {})
     if shuffle_partitions is not None:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
+        conf.setdefault("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # submitted: the platform's settings are there
+        SparkContext._ensure_initialized()
+    context = SparkContext._active_spark_context
+    platform = context.getConf() if context is not None else SparkConf()
+    for key, value in _DEFAULTS.items():
+        if not platform.contains(key):
+            conf.setdefault(key, value)
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -53,16 +69,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster's shared folder), else the
-    folder already given to ``SparkContext.setCheckpointDir``. Only when
-    neither is set (local tests) is a scratch folder created; it is registered
-    with the context (``spark.checkpoint.dir`` itself cannot be changed at
-    runtime) and reused for the life of the context.
+    folder already given to ``SparkContext.setCheckpointDir``. When neither is
+    set, a one-machine session (``local``, ``local[n]``) gets a scratch folder,
+    reused for the life of the context; any other master raises, because a
+    folder of one machine is not readable by the others.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
         root = _FALLBACK_ROOTS.get(id(sc))
         if root is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError(
+                    "spark.checkpoint.dir is not set: intermediate tables need a folder "
+                    "that the driver and every executor share")
             root = _FALLBACK_ROOTS[id(sc)] = tempfile.mkdtemp(prefix="ratelens-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
@@ -72,7 +92,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a written intermediate table under the shared folder."""
     root = checkpoint_root(spark)
-    if "://" in root:
+    if "://" in root or root.startswith("file:"):
         return root.rstrip("/") + "/ratelens/" + name
     return os.path.join(root, "ratelens", name)
 
@@ -80,7 +100,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _WRITTEN: list[str] = []
 
 
-def materialize(df):
+def new_scratch(spark: SparkSession, kind: str = "materialized") -> str:
+    """A fresh scratch path that ``drop_materialized`` will delete."""
+    path = scratch_path(spark, f"{kind}/{uuid.uuid4().hex}")
+    _WRITTEN.append(path)
+    return path
+
+
+def materialize(df, compression: str | None = None):
     """Write ``df`` as a Parquet table in the shared checkpoint folder and
     return a frame that reads it back (lineage cut).
 
@@ -89,27 +116,29 @@ def materialize(df):
     recomputing joins, and a lost executor re-reads files instead of
     recomputing from the base tables. Parquet (compressed, column-pruned
     on read) rather than an RDD checkpoint of serialised rows, which would be
-    several times larger at scale. ``drop_materialized`` removes the tables.
+    several times larger at scale. The plan runs once, in the layout it has;
+    a caller that needs a fixed layout repartitions before the call.
+    ``drop_materialized`` removes the tables.
     """
-    import uuid
     spark = df.sparkSession
-    path = scratch_path(spark, f"materialized/{uuid.uuid4().hex}")
-    # Small inputs can arrive in fewer partitions than there are cores; give
-    # the iterative work at least one partition per core (no-op at scale).
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    df.write.mode("overwrite").parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.parquet(path)
+    path = new_scratch(spark)
+    writer = df.write.mode("overwrite")
+    if compression:
+        writer = writer.option("compression", compression)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table or folder through Spark's file systems."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def drop_materialized(spark: SparkSession) -> int:
     """Delete the tables written by ``materialize`` in this process."""
     n = 0
     while _WRITTEN:
-        path = _WRITTEN.pop()
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        delete_path(spark, _WRITTEN.pop())
         n += 1
     return n
