@@ -43,3 +43,22 @@ def op7_patched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
     return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import remainder
+    from .hmm import score_language
+    docs = read_table(spark, sf_dir, "documents")
+    return score_language(docs, "doc_id", "text", remainder("doc_id", 7) == 2)
+
+
+@query
+def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import remainder
+    from .quality import score_quality, train
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 3) == 1
+    weights = train(docs, read_table(spark, sf_dir, "labels"), usable=~held_out)
+    return score_quality(docs, weights).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted")
