@@ -62,3 +62,19 @@ def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = train(docs, read_table(spark, sf_dir, "labels"), usable=~held_out)
     return score_quality(docs, weights).select(
         "doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .radix import exact_groups
+    return exact_groups(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_radix_dedup"] = """
+SELECT doc_id,
+       max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+       count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+"""
