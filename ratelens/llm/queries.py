@@ -78,3 +78,9 @@ SELECT doc_id,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """
+
+
+@query
+def op2_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge_urls
+    return judge_urls(read_table(spark, sf_dir, "pages"))
