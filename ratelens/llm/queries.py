@@ -84,3 +84,9 @@ FROM documents
 def op2_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge_urls
     return judge_urls(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import compare_with_next
+    return compare_with_next(read_table(spark, sf_dir, "documents"))
