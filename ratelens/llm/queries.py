@@ -90,3 +90,9 @@ def op2_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spotsigs import compare_with_next
     return compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_join
+    return jaccard_join(read_table(spark, sf_dir, "documents"))
