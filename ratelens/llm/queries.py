@@ -96,3 +96,10 @@ def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_join
     return jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import digest_documents, encode_documents
+    path = public_tokenizer("piece_bpe_32k.model")
+    return digest_documents(encode_documents(read_table(spark, sf_dir, "documents"), path), path)
