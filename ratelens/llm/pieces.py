@@ -61,6 +61,8 @@ class Vocabulary:
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         self.plain = {p: i for i, p in enumerate(self.pieces)
                       if not special[i] and not model.is_byte(i)}
+        value = {i: bytes([v]) for v, i in self.byte.items()}
+        self.raw = [value.get(i, p.encode()) for i, p in enumerate(self.pieces)]
         if any(MARK in p.lstrip(MARK) for p in self.plain):
             raise ValueError("pieces must hold the space mark only at their start")
         first = min(self.plain.values())
@@ -111,11 +113,8 @@ class Vocabulary:
 
     def decode(self, ids: bytes) -> str:
         """Marked text of the ids."""
-        out = bytearray()
-        value = {i: v for v, i in self.byte.items()}
-        for i in array("I", ids):
-            out += bytes([value[i]]) if i in value else self.pieces[i].encode()
-        return out.decode("utf-8", "surrogatepass")
+        raw = b"".join(map(self.raw.__getitem__, array("I", ids)))
+        return raw.decode("utf-8", "surrogatepass")
 
 
 def piece_score(rank: int) -> int:
