@@ -8,7 +8,7 @@ The most used entry points are re-exported here; everything else lives in
 """
 
 from .functions.cleaning import (clean_encounters, coerce_numeric,
-                                 null_sentinels, require_columns)
+                                 check_columns, null_sentinels)
 from .functions.flags import engineer_features
 from .ml.metrics import (average_precision, classification_report, confusion,
                          pr_curve, roc_auc, roc_curve, threshold_sweep)
@@ -34,6 +34,6 @@ __all__ = [
     "kpi_summary", "load_encounters", "materialize", "medication_gap", "medication_impact",
     "model_frame", "null_sentinels", "patient_fanout_rate", "pivot_rate", "pivot_table",
     "pr_curve", "rate_vs_overall", "read_encounters", "register_encounter_tables",
-    "require_columns", "roc_auc", "roc_curve", "save_table", "score", "stratified_folds",
+    "check_columns", "roc_auc", "roc_curve", "save_table", "score", "stratified_folds",
     "stratified_split", "threshold_sweep",
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,16 +11,20 @@ from pyspark.sql import types as T
 from ..constants import MISSING_TOKENS, NUMERIC_COLUMNS
 
 
-def require_columns(df: DataFrame, required: Iterable[str], caller: str) -> None:
-    """Raise a clear error when prerequisite columns are missing (C-9).
+class MissingColumns(ValueError):
+    """A step was given a frame without some of its input columns."""
 
-    Works on the schema only, so it runs no Spark job.
-    """
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise ValueError(
-            f"{caller}() requires columns {missing} to exist. Call "
-            "engineer_features() or the individual flag functions first.")
+    def __init__(self, step: str, absent: list[str], present: list[str]):
+        super().__init__(f"{step}: no column {', '.join(absent)} among {', '.join(present)}")
+        self.step, self.absent = step, absent
+
+
+def check_columns(step: str, df: DataFrame, *names: str) -> DataFrame:
+    """The frame itself, once its schema is known to hold ``names`` (C-9); no job runs."""
+    present = set(df.columns)
+    if not present.issuperset(names):
+        raise MissingColumns(step, sorted(set(names) - present), df.columns)
+    return df
 
 
 def sentinel_to_null(col: Column, tokens: Sequence[str] = MISSING_TOKENS) -> Column:
@@ -34,18 +38,18 @@ _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType)
 
 
 def numeric(col: Column, data_type: T.DataType | None = None) -> Column:
-    """Count-like value as int; text that is not a whole number becomes NULL (C-2).
+    """Count-like value as a number; text that is no number becomes NULL (C-2).
 
-    ``try_cast`` to double first so that '3.0' is accepted, then int only for
-    whole values. Under ANSI mode a plain cast of '?' would fail the job.
-    A column that is already an integer type is returned as int without
+    Text becomes double, so '2.5' and values beyond the int range are kept.
+    ``try_cast``, because under ANSI mode a plain cast of '?' would fail the
+    job. A column that is already an integer type is returned as int without
     any conversion, so filters on it still reach the Parquet scan.
     """
     if isinstance(data_type, _INTEGRAL):
         return col if isinstance(data_type, T.IntegerType) else col.cast("int")
     d = col.try_cast("double") if isinstance(data_type, T.StringType) else \
         col.cast("string").try_cast("double")
-    return F.when(d == F.floor(d), d.cast("int"))
+    return F.when(~F.isnan(d), d)
 
 
 def null_sentinels(df: DataFrame, tokens: Sequence[str] = MISSING_TOKENS,
@@ -60,12 +64,12 @@ def null_sentinels(df: DataFrame, tokens: Sequence[str] = MISSING_TOKENS,
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS,
                    rename: dict[str, str] | None = None) -> DataFrame:
-    """Force the given columns to int, bad values to NULL (C-2, C-4).
+    """Force the given columns to numbers, bad values to NULL (C-2, C-4).
 
     ``rename`` adds a converted copy under a new name, e.g.
     ``{"number_diagnoses": "num_diagnoses"}``.
     """
-    require_columns(df, list(columns) + list((rename or {}).keys()), "coerce_numeric")
+    check_columns("coerce_numeric", df, *columns, *(rename or {}))
     types = {f.name: f.dataType for f in df.schema.fields}
     out = df.select(*[numeric(F.col(c), types[c]).alias(c) if c in columns else F.col(c)
                       for c in df.columns])
@@ -78,7 +82,7 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS,
 def clean_encounters(raw: DataFrame, tokens: Sequence[str] = MISSING_TOKENS,
                      numeric_columns: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
     """Sentinel to NULL and numeric coercion in a single projection (A-2)."""
-    require_columns(raw, numeric_columns, "clean_encounters")
+    check_columns("clean_encounters", raw, *numeric_columns)
     types = {f.name: f.dataType for f in raw.schema.fields}
     exprs = []
     for c in raw.columns:

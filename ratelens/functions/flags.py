@@ -19,7 +19,7 @@ from ..constants import (HIGH_MED_BURDEN, HIGH_MEDS_CUT, HIGH_RISK_AGES,
                          LOS_SHORT_MAX, MEDS_HIGH, MEDS_LOW, POSITIVE_VALUE,
                          RISK_HIGH, RISK_STANDARD, TARGET_COLUMN,
                          VISIT_COLUMNS_2, VISIT_COLUMNS_3)
-from .cleaning import require_columns
+from .cleaning import check_columns
 
 
 def _c(col: str | Column) -> Column:
@@ -72,13 +72,13 @@ def risk_score_sum(utilizer: Column | None = None) -> Column:
 
 def risk_score_v1(df: DataFrame) -> Column:
     """D-7: long_stay + high_med_burden + high_utilizer (checks the columns)."""
-    require_columns(df, ["long_stay", "high_med_burden", "high_utilizer"], "risk_score_v1")
+    check_columns("risk_score_v1", df, "long_stay", "high_med_burden", "high_utilizer")
     return F.col("long_stay") + F.col("high_med_burden") + F.col("high_utilizer")
 
 
 def risk_score_v2(df: DataFrame) -> Column:
     """D-8: risk_score + age_risk (checks the columns)."""
-    require_columns(df, ["risk_score", "age_risk"], "risk_score_v2")
+    check_columns("risk_score_v2", df, "risk_score", "age_risk")
     return F.col("risk_score") + F.col("age_risk")
 
 
@@ -96,7 +96,7 @@ def engineer_features(df: DataFrame) -> DataFrame:
 
     One projection: Catalyst collapses the derived columns, nothing is copied.
     """
-    require_columns(df, FEATURE_INPUTS, "engineer_features")
+    check_columns("engineer_features", df, *FEATURE_INPUTS)
     v1 = long_stay() + high_med_burden() + high_utilizer()
     return df.withColumns({
         "readmitted_flag": event_flag(),

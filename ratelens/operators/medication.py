@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from ..constants import (DOSE_CELL_MORE_THAN, DOSE_MATRIX_MEDICATIONS,
                          DOSE_STATUSES, MEDICATION_MIN_N, MEDICATIONS)
-from ..functions.cleaning import require_columns
+from ..functions.cleaning import check_columns
 from ..functions.flags import event_flag
 
 
 def unpivot_medications(df: DataFrame, ids: Sequence[str] = ("encounter_id",),
                         medications: Sequence[str] = MEDICATIONS) -> DataFrame:
     """H-8: wide medication columns to (ids..., medication, status) rows."""
-    require_columns(df, list(ids) + list(medications), "unpivot_medications")
+    check_columns("unpivot_medications", df, *ids, *medications)
     return df.unpivot(list(ids), list(medications), "medication", "status")
 
 
@@ -39,7 +39,7 @@ def medication_impact(df: DataFrame, medications: Sequence[str] = MEDICATIONS,
     Medications with fewer than ``min_n`` prescribed rows are skipped.
     Sorted by ``diff`` ascending.
     """
-    require_columns(df, medications, "medication_impact")
+    check_columns("medication_impact", df, *medications)
     ev = (event_flag() if event is None else event).cast("double")
     cells = []
     for i, m in enumerate(medications):
@@ -66,7 +66,7 @@ def dose_status_matrix(df: DataFrame, medications: Sequence[str] = DOSE_MATRIX_M
     A cell is NULL unless more than ``more_than`` rows have that status.
     Every medication row and every status column is present.
     """
-    require_columns(df, medications, "dose_status_matrix")
+    check_columns("dose_status_matrix", df, *medications)
     ev = (event_flag() if event is None else event).cast("double")
     rows = []
     for i, m in enumerate(medications):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SENTINEL, SPARSE_COLUMNS
-from ..functions.cleaning import require_columns
+from ..functions.cleaning import check_columns
 
 
 def drop_columns(df: DataFrame, columns: Sequence[str] = SPARSE_COLUMNS) -> DataFrame:
@@ -34,13 +34,13 @@ def at_most(df: DataFrame, col: str, bound: float) -> DataFrame:
 
 def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """C-8: rows with no NULL in ``columns``."""
-    require_columns(df, columns, "complete_cases")
+    check_columns("complete_cases", df, *columns)
     return df.dropna(subset=list(columns))
 
 
 def complete_case_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """C-8 report: total, kept and dropped rows in one aggregate."""
-    require_columns(df, columns, "complete_case_report")
+    check_columns("complete_case_report", df, *columns)
     complete = F.lit(True)
     for c in columns:
         complete = complete & F.col(c).isNotNull()

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import MISSING_TOKENS, NUMERIC_COLUMNS
-from ..functions.cleaning import clean_encounters
+from ..functions.cleaning import check_columns, clean_encounters
 from .fixture import RAW_COLUMNS, encounters_raw
 
 _LONG = ("encounter_id", "patient_nbr")
@@ -24,21 +25,27 @@ ENCOUNTER_SCHEMA = T.StructType([
 
 def read_encounters(spark: SparkSession, path: str,
                     schema: T.StructType = ENCOUNTER_SCHEMA) -> DataFrame:
-    """A-1: headered CSV with an explicit schema (no inference pass).
+    """A-1: headered CSV, columns taken by their header name in any order.
 
-    Columns present in the file but not in the schema are not read; extra
-    schema columns absent from the file would be NULL, so pass the schema of
-    the file you have.
+    The schema's columns come first, in its order and types (a value that
+    does not parse is NULL); all other columns of the file follow as text.
+    Only the header line is read to plan; columns that a query does not use are
+    not parsed. A schema column that the file lacks raises ``MissingColumns``.
     """
-    return (spark.read.option("header", True).option("mode", "PERMISSIVE")
-            .option("enforceSchema", False).schema(schema).csv(path))
+    text = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    names = [f.name for f in schema.fields]
+    check_columns(f"read_encounters({path})", text, *names)
+    typed = [F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType) else
+             F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    rest = [F.col(f"`{c}`") for c in text.columns if c not in set(names)]
+    return text.select(*typed, *rest)
 
 
 def load_encounters(spark: SparkSession, path: str | None = None, *,
                     sf_dir: str | None = None,
                     tokens: Sequence[str] = MISSING_TOKENS,
                     numeric_columns: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
-    """A-2: read, turn missing tokens into NULL, force counts to int.
+    """A-2: read, turn missing tokens into NULL, force counts to numbers.
 
     Give a CSV ``path`` (A-1) or a driver ``sf_dir`` (adapter view).
     """
