@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import HIGH_MEDS_CUT, MAX_LOS_DAY, MEDS_HIGH, MEDS_LOW
-from ..functions.cleaning import require_columns
+from ..functions.cleaning import check_columns
 from ..functions.flags import event_flag, high_risk, med_group
 
 KeyLike = str | Column
@@ -106,15 +106,15 @@ def patient_fanout_rate(enc: DataFrame, dim: DataFrame | None = None, key: str =
     into one row before any shuffle.
     """
     measures = dict(measures)
-    require_columns(enc, ["patient_nbr", "readmitted"] + list(measures.values()),
-                    "patient_fanout_rate")
+    check_columns("patient_fanout_rate", enc, "patient_nbr", "readmitted", *measures.values())
     sums = [F.sum(event_flag()).alias("__ev"), F.count(F.lit(1)).alias("__n")]
     for name, col in measures.items():
         sums += [F.sum(col).alias(f"__s_{name}"), F.count(col).alias(f"__c_{name}")]
     sum_cols = ["__ev", "__n"] + [x for name in measures for x in (f"__s_{name}", f"__c_{name}")]
     if dim is None:
-        require_columns(enc, dim_columns, "patient_fanout_rate")
-        per_row = enc.groupBy(*dim_columns).agg(*sums)
+        check_columns("patient_fanout_rate", enc, *dim_columns)
+        # a NULL patient matches no patient row, as in the join
+        per_row = enc.filter(F.col("patient_nbr").isNotNull()).groupBy(*dim_columns).agg(*sums)
         patient = Window.partitionBy("patient_nbr")
         joined = per_row.select(key, *[F.sum(c).over(patient).alias(c) for c in sum_cols])
     else:
@@ -166,8 +166,8 @@ def rate_vs_overall(df: DataFrame, keys: Sequence[KeyLike], event: Column | None
 
     One pass: groups carry their event and row sums, and the overall rate is
     the ratio of their totals, taken with a window over the grouped rows (one
-    row per cohort, so the window is over a small table). No second scan, no
-    cross join.
+    row per cohort: keys are cohorts of few values, not ids). No second scan, no
+    cross join. Without any event the lift is NULL.
     """
     ev = event_flag() if event is None else event
     grouped = (df.groupBy(*_key_exprs(keys))
@@ -178,6 +178,6 @@ def rate_vs_overall(df: DataFrame, keys: Sequence[KeyLike], event: Column | None
             .withColumn("overall_rate", F.sum("__ev").over(everything)
                         / F.sum(count_name).over(everything))
             .withColumn("diff", F.col(RATE) - F.col("overall_rate"))
-            .withColumn("lift", F.col(RATE) / F.col("overall_rate"))
+            .withColumn("lift", F.try_divide(F.col(RATE), F.col("overall_rate")))
             .drop("__ev"))
 

@@ -17,18 +17,21 @@ from ..functions.flags import bracket_order, event_flag
 from ..functions.formatting import fixed, percent, thousands
 
 
-def pivot_rate(df: DataFrame, index: str, columns: str,
-               values: Sequence | None = None, event: Column | None = None) -> DataFrame:
+def pivot_rate(df: DataFrame, index: str, columns: str, values: Sequence,
+               event: Column | None = None, other: str = "other") -> DataFrame:
     """H-1: mean event rate for each (index, column value) as a wide frame.
 
-    ``values`` lists the column values (and their order). With None Spark
-    first finds the distinct values in a separate job, which is what the
-    pandas ``pivot_table`` does implicitly.
+    ``values`` lists the column values (and their order); all further values
+    are pooled in the column ``other``, so no row is lost and the schema
+    does not depend on the data.
     """
     ev = event_flag() if event is None else event
-    grouped = df.groupBy(index)
-    piv = grouped.pivot(columns, list(values)) if values is not None else grouped.pivot(columns)
-    return piv.agg(F.avg(ev)).orderBy(index)
+    value = F.col(columns)
+    cell = F.when(value.isNotNull(), F.lit(other))
+    for v in values:
+        cell = F.when(value == F.lit(v), F.lit(str(v))).otherwise(cell)
+    return (df.withColumn("__cell", cell).groupBy(index)
+            .pivot("__cell", [*map(str, values), other]).agg(F.avg(ev)).orderBy(index))
 
 
 def pivot_table(long: DataFrame, index: str, columns: str, value: str,

@@ -10,6 +10,7 @@ tables (for example tables written bucketed on ``encounter_id`` by
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..constants import VISIT_COLUMNS_2
 from ..functions.flags import (event_flag, high_med_burden, high_utilizer,
@@ -36,16 +37,22 @@ def utilization_fact(raw: DataFrame) -> DataFrame:
     return raw.select(*UTILIZATION_COLUMNS)
 
 
-def join_patient_dim(enc: DataFrame, dim: DataFrame) -> DataFrame:
+def join_patient_dim(enc: DataFrame, dim: DataFrame, salts: int = 8) -> DataFrame:
     """E-1: encounters x patient table on patient_nbr (many-to-many).
 
     Each encounter appears once per (age, gender) row of its patient, so the
     output has at most (ages x genders) rows per encounter. A patient with
-    very many encounters is a skewed join key; AQE's skew-join split (on by
-    default in ``get_session``) divides that partition. For aggregates over
+    very many encounters is a hot join key: encounters are spread over
+    ``salts`` parts by their id and each part meets a copy of the patient's
+    few rows, so no task holds all of that patient. For aggregates over
     this join use ``patient_fanout_rate``, which never materialises it.
     """
-    return enc.join(dim.select(*PATIENT_COLUMNS), "patient_nbr")
+    right = dim.select(*PATIENT_COLUMNS)
+    if salts < 2:
+        return enc.join(right, "patient_nbr")
+    spread = right.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    salted = enc.withColumn("__salt", F.pmod(F.xxhash64("encounter_id"), F.lit(salts)).cast("int"))
+    return salted.join(spread, ["patient_nbr", "__salt"]).drop("__salt")
 
 
 def join_on_encounter(left: DataFrame, right: DataFrame) -> DataFrame:

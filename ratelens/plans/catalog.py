@@ -8,6 +8,7 @@ SQL oracle; every other query has a DuckDB twin in ``plans.oracles``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from ..functions.flags import (bracket_order, engineer_features,
 from ..functions.formatting import rate_band, sign_band
 from ..ml import metrics as M
 from ..ml import models as ML
-from ..ml.split import split_summary, stratified_folds, stratified_split
+from ..ml.split import part_rates, split_summary, stratified_folds, stratified_split
 from ..operators import profile as P
 from ..operators import quality as Q
 from ..operators import tables as T
@@ -35,9 +36,9 @@ from ..operators.medication import (dose_status_matrix, medication_impact,
 from ..operators.rates import (event_rate, kpi_summary, medication_gap,
                                patient_fanout_rate, rate_vs_overall)
 from ..operators.reshape import kpi_long, pivot_rate, pivot_table
-from ..sources.fixture import STORED_TABLE, _exists, encounters_raw
-from ..session import materialize
-from ..sources.readers import register_views
+from ..sources.fixture import encounters_raw
+from ..session import materialize, new_scratch
+from ..sources.readers import read_saved, register_views, save_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,12 +92,15 @@ def written_clean(spark: SparkSession, sf: str) -> DataFrame:
 
     The SQL analysis writes its tables first and then joins them; the join
     queries do the same, so both sides of a join read the written columns
-    instead of each recomputing the adapter from the driver tables. A folder
-    that already holds a stored encounter table is used as it is.
+    instead of each recomputing the adapter from the driver tables. The copy
+    is bucketed on the encounter id (one bucket per shuffle partition), so
+    its 1:1 joins need no shuffle; joins on the patient shuffle either way.
     """
-    if _exists(spark, f"{sf.rstrip('/')}/{STORED_TABLE}"):
-        return clean(spark, sf)
-    return clean_encounters(materialize(raw(spark, sf)))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"ratelens_encounters_{uuid.uuid4().hex}"
+    save_table(raw(spark, sf).repartition(buckets, "encounter_id"), name,
+               path=new_scratch(spark), bucket_by="encounter_id", buckets=buckets)
+    return clean_encounters(read_saved(spark, name))
 
 
 def frame(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,6 +114,10 @@ def rule_scored(spark: SparkSession, sf: str) -> DataFrame:
         ((F.col("time_in_hospital") + F.col("num_medications")) / 60.0).alias("score"))
 
 
+LOS_DAYS = range(1, MAX_LOS_DAY + 1)
+
+METRIC_DIGITS = 10  # sums of ratios are rounded in the query to remove summation-order noise
+
 PCT = dict(scale=100.0, rate_name="readmission_pct")
 
 
@@ -135,6 +143,16 @@ def a06(spark, sf):
     return T.utilization_fact(clean(spark, sf))
 
 
+@query("a07_save_and_read_back")
+def a07(spark, sf):
+    """A-3 + A-7: the table written as a catalog table, read back and summed up."""
+    name = f"ratelens_saved_{uuid.uuid4().hex}"
+    save_table(clean(spark, sf), name, path=new_scratch(spark))
+    return read_saved(spark, name).groupBy("race", "gender").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("num_medications").alias("medications"),
+        F.max("encounter_id").alias("last_encounter"))
+
+
 @query("a08_sql_readmission_breakdown")
 def a08(spark, sf):
     register_views({"ratelens_patients": clean(spark, sf)})
@@ -179,6 +197,11 @@ def b07(spark, sf):
     return P.value_counts(clean(spark, sf), "readmitted")
 
 
+@query("b07_readmitted_counts_with_null")
+def b07n(spark, sf):
+    return P.value_counts(clean(spark, sf), "weight", drop_null=False)
+
+
 @query("b08_total_count")
 def b08(spark, sf):
     return P.total_count(clean(spark, sf))
@@ -224,7 +247,7 @@ def c08(spark, sf):
 
 @query("c10_age_los_pivot_filled")
 def c10(spark, sf):
-    return Q.fill_zero(pivot_rate(enc(spark, sf), "age", "time_in_hospital"))
+    return Q.fill_zero(pivot_rate(enc(spark, sf), "age", "time_in_hospital", LOS_DAYS))
 
 
 @query("c13_weight_rate_band")
@@ -557,7 +580,7 @@ def g34b(spark, sf):
 
 @query("h01_age_los_pivot")
 def h01(spark, sf):
-    return pivot_rate(enc(spark, sf), "age", "time_in_hospital")
+    return pivot_rate(enc(spark, sf), "age", "time_in_hospital", LOS_DAYS)
 
 
 def _risk_pivot(spark, sf, label):
@@ -623,9 +646,26 @@ def j01(spark, sf):
 
 @query("j02_split_summary")
 def j02(spark, sf):
-    # the split reads its input three times: start from a written copy
-    return split_summary(stratified_split(materialize(frame(spark, sf)), LABEL_COLUMN,
-                                          "encounter_id"), LABEL_COLUMN)
+    return split_summary(_split(spark, sf), LABEL_COLUMN)
+
+
+def _ids_and_labels(spark, sf):
+    """The two columns a split reads, written once (it reads its input three times)."""
+    return materialize(frame(spark, sf).select("encounter_id", LABEL_COLUMN))
+
+
+def _split(spark, sf):
+    return stratified_split(_ids_and_labels(spark, sf), LABEL_COLUMN, "encounter_id")
+
+
+@query("j02_split_rates")
+def j02r(spark, sf):
+    return part_rates(_split(spark, sf), LABEL_COLUMN)
+
+
+@query("j02_split_membership")
+def j02m(spark, sf):
+    return _split(spark, sf).select("encounter_id", "is_test")
 
 
 @query("j03_class_weights")
@@ -640,7 +680,8 @@ def j08(spark, sf):
 
 @query("j09_average_precision")
 def j09(spark, sf):
-    return M.average_precision(rule_scored(spark, sf))
+    return M.average_precision(rule_scored(spark, sf)).select(
+        F.round("average_precision", METRIC_DIGITS).alias("average_precision"))
 
 
 @query("j10_roc_curve")
@@ -670,13 +711,47 @@ def j18(spark, sf):
 
 @query("j19_fold_summary")
 def j19f(spark, sf):
-    return split_summary(stratified_folds(materialize(frame(spark, sf)), LABEL_COLUMN,
+    return split_summary(stratified_folds(_ids_and_labels(spark, sf), LABEL_COLUMN,
                                           "encounter_id"), LABEL_COLUMN, part="fold")
 
 
+@query("j04_feature_moments")
+def j04(spark, sf):
+    return ML.feature_moments(frame(spark, sf)).select(
+        "feature", F.round("mean", 8).alias("mean"), F.round("sd", 8).alias("sd"))
+
+
+@query("j12_rule_comparison")
+def j12r(spark, sf):
+    scores = {"Random Forest": F.col("time_in_hospital") + F.col("num_medications"),
+              "Logistic Regression": F.col("number_inpatient") + F.col("number_outpatient")}
+    found = ML.with_best_flag(ML.compare_models({
+        name: frame(spark, sf).select(F.col("encounter_id").alias("id"),
+                                      F.col(LABEL_COLUMN).alias("label"),
+                                      (score / 60.0).alias("score"))
+        for name, score in scores.items()}))
+    return found.select("model", F.round("roc_auc", METRIC_DIGITS).alias("roc_auc"),
+                        F.round("average_precision", METRIC_DIGITS).alias("average_precision"),
+                        "best")
+
+
+@query("j20_fold_table_summary")
+def j20t(spark, sf):
+    by_fold = frame(spark, sf).groupBy(
+        F.when(F.col("long_stay") == 1, "long").otherwise("short").alias("model"),
+        (F.col("encounter_id") % 5).cast("int").alias("fold")).agg(
+            F.avg(LABEL_COLUMN).alias("roc_auc"))
+    found = M.cv_summary(by_fold)
+    return found.select("model", F.round("mean", METRIC_DIGITS).alias("mean"),
+                        F.round("std", METRIC_DIGITS).alias("std"),
+                        F.size("scores").alias("folds"))
+
+
 def _train_test(spark, sf):
-    split = materialize(stratified_split(materialize(frame(spark, sf)), LABEL_COLUMN,
-                                         "encounter_id"))
+    """The model frame with its split, written once in a fixed layout."""
+    rows = frame(spark, sf).join(_split(spark, sf).select("encounter_id", "is_test"),
+                                 "encounter_id")
+    split = materialize(ML.fixed_layout(rows, "encounter_id"))
     return split.filter("is_test = 0"), split.filter("is_test = 1")
 
 

@@ -57,7 +57,9 @@ def compare(spark, con, name: str, fn, sql: str, sf_dir: str) -> tuple[bool, str
     s_cols = sdf.columns
     s_types = dict(sdf.dtypes)
     s_rows = [tuple(r) for r in sdf.collect()]
-    rel = con.sql(sql)
+    # as a view first: a statement that only runs on its own is no usable oracle
+    con.execute(f'CREATE OR REPLACE TEMP VIEW "oracle_{name}" AS {sql}')
+    rel = con.sql(f'SELECT * FROM "oracle_{name}"')
     d_cols = rel.columns
     d_types = dict(zip(d_cols, [str(t) for t in rel.types]))
     d_rows = rel.fetchall()

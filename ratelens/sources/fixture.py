@@ -60,36 +60,34 @@ def _cyclic_status(eid: Column, modulus: int) -> Column:
             .otherwise("No"))
 
 
-STORED_TABLE = "encounters_raw.parquet"
+STORED = "stored:"  # marks the folder of a stored encounter table
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-    except Exception:  # no JVM gateway (e.g. a remote session): derive instead
-        return False
+def is_stored(source: str) -> bool:
+    return source.startswith(STORED)
 
 
-def encounters_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encounters_raw(spark: SparkSession, source: str) -> DataFrame:
     """Raw encounter rows (strings with ``?`` kept), one per order.
 
-    A folder that already holds a written ``encounters_raw.parquet`` table
-    (see ``store_encounters``) is read directly; otherwise the rows are
-    derived from the driver tables in that folder.
+    ``source`` is a folder of driver tables, from which the rows are derived,
+    or the name that ``store_encounters`` returned, which is read as it is. A
+    stored table whose write did not end (no ``_SUCCESS``) raises.
     """
-    stored = f"{sf_dir.rstrip('/')}/{STORED_TABLE}"
-    if _exists(spark, stored):
-        return spark.read.parquet(stored)
-    return derive_encounters(spark, sf_dir)
-
-
-def store_encounters(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
-    """Derive the encounter rows once and write them to ``out_dir`` (the
-    load step: later queries read the written table)."""
-    path = f"{out_dir.rstrip('/')}/{STORED_TABLE}"
+    if not is_stored(source):
+        return derive_encounters(spark, source)
+    path = source[len(STORED):]
+    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        raise RuntimeError(f"{path} is not a completely written encounter table")
+    return spark.read.parquet(path)
+
+
+def store_encounters(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Derive the encounter rows once and write them to ``path`` (the load
+    step); returns the name under which queries read the written table."""
     derive_encounters(spark, sf_dir).write.mode("overwrite").parquet(path)
-    return path
+    return STORED + path
 
 
 def derive_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
