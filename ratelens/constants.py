@@ -89,3 +89,6 @@ RANDOM_BASELINE_AUC = 0.5
 # --- Fixed values: KPI labels -------------------------------------------------
 KPI_LABELS = ("Total Encounters", "Readmission Rate", "Avg Length of Stay (days)",
               "Avg Medications", "High Risk Patient %")
+
+# --- Fixed values: class names of the report, negative class first
+CLASS_NAMES = ("Not Readmitted", "Readmitted")

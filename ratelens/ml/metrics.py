@@ -14,7 +14,9 @@ Equal scores always fall in the same bin, so ties are handled exactly. The
 formulas below use the tie-aware trapezoid for ROC-AUC and the step sum
 for average precision.
 
-Rows with a NULL label or NULL score cannot be ranked or counted as either
+Ratios whose denominator is 0 (a class that is absent) are NULL.
+
+Rows with a NULL label or a NULL or NaN score cannot be ranked or counted as either
 class; every operator here excludes them explicitly (``_rankable``).
 """
 
@@ -26,14 +28,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import (DEFAULT_THRESHOLD, SWEEP_COUNT, SWEEP_START,
+from ..constants import (CLASS_NAMES, DEFAULT_THRESHOLD, SWEEP_COUNT, SWEEP_START,
                          SWEEP_STEP)
 
-METRIC_DIGITS = 10  # sums of ratios are rounded to remove summation-order noise
 
 
 def _rankable(scored: DataFrame, label: str, score: str) -> DataFrame:
-    return scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+    return scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull()
+                         & ~F.isnan(F.col(score).cast("double")))
 
 
 def score_groups(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -97,13 +99,14 @@ def _cumulative(scored: DataFrame, label: str, score: str, n_bins: int | None) -
 
 
 def _auc():
-    return (F.sum(F.col("fp").cast("double") * (2 * F.col("ctp") - F.col("tp")).cast("double"))
-            / (2.0 * F.max("P") * F.max("N")))
+    return F.try_divide(
+        F.sum(F.col("fp").cast("double") * (2 * F.col("ctp") - F.col("tp")).cast("double")),
+        2.0 * F.max("P") * F.max("N"))
 
 
 def _ap():
-    return F.round(F.sum(F.col("tp") * (F.col("ctp") / (F.col("ctp") + F.col("cfp"))))
-                   / F.max("P"), METRIC_DIGITS)
+    return F.try_divide(F.sum(F.col("tp") * (F.col("ctp") / (F.col("ctp") + F.col("cfp")))),
+                        F.max("P"))
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
@@ -126,27 +129,38 @@ def ranking_metrics(scored: DataFrame, label: str = "label", score: str = "score
     positive_rate (the AP of a random ranking)."""
     cum = _cumulative(scored, label, score, n_bins)
     return cum.agg(_auc().alias("roc_auc"), _ap().alias("average_precision"),
-                   (F.max("P") / (F.max("P") + F.max("N"))).alias("positive_rate"))
+                   F.try_divide(F.max("P"), F.max("P") + F.max("N")).alias("positive_rate"))
+
+
+def _anchor(scored: DataFrame, **values: float) -> DataFrame:
+    """One row with a NULL threshold and the given values."""
+    return scored.sparkSession.range(1).select(
+        F.lit(None).cast("double").alias("threshold"),
+        *[F.lit(v).alias(name) for name, v in values.items()])
 
 
 def roc_curve(scored: DataFrame, label: str = "label", score: str = "score",
               n_bins: int | None = None) -> DataFrame:
-    """J-10: (threshold, fpr, tpr) at every distinct score."""
+    """J-10: (threshold, fpr, tpr) at every distinct score, after the start
+    point (0, 0) whose threshold is NULL (above every score)."""
     cum = _cumulative(scored, label, score, n_bins)
-    return (cum.select(F.col("score").alias("threshold"),
-                       (F.col("cfp") / F.col("N")).alias("fpr"),
-                       (F.col("ctp") / F.col("P")).alias("tpr"))
-            .orderBy(F.col("threshold").desc()))
+    points = cum.select(F.col("score").cast("double").alias("threshold"),
+                        F.try_divide("cfp", "N").alias("fpr"),
+                        F.try_divide("ctp", "P").alias("tpr"))
+    return (points.unionByName(_anchor(scored, fpr=0.0, tpr=0.0))
+            .orderBy(F.col("threshold").desc_nulls_first()))
 
 
 def pr_curve(scored: DataFrame, label: str = "label", score: str = "score",
              n_bins: int | None = None) -> DataFrame:
-    """J-11: (threshold, precision, recall) at every distinct score."""
+    """J-11: (threshold, precision, recall) at every distinct score, after the
+    point of no prediction (precision 1, recall 0) whose threshold is NULL."""
     cum = _cumulative(scored, label, score, n_bins)
-    return (cum.select(F.col("score").alias("threshold"),
-                       (F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("precision"),
-                       (F.col("ctp") / F.col("P")).alias("recall"))
-            .orderBy(F.col("threshold").desc()))
+    points = cum.select(F.col("score").cast("double").alias("threshold"),
+                        (F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("precision"),
+                        F.try_divide("ctp", "P").alias("recall"))
+    return (points.unionByName(_anchor(scored, precision=1.0, recall=0.0))
+            .orderBy(F.col("threshold").desc_nulls_first()))
 
 
 def _counts(scored: DataFrame, threshold: float, label: str, score: str) -> DataFrame:
@@ -190,7 +204,7 @@ def threshold_sweep(scored: DataFrame, grid: Sequence[float] | None = None,
     (its bucket), rows are counted per bucket (at most len(grid) + 1 rows),
     and counts are cumulated over those few rows.
     """
-    grid = sweep_grid() if grid is None else list(grid)
+    grid = sorted(set(sweep_grid() if grid is None else grid))
     bucket = sum(F.when(F.col(score) >= g, 1).otherwise(0) for g in grid)
     per_bucket = (_rankable(scored, label, score).groupBy(bucket.alias("bucket"))
                   .agg(F.sum(F.col(label).cast("long")).alias("pos"),
@@ -224,7 +238,7 @@ def threshold_sweep(scored: DataFrame, grid: Sequence[float] | None = None,
 
 def classification_report(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD,
                           label: str = "label", score: str = "score",
-                          names: Sequence[str] = ("Not Readmitted", "Readmitted")) -> DataFrame:
+                          names: Sequence[str] = CLASS_NAMES) -> DataFrame:
     """J-18: precision, recall, F1 and support per class, accuracy, macro and
     weighted averages (0 where a ratio is undefined)."""
     c = _counts(scored, threshold, label, score)

@@ -25,6 +25,20 @@ def _cut_positions(n: Column, fractions: list[float]) -> Column:
     return F.array(*[F.round(n * F.lit(f)).cast("long") for f in fractions])
 
 
+HASH_BITS = 60
+
+
+def portable_hash(value: Column, seed: int) -> Column:
+    """The first 60 bits of md5("seed:value") as a non-negative long; any SQL
+    engine can compute it, so a split can be checked row by row elsewhere."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(value.cast("string"), F.lit("")))
+                   .cast("binary"))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+MAX_CLASSES = 64  # of a broadcast bin table
+
+
 def assign_parts(df: DataFrame, label: str, id_col: str, fractions: list[float],
                  seed: int = RANDOM_STATE, out: str = "part", bits: int = 16) -> DataFrame:
     """Add ``out`` = index of the part (0 .. len(fractions)) of each row.
@@ -36,10 +50,8 @@ def assign_parts(df: DataFrame, label: str, id_col: str, fractions: list[float],
     pass a written or checkpointed frame (``session.materialize``) when it is
     expensive to recompute.
     """
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    keyed = df.withColumns({
-        "__h": h,
-        "__bin": (F.shiftright(h, 64 - bits) + (1 << (bits - 1))).cast("int")})
+    keyed = df.withColumn("__h", portable_hash(F.col(id_col), seed))
+    keyed = keyed.withColumn("__bin", F.shiftright("__h", HASH_BITS - bits).cast("int"))
     counts = keyed.groupBy(label, "__bin").agg(F.count(F.lit(1)).alias("__cnt"))
     before = Window.partitionBy(label).orderBy("__bin").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -52,11 +64,12 @@ def assign_parts(df: DataFrame, label: str, id_col: str, fractions: list[float],
     table = table.select(F.col(label).alias("__label"), F.col("__bin").alias("__tbin"),
                          "__start", "__cuts", first_part.alias("__p0"), last_part.alias("__p1"))
     # At most (number of classes) x 2**bits rows (about 131k for two classes
-    # and 16 bits, a few MB): bounded, broadcast. Straddling bins hold about
+    # and 16 bits, a few MB): broadcast when the classes are few. Straddling bins hold about
     # n_class / 2**bits rows each, the only rows that are ranked.
     # null-safe on the label, so rows whose class is NULL form their own class
     # instead of being dropped by the join
-    joined = keyed.join(F.broadcast(table),
+    few = df.select(label).distinct().limit(MAX_CLASSES + 1).count() <= MAX_CLASSES
+    joined = keyed.join(F.broadcast(table) if few else table,
                         F.col(label).eqNullSafe(F.col("__label"))
                         & (F.col("__bin") == F.col("__tbin")))
     inside = (joined.filter(F.col("__p0") == F.col("__p1"))
@@ -95,6 +108,12 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = CV_FOLDS,
 
 
 def split_summary(df: DataFrame, label: str, part: str = "is_test") -> DataFrame:
-    """Rows and positive rate per part and class (the split report)."""
+    """Rows per part and class."""
     return (df.groupBy(part, label).agg(F.count(F.lit(1)).alias("n"))
             .orderBy(part, label))
+
+
+def part_rates(df: DataFrame, label: str, part: str = "is_test") -> DataFrame:
+    """J-2 report: rows and positive rate per part."""
+    return (df.groupBy(part).agg(F.count(F.lit(1)).alias("n"),
+                                 F.avg(label).alias("positive_rate")).orderBy(part))
