@@ -1,6 +1,6 @@
 import pytest
 from ratelens.functions import flags as D
-from ratelens.functions.cleaning import clean_encounters, require_columns
+from ratelens.functions.cleaning import check_columns, clean_encounters
 
 
 def _row(**kw):
@@ -81,7 +81,7 @@ def test_missing_column_raises(spark):
     with pytest.raises(ValueError, match="high_utilizer"):
         D.risk_score_v1(df)
     with pytest.raises(ValueError):
-        require_columns(df, ["nope"], "caller")
+        check_columns("caller", df, "nope")
 
 
 def test_engineer_keeps_input_and_adds_seven(spark):
