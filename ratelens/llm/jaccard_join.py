@@ -267,10 +267,11 @@ def _brute_force(members: DataFrame, loose: float) -> DataFrame:
             .mapInArrow(compare, "a long, b long"))
 
 
-def _pivot_round(big: DataFrame, loose: float, want: int) -> DataFrame:
+def _pivot_round(big: DataFrame, loose: float, want: int, turn: int) -> DataFrame:
     """Each member of a large bucket against sampled pivots of the bucket:
     (key, rep, a pivot it is alike or null). Pivots come with all pivots they are alike."""
-    pick = F.pmod(F.xxhash64("rep", "key"), F.col("size")) < want
+    # drawn anew each turn, so a turn that drew none for a bucket is made good
+    pick = F.pmod(F.xxhash64("rep", "key", F.lit(turn)), F.col("size")) < want
     pivots = (big.where(pick).groupBy("key")
               .agg(F.collect_list(F.struct("rep", "sketch")).alias("pivots")))  # about ``want``
 
@@ -335,10 +336,12 @@ def candidate_links(reps: DataFrame, set_: Settings) -> tuple[DataFrame, list[st
     links.append(_brute_force(members.join(described, "rep"), set_.loose))
     if big is not None:
         big = big.select("key", "rep", "size").join(described, "rep")
+        turn = 0
         while True:
+            turn += 1
             table, path = written(big)
             used.append(path)
-            judged, path = written(_pivot_round(table, set_.loose, set_.bucket // 2))
+            judged, path = written(_pivot_round(table, set_.loose, set_.bucket // 2, turn))
             used.append(path)
             links.append(judged.where("pivot IS NOT NULL")
                          .select(F.col("rep").alias("a"), F.col("pivot").alias("b")))

@@ -157,3 +157,43 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id",
         printed(F.col("_edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("_sigs"), F.col("_edited_sigs")).alias("near_edited"),
         likeness(F.col("_sigs"), F.col("_next_sigs")).alias("near_next"))
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  least: float = 0.8) -> DataFrame:
+    """(left_id, right_id, likeness) of all pairs of different fingerprints that reach ``least``.
+
+    Documents of one fingerprint meet as one. Fingerprints are partitioned by
+    length (ratio ``1 / least`` per class) and by signature: two sets of
+    similarity ``least`` share one of their ``size - ceil(least * size) + 1``
+    rarest signatures and lie in the same class or in neighbouring ones.
+    Pairs whose lengths cannot reach ``least`` are pruned before the sets are compared.
+    """
+    rows = with_signatures(docs.select(F.col(id_col).alias("_id"),
+                                       text_or_empty(text_col).alias("_text")), "_text", "_sigs")
+    sets, _ = written(rows.where(F.size("_sigs") > 0).groupBy("_sigs").agg(F.min("_id").alias("_id"))
+                      .withColumn("_n", F.size("_sigs"))
+                      .withColumn("_row", F.monotonically_increasing_id()))
+    known = sets.select("_row", "_n", F.explode("_sigs").alias("_sig"))
+    often = known.groupBy("_sig").agg(F.count("*").alias("_often"))
+    # rarest first; the order must be the same for all sets
+    ranked = (known.join(often, "_sig").groupBy("_row", "_n")
+              .agg(F.sort_array(F.collect_list(F.struct("_often", "_sig"))).alias("_all")))
+    keep = F.col("_n") - F.ceil(F.lit(least) * F.col("_n") - 1e-9).cast("int") + 1
+    rare = ranked.select("_row", "_n", F.explode(F.slice("_all", F.lit(1), keep)).alias("_x"))
+    size_class = F.floor(F.log(F.col("_n").cast("double")) / F.log(F.lit(1.0 / least)) + 1e-9)
+    rare = rare.select("_row", "_n", F.col("_x._sig").alias("_sig"), size_class.alias("_class"))
+    # the shorter of a pair looks in its own class and the next
+    left = rare.select(F.col("_row").alias("_a"), F.col("_n").alias("_na"), "_sig",
+                       F.explode(F.array("_class", F.col("_class") + 1)).alias("_class"))
+    right = rare.select(F.col("_row").alias("_b"), F.col("_n").alias("_nb"), "_sig", "_class")
+    pairs = (left.join(right, ["_sig", "_class"])
+             .where((F.col("_na") < F.col("_nb")) | ((F.col("_na") == F.col("_nb"))
+                                                     & (F.col("_a") < F.col("_b"))))
+             .where(F.col("_na") >= F.col("_nb") * F.lit(least) - 1e-9)
+             .select("_a", "_b").distinct())
+    a = sets.select(F.col("_row").alias("_a"), F.col("_id").alias("left_id"), F.col("_sigs").alias("_sa"))
+    b = sets.select(F.col("_row").alias("_b"), F.col("_id").alias("right_id"), F.col("_sigs").alias("_sb"))
+    return (pairs.join(a, "_a").join(b, "_b")
+            .select("left_id", "right_id", likeness(F.col("_sa"), F.col("_sb")).alias("likeness"))
+            .where(F.col("likeness") >= least))
