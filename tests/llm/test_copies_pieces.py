@@ -130,11 +130,10 @@ def shingles(text):
 
 
 def check_join(df, settings=J.Settings(), recall=1.0):
-    rows = df.collect()
-    found = J.near_classes(df.withColumn("at", F.monotonically_increasing_id()), "at",
-                           settings=settings).collect()
-    assert len(found) == len(rows)
-    at = {r.at: r for r in df.withColumn("at", F.monotonically_increasing_id()).collect()}
+    df = df.withColumn("at", F.monotonically_increasing_id()).cache()
+    at = {r.at: r for r in df.collect()}
+    found = J.near_classes(df, "at", settings=settings).collect()
+    assert len(found) == len(at)
     sets = {i: shingles(r.text) for i, r in at.items()}
     owners = defaultdict(list)
     for i, s in sets.items():
