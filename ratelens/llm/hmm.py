@@ -51,7 +51,7 @@ class Settings:
     states: int = 8
     frequent: int = 8191  # words that are symbols of their own
     buckets: int = 8192
-    lookup: int = 1 << 18  # most frequent words whose counts go to every task
+    lookup: int = 1 << 16  # most frequent words whose counts go to every task
     start_rows: int = 1500
     start_passes: int = 8
     passes: int = 2
@@ -203,8 +203,9 @@ class Vocabulary:
         n, v = words.agg(F.sum("c"), F.count("*")).first()
         self.n, self.v = int(n or 0), int(v or 0)
         top = (words.where(F.col("word") != F.lit(b"")).orderBy(F.desc("c"), "word")
-               .limit(set_.lookup).collect())
-        self.known = {bytes(r.word): (r.c, i) for i, r in enumerate(top)}
+               .limit(set_.lookup).toArrow())
+        self.known = {w: (c, i) for i, (w, c) in enumerate(zip(
+            top.column("word").to_pylist(), top.column("c").to_pylist()))}
         own = {w for w, (_, i) in self.known.items() if i < set_.frequent}
         end = words.where(F.col("word") == F.lit(b"")).first()
         self.end = int(end.c) if end else 0
@@ -337,7 +338,7 @@ def train(seqs: DataFrame, counts: np.ndarray, set_: Settings) -> Model:
               .limit(set_.start_rows).collect()]
     if not sample:
         return model
-    batches = [Batch(p) for p in grouped(sample, set_.block)]
+    batches = [Batch(p) for p in grouped(sample, 100_000)]  # bounds the driver's memory
     for _ in range(set_.start_passes):
         parts = [model.expected(b) for b in batches]
         emits = np.zeros((set_.symbols, set_.states))
