@@ -49,6 +49,7 @@ from .common import drop, text_or_empty, written
 BINS = 64
 EMPTY = 65535
 SALTS = 8
+MARKS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -455,7 +456,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes, kept_path = written(nodes)
     drop(docs, *used, described_path, nodes_path)
 
-    members = (sets.select(F.col("_row").alias("rep"), "n", "tokens")
+    # Sets without candidates stay where they are: a table of at most MARKS
+    # hashes of the nodes (that bound is what may be broadcast) drops most of
+    # them before the exact join moves the rest.
+    mark = F.pmod(F.xxhash64("rep"), F.lit(MARKS))
+    marks = nodes.withColumnRenamed("node", "rep").select(mark.alias("_mark")).distinct()
+    members = (sets.select(F.col("_row").alias("rep"), "n", "tokens").withColumn("_mark", mark)
+               .join(F.broadcast(marks), "_mark", "left_semi").drop("_mark")
                .join(nodes.withColumnRenamed("node", "rep"), "rep")
                .join(groups.select("rep", "copies"), "rep"))
     exact, _ = written(exact_links(members, settings))
