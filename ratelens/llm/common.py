@@ -43,3 +43,14 @@ def free_name(taken, base: str) -> str:
     return name
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """What a Python worker keeps between tasks: the value of ``key``, made on
+    first use. Only the last key's value is kept, so the tables of an earlier
+    stage do not stay in memory beside those of a later one."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]

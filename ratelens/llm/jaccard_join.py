@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, text_or_empty, written
+from .common import drop, resident, text_or_empty, written
 
 BINS = 64
 EMPTY = 65535
@@ -139,7 +139,7 @@ def describe_sets(docs: DataFrame, id_col: str, text_col: str, set_: Settings) -
     names = ["_row", "_id", "digest", "n", "sketch", "paths", "tokens"]
 
     def describe(batches):
-        hashes = _WordHashes()
+        hashes = resident("word hashes", _WordHashes)
         for batch in batches:
             at = 0
             while at < batch.num_rows:

@@ -16,6 +16,8 @@ import re
 import sys
 from array import array
 
+from .common import resident
+
 MAX_WORDS = 600_000  # entries of a task's word table (memory bound, not a limit on words)
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which can join words
 
@@ -103,14 +105,9 @@ class Encoder:
         return self._library(first) + b"".join(map(self.words.__getitem__, rest))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and file, so its word table outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return resident(("encoder", path), lambda: Encoder(path))
 
 
 def public_tokenizer(name: str) -> str:
