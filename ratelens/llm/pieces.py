@@ -19,8 +19,9 @@ task keeps a bounded table of word segmentations.
 Scores are integers, so sums do not depend on the order of combination. The
 public model file is of the BPE kind, which has merge ranks for scores; the
 named method needs unigram scores, so a piece scores ``-log(rank + 2)`` in
-fixed point, with a small distinct amount per piece against ties. Characters without a
-piece become their bytes.
+fixed point, with a small amount per piece against ties; paths with the same pieces in
+another order still tie, and among those the choice may depend on the chunk
+boundaries. Characters without a piece become their bytes.
 
 Defined results: null text is empty (no tokens, one chunk); repeated rows are encoded
 each; null ids are kept; an empty table gives no rows; extra columns are ignored.
@@ -67,6 +68,8 @@ class Vocabulary:
             raise ValueError("pieces must hold the space mark only at their start")
         first = min(self.plain.values())
         self.score = {p: piece_score(i - first) for p, i in self.plain.items()}
+        # scores, and 1 for what only begins a piece
+        self.steps = {p[:k]: 1 for p in self.score for k in range(1, len(p))} | self.score
         self.unknown = min(self.score.values()) - (10 << 24)
         self.longest = max(map(len, self.plain))
         self.words = _Words(self)
@@ -87,12 +90,22 @@ class Vocabulary:
         ``limit`` and end by ``stop``. Also the start of the last piece."""
         best, back = [NEVER] * (stop - start + 1), [0] * (stop - start + 1)
         best[0] = 0
+        steps, longest, unknown = self.steps, self.longest, self.unknown
         for i in range(start, limit):
             here = best[i - start]
-            if here > NEVER:
-                for j, score in self.edges(s, i, stop):
+            if here == NEVER:
+                continue
+            single = False
+            for j in range(i + 1, min(i + longest, stop) + 1):
+                score = steps.get(s[i:j], 2)
+                if score == 2:  # no piece begins like this
+                    break
+                if score <= 0:
+                    single |= j == i + 1
                     if here + score > best[j - start]:
                         best[j - start], back[j - start] = here + score, i
+            if not single and here + unknown > best[i + 1 - start]:
+                best[i + 1 - start], back[i + 1 - start] = here + unknown, i
         return best, back
 
     def path(self, s: str, start: int, limit: int, stop: int) -> tuple[bytes, int]:
@@ -131,7 +144,7 @@ class _Words(dict):
 
     def __missing__(self, word):
         found = self.voc.path(word, 0, len(word), len(word))
-        if len(self) < 400_000:
+        if len(self) < 600_000:
             self[word] = found
         return found
 
