@@ -51,7 +51,7 @@ class Settings:
     states: int = 8
     frequent: int = 8191  # words that are symbols of their own
     buckets: int = 8192
-    lookup: int = 1 << 16  # most frequent words whose counts go to every task
+    lookup: int = 1 << 16  # at most so many frequent words go to every task, with their counts
     start_rows: int = 1500
     start_passes: int = 8
     passes: int = 2
@@ -202,10 +202,21 @@ class Vocabulary:
         self.set = set_
         n, v = words.agg(F.sum("c"), F.count("*")).first()
         self.n, self.v = int(n or 0), int(v or 0)
-        top = (words.where(F.col("word") != F.lit(b"")).orderBy(F.desc("c"), "word")
-               .limit(set_.lookup).toArrow())
-        self.known = {w: (c, i) for i, (w, c) in enumerate(zip(
-            top.column("word").to_pylist(), top.column("c").to_pylist()))}
+        # The most frequent words by a cut on the count, not by a top-k, which
+        # would send k rows of every task to the driver. Words that share a
+        # bin of counts (16 bins per doubling) are looked up together or not at all.
+        steps = words.where(F.col("word") != F.lit(b"")).withColumn(
+            "bin", F.floor(F.log2("c") * 16))
+        cut, total = None, 0
+        for r in sorted(steps.groupBy("bin").count().collect(), reverse=True):  # about 1,000 rows
+            total += r["count"]
+            if total > set_.lookup:
+                break
+            cut = r.bin
+        top = steps.where(F.col("bin") >= cut if cut is not None else F.lit(False)).toArrow()
+        ranked = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist()),
+                        key=lambda x: (-x[0], x[1]))
+        self.known = {w: (c, i) for i, (c, w) in enumerate(ranked)}
         own = {w for w, (_, i) in self.known.items() if i < set_.frequent}
         end = words.where(F.col("word") == F.lit(b"")).first()
         self.end = int(end.c) if end else 0
