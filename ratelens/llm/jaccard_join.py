@@ -7,13 +7,15 @@ copies never meet each other. Representatives are joined in three steps:
 1. Chosen paths. In each run a set samples its tokens with probability
    ``1 / (least * size)`` under a hash that all sets share, so two sets
    with similarity ``least`` share at least one sampled token with
-   probability 1 - 1/e or more. Sets that share one meet in a bucket; buckets above
-   ``bucket`` members are split again on the next sample, down to ``depth``.
-   Small buckets are compared by brute force on one-permutation sketches
-   (``loose`` is far below ``least``). A bucket that is still large is
-   compared with sampled pivots, and what is like none of them goes round again, until
-   nothing is left: no bucket is cut. ``runs`` repeats give the recall
-   (with 6 runs, 1 - e**-6 = 0.997 of the pairs exactly at ``least``, more above).
+   probability 1 - 1/e or more. Sets that share one meet in a bucket. Small buckets are
+   compared by brute force on one-permutation sketches (``loose`` is far
+   below ``least``). A bucket above ``bucket`` members is compared with
+   sampled pivots; what is like none of them is split, down to ``depth``: each
+   bucket draws two places of the sketch by its own key, and every member goes
+   on with what it has there, so no member is without a draw. What is still
+   large at the last level meets new pivots until nothing is left: no bucket
+   is cut. ``runs`` repeats give the recall
+   (with 6 runs, 1 - e**-6 = 0.997 of the pairs exactly at ``least`` that meet in a small bucket).
 2. Components of the candidate links, by alternating large-star and
    small-star steps over written tables.
 3. Exact links. Within a component all sets meet once, in tiles of bounded
@@ -115,27 +117,47 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sampled(flat: np.ndarray, doc: np.ndarray, sizes: np.ndarray, set_: Settings):
-    """(set, number of run and level, token) of every sampled token."""
+    """(set, run, token) of every sampled token."""
     share = np.minimum(1.0 / (set_.least * np.maximum(sizes, 1)), 1.0)
     limit = np.ceil(share * (1 << 32)).astype(np.uint64)[doc]
     found = []
     low = np.uint64(0xFFFFFFFF)
-    for pair in range(set_.runs * ((set_.depth + 1) // 2)):
-        run, half = divmod(pair, (set_.depth + 1) // 2)
+    for pair in range((set_.runs + 1) // 2):
         h = mixed(flat + np.uint64((set_.seed + pair) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        for level, part in ((2 * half, h & low), (2 * half + 1, h >> np.uint64(32))):
-            if level < set_.depth:
+        for run, part in ((2 * pair, h & low), (2 * pair + 1, h >> np.uint64(32))):
+            if run < set_.runs:
                 at = np.flatnonzero(part < limit)
-                found.append((doc[at], np.full(len(at), run * set_.depth + level), flat[at]))
+                found.append((doc[at], np.full(len(at), run), flat[at]))
     return [np.concatenate(x) for x in zip(*found)]
 
 
+def split_keys(keys: np.ndarray, s: np.ndarray):
+    """(member, key) in the next level's buckets. A bucket draws two places of
+    the sketch by its key; an empty place stands for the next one that is not."""
+    held = np.where(s != EMPTY, np.arange(BINS), 2 * BINS)
+    after = np.concatenate([held, held + BINS], axis=1)
+    after = np.minimum.accumulate(after[:, ::-1], axis=1)[:, ::-1][:, :BINS] % BINS
+    h = mixed(keys.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    first = (h & np.uint64(0xFFFFFFFF)) % np.uint64(BINS)
+    second = (first + np.uint64(1) + (h >> np.uint64(32)) % np.uint64(BINS - 1)) % np.uint64(BINS)
+    who, out, seen = [], [], np.full(len(keys), -1)
+    for place in (first, second):
+        at = after[np.arange(len(keys)), place.astype(np.int64)]
+        new = np.flatnonzero(at != seen)
+        token = (place << np.uint64(32)) + (at.astype(np.uint64) << np.uint64(16)) \
+            + s[np.arange(len(keys)), at]
+        who.append(new)
+        out.append(mixed(h ^ mixed(token + np.uint64(1)))[new].view(np.int64))
+        seen = at
+    return np.concatenate(who), np.concatenate(out)
+
+
 def describe_sets(docs: DataFrame, id_col: str, text_col: str, set_: Settings) -> DataFrame:
     """(_row, _id, digest, n, sketch, paths, tokens) of every row; ``paths`` lists the
-    sampled tokens by run and level, ``tokens`` holds the upper 32 bits of the set."""
+    sampled tokens by run, ``tokens`` holds the upper 32 bits of the set."""
     rows = docs.select(F.monotonically_increasing_id().alias("_row"),
                        F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    steps = set_.runs * set_.depth
+    steps = set_.runs
     names = ["_row", "_id", "digest", "n", "sketch", "paths", "tokens"]
 
     def describe(batches):
@@ -249,7 +271,7 @@ def _brute_force(members: DataFrame, loose: float) -> DataFrame:
     """Links (a, b) inside buckets of bounded size: a star per group of alike sketches."""
     def compare(batches):
         a, b = [], []
-        for reps, sizes, raw in runs_of(batches, "key", ["rep", "n", "sketch"]):
+        for reps, raw in runs_of(batches, "key", ["rep", "sketch"]):
             if len(reps) < 2:
                 continue
             s = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, BINS)
@@ -270,7 +292,8 @@ def _brute_force(members: DataFrame, loose: float) -> DataFrame:
 
 def _pivot_round(big: DataFrame, loose: float, want: int, turn: int) -> DataFrame:
     """Each member of a large bucket against sampled pivots of the bucket:
-    (key, rep, a pivot it is alike or null). Pivots come with all pivots they are alike."""
+    (key, rep, a pivot it is alike or null, its sketch if it stays). Pivots come with all
+    pivots they are alike."""
     # drawn anew each turn, so a turn that drew none for a bucket is made good
     pick = F.pmod(F.xxhash64("rep", "key", F.lit(turn)), F.col("size")) < want
     pivots = (big.where(pick).groupBy("key")
@@ -282,82 +305,82 @@ def _pivot_round(big: DataFrame, loose: float, want: int, turn: int) -> DataFram
             for key, rep, raw, pivots in zip(*(batch.column(c).to_pylist() for c in
                                                ("key", "rep", "sketch", "pivots"))):
                 if not pivots:
-                    out.append((key, rep, None))
+                    out.append((key, rep, None, raw))
                     continue
                 p = np.frombuffer(b"".join(x["sketch"] for x in pivots), np.uint16).reshape(-1, BINS)
                 like = alike(np.frombuffer(raw, np.uint16)[None], p)[0]
                 ids = [x["rep"] for x in pivots]
                 if rep in ids:
-                    out += [(key, rep, ids[i]) for i in np.flatnonzero(like >= loose)]
+                    out += [(key, rep, ids[i], None) for i in np.flatnonzero(like >= loose)]
                 else:
                     i = int(np.argmax(like))
-                    out.append((key, rep, ids[i] if like[i] >= loose else None))
-            cols = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                             names=["key", "rep", "pivot"])
+                    out.append((key, rep, ids[i], None) if like[i] >= loose else (key, rep, None, raw))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())],
+                names=["key", "rep", "pivot", "sketch"])
 
     return (salted_join(big, pivots, "key", "rep", "left").select("key", "rep", "sketch", "pivots")
-            .mapInArrow(compare, "key long, rep long, pivot long"))
+            .mapInArrow(compare, "key long, rep long, pivot long, sketch binary"))
+
+
+def _split(members: DataFrame) -> DataFrame:
+    """(key, rep, sketch) of the members of large buckets, in buckets of the next level."""
+    def deal(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                s = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16)
+                who, keys = split_keys(part.column("key").to_numpy(), s.reshape(-1, BINS))
+                who = pa.array(who)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), part.column("rep").take(who), part.column("sketch").take(who)],
+                    names=["key", "rep", "sketch"])
+
+    return members.select("key", "rep", "sketch").mapInArrow(deal, "key long, rep long, sketch binary")
 
 
 def candidate_links(reps: DataFrame, set_: Settings) -> tuple[DataFrame, list[str]]:
     """Links (a, b) between representatives that may reach ``least``, as forests.
 
-    ``reps`` has rep, n, sketch and paths.
+    ``reps`` has rep, sketch and paths.
     """
     used: list[str] = []
-    small, links = [], []
-    rows = reps.select("rep", F.posexplode(F.slice("paths", 1, set_.runs * set_.depth))
-                       .alias("step", "tokens"))
-    rows = (rows.where(F.col("step") % set_.depth == 0)
-            .select("rep", (F.col("step") / set_.depth).cast("int").alias("run"),
-                    F.explode("tokens").alias("token"))
-            .select("rep", "run", F.xxhash64("run", "token").alias("key")))
-    for level in range(1, set_.depth + 1):
-        table, path = written(rows)
+    rows = (reps.select("rep", F.posexplode("paths").alias("run", "tokens"))
+            .select("rep", "run", F.explode("tokens").alias("token"))
+            .select("rep", F.xxhash64("run", "token").alias("key")))
+    table, path = written(rows)
+    used.append(path)
+    described = reps.select("rep", "sketch")
+
+    def sized(members):
+        """(key, size) of the buckets of two members or more."""
+        sizes, path = written(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
         used.append(path)
-        counts, path = written(table.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+        return sizes.where(F.col("size") <= set_.bucket), sizes.where(F.col("size") > set_.bucket)
+
+    few, large = sized(table)
+    links = [_brute_force(table.join(few, "key").select("key", "rep").join(described, "rep"),
+                          set_.loose)]
+    big = salted_join(table, large, "key", "rep").join(described, "rep")
+    turn = 0
+    while not large.isEmpty():
+        turn += 1
+        table, path = written(big)
         used.append(path)
-        small.append(table.join(counts.where(F.col("size") <= set_.bucket), "key")
-                     .select("key", "rep"))
-        large = counts.where(F.col("size") > set_.bucket)
-        if large.isEmpty():
-            big = None
-            break
-        big = salted_join(table, large, "key", "rep").select("key", "rep", "run", "size")
-        if level < set_.depth:
-            rows = (big.join(reps.select("rep", "paths"), "rep")
-                    .select("rep", "run", "key", F.explode(F.element_at(
-                        "paths", F.col("run") * set_.depth + level + 1)).alias("token"))
-                    .select("rep", "run", F.xxhash64("key", "token").alias("key")))
-    members = small[0]
-    for more in small[1:]:
-        members = members.unionByName(more)
-    described = reps.select("rep", "n", "sketch")
-    links.append(_brute_force(members.join(described, "rep"), set_.loose))
-    if big is not None:
-        big = big.select("key", "rep", "size").join(described, "rep")
-        turn = 0
-        while True:
-            turn += 1
-            table, path = written(big)
-            used.append(path)
-            judged, path = written(_pivot_round(table, set_.loose, set_.bucket // 2, turn))
-            used.append(path)
-            links.append(judged.where("pivot IS NOT NULL")
-                         .select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-            rest = table.drop("size").join(judged.where("pivot IS NULL").select("key", "rep"),
-                                           ["key", "rep"])
-            sizes, path = written(rest.groupBy("key").agg(F.count("*").alias("size")))
+        judged, path = written(_pivot_round(table, set_.loose, set_.bucket // 2, turn))
+        used.append(path)
+        links.append(judged.where("pivot IS NOT NULL")
+                     .select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        rest = judged.where("sketch IS NOT NULL").select("key", "rep", "sketch")
+        few, large = sized(rest)
+        links.append(_brute_force(salted_join(rest, few, "key", "rep"), set_.loose))
+        if turn < set_.depth and not large.isEmpty():
+            rest, path = written(_split(salted_join(rest, large, "key", "rep")))
             used.append(path)
-            if sizes.isEmpty():
-                break
-            links.append(_brute_force(rest.join(sizes.where(F.col("size") <= set_.bucket), "key"),
-                                      set_.loose))
-            large = sizes.where(F.col("size") > set_.bucket)
-            if large.isEmpty():
-                break
-            big = salted_join(rest, large, "key", "rep")
+            few, large = sized(rest)
+            links.append(_brute_force(salted_join(rest, few, "key", "rep"), set_.loose))
+        big = salted_join(rest, large, "key", "rep")
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
@@ -450,7 +473,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         .agg(F.min("_row").alias("rep"), F.count("*").alias("copies")))
     reps = sets.join(groups.select("rep"), F.col("_row") == F.col("rep"), "left_semi") \
         .withColumnRenamed("_row", "rep")
-    described, described_path = written(reps.select("rep", "n", "sketch", "paths"))
+    described, described_path = written(reps.select("rep", "sketch", "paths"))
     links, used = candidate_links(described, settings)
     nodes, nodes_path = components(links)
     nodes, kept_path = written(nodes)

@@ -200,6 +200,21 @@ def test_recall_of_pairs_at_the_limit(spark):
     check_join(df, recall=0.97)
 
 
+def test_large_families_of_near_copies_are_whole(spark):
+    """16 families of 300 texts, each with one word of its own: all alike, buckets far above 128."""
+    rnd = random.Random(6)
+    rows = []
+    for family in range(16):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+        for i in range(300):
+            at = rnd.randrange(150)
+            rows.append((family, " ".join([*base[:at], f"own{family}x{i}", *base[at + 1:]])))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, row struct<family: int, text: string>")
+    got = J.near_classes(df.select("doc_id", "row.text")).collect()
+    assert {r._id: r.n_links for r in got} == {i: 299 for i in range(len(rows))}
+    assert len({r.class_id for r in got}) == 16
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (7, 7), *((i, 100) for i in range(50, 99))],
                                   "a long, b long")
