@@ -14,8 +14,9 @@ copies never meet each other. Representatives are joined in three steps:
    bucket draws two places of the sketch by its own key, and every member goes
    on with what it has there, so no member is without a draw. What is still
    large at the last level meets new pivots until nothing is left: no bucket
-   is cut. ``runs`` repeats give the recall
-   (with 6 runs, 1 - e**-6 = 0.997 of the pairs exactly at ``least`` that meet in a small bucket).
+   is cut. Runs repeat until a pair exactly at ``least`` that meets in large
+   buckets down to the last level is found with probability ``recall``
+   (``Settings.runs``: 7 for 0.997); pairs above ``least`` are found more often.
 2. Components of the candidate links, by alternating large-star and
    small-star steps over written tables.
 3. Exact links. Within a component all sets meet once, in tiles of bounded
@@ -39,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from math import ceil, exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -59,13 +61,25 @@ class Settings:
     words: int = 5
     least: float = 0.8
     loose: float = 0.6
-    runs: int = 6
+    recall: float = 0.997  # of the pairs exactly at ``least``, at the deepest level
     depth: int = 4
     bucket: int = 128
     tile_members: int = 256
     tile_tokens: int = 1 << 21
     seed: int = 11
 
+    @property
+    def runs(self) -> int:
+        """Runs that reach ``recall``. A pair at ``least`` meets at level 1 with
+        probability 1 - 1/e; a split loses it when neither of the two drawn places
+        agrees, or all that do are lost further down. Places agree less often
+        than ``least`` by one deviation of a sketch."""
+        agree = self.least - (self.least * (1 - self.least) / BINS) ** 0.5
+        lost = 0.0
+        for _ in range(self.depth - 1):
+            lost = (1 - agree + agree * lost) ** 2
+        return max(1, ceil(log(1 - self.recall) / log(1 - (1 - exp(-1)) * (1 - lost))))
+
 
 # --- sets, sketches and paths -----------------------------------------------------
 

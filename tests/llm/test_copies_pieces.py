@@ -215,6 +215,19 @@ def test_large_families_of_near_copies_are_whole(spark):
     assert len({r.class_id for r in got}) == 16
 
 
+def test_recall_of_pairs_that_share_hot_passages(spark):
+    """Pairs whose shared shingles are all in some 100 texts: met at deep levels only."""
+    rnd = random.Random(1)
+    rows = []
+    for i in range(600):
+        pick = rnd.sample(range(50), 9)
+        rows += [" ".join(f"{' '.join(f'p{p}x{j}' for j in range(50))} own{i}{side}{p}" for p in pick)
+                 for side in "ab"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(4)
+    check_join(df, J.Settings(bucket=8), recall=0.99)
+    assert J.Settings().runs == 7 and J.Settings(recall=0.9999).runs > 7 > J.Settings(recall=0.9).runs
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (7, 7), *((i, 100) for i in range(50, 99))],
                                   "a long, b long")
