@@ -304,31 +304,47 @@ def _brute_force(members: DataFrame, loose: float) -> DataFrame:
             .mapInArrow(compare, "a long, b long"))
 
 
-def _pivot_round(big: DataFrame, loose: float, want: int, turn: int) -> DataFrame:
+def _pivot_round(big: DataFrame, set_: Settings, want: int, turn: int) -> DataFrame:
     """Each member of a large bucket against sampled pivots of the bucket:
-    (key, rep, a pivot it is alike or null, its sketch if it stays). Pivots come with all
-    pivots they are alike."""
+    (key, rep, a pivot or null, its sketch if it stays).
+
+    A member leaves when it is ``loose`` alike a pivot. What is ``least`` alike
+    that member is then at least loose - (1 - least) alike the same pivot
+    (distances obey the triangle inequality), so every member is linked to all
+    pivots down to there and two deviations of a sketch: both ends
+    of a pair have a common pivot, or go on together. Pivots that are linked
+    count as one, so a member has one link for each group of them."""
+    far = set_.loose - (1 - set_.least) - 2 * (set_.least * (1 - set_.least) / BINS) ** 0.5
     # drawn anew each turn, so a turn that drew none for a bucket is made good
     pick = F.pmod(F.xxhash64("rep", "key", F.lit(turn)), F.col("size")) < want
-    pivots = (big.where(pick).groupBy("key")
-              .agg(F.collect_list(F.struct("rep", "sketch")).alias("pivots")))  # about ``want``
+    pivots = (big.where(pick).groupBy("key")  # about ``want``, in one order in all tasks
+              .agg(F.sort_array(F.collect_list(F.struct("rep", "sketch"))).alias("pivots")))
 
     def compare(batches):
+        known: dict = {}
         for batch in batches:
             out = []
-            for key, rep, raw, pivots in zip(*(batch.column(c).to_pylist() for c in
-                                               ("key", "rep", "sketch", "pivots"))):
-                if not pivots:
+            for i, (key, rep, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in
+                                                      ("key", "rep", "sketch")))):
+                if key not in known:
+                    if len(known) >= 256:
+                        known.clear()
+                    pivots = batch.column("pivots")[i].as_py()
+                    if pivots:
+                        p = np.frombuffer(b"".join(x["sketch"] for x in pivots),
+                                          np.uint16).reshape(-1, BINS)
+                        pivots = [x["rep"] for x in pivots], p, roots(alike(p, p) >= far)
+                    known[key] = pivots
+                if not known[key]:
                     out.append((key, rep, None, raw))
                     continue
-                p = np.frombuffer(b"".join(x["sketch"] for x in pivots), np.uint16).reshape(-1, BINS)
+                ids, p, root = known[key]
                 like = alike(np.frombuffer(raw, np.uint16)[None], p)[0]
-                ids = [x["rep"] for x in pivots]
-                if rep in ids:
-                    out += [(key, rep, ids[i], None) for i in np.flatnonzero(like >= loose)]
-                else:
-                    i = int(np.argmax(like))
-                    out.append((key, rep, ids[i], None) if like[i] >= loose else (key, rep, None, raw))
+                near = np.unique(root[like >= far])
+                stays = raw if like.max() < set_.loose else None  # a pivot is like itself
+                out += [(key, rep, ids[r], None) for r in near]
+                if stays is not None or not len(near):
+                    out.append((key, rep, None, stays))
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())],
@@ -382,7 +398,7 @@ def candidate_links(reps: DataFrame, set_: Settings) -> tuple[DataFrame, list[st
         turn += 1
         table, path = written(big)
         used.append(path)
-        judged, path = written(_pivot_round(table, set_.loose, set_.bucket // 2, turn))
+        judged, path = written(_pivot_round(table, set_, set_.bucket // 2, turn))
         used.append(path)
         links.append(judged.where("pivot IS NOT NULL")
                      .select(F.col("rep").alias("a"), F.col("pivot").alias("b")))

@@ -228,6 +228,29 @@ def test_recall_of_pairs_that_share_hot_passages(spark):
     assert J.Settings().runs == 7 and J.Settings(recall=0.9999).runs > 7 > J.Settings(recall=0.9).runs
 
 
+def test_pivots_keep_both_ends_of_a_pair_together(spark):
+    """x and y are 0.8 alike; x is like the pivots and leaves, y is not: y is linked to them or x stays."""
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(0, 60_000, J.BINS).astype(np.uint16)
+
+    def other(s, lo, hi):
+        s = s.copy()
+        s[lo:hi] = rnd.integers(0, 60_000, hi - lo)
+        return s.tobytes()
+    rows = [(1, i, base.tobytes(), 40) for i in range(40)]
+    for i in range(40):
+        x = np.frombuffer(other(base, 0, 23), np.uint16)  # 41 of 64 places like the pivots
+        rows += [(1, 1000 + i, x.tobytes(), 40), (1, 2000 + i, other(x, 23, 36), 40)]  # 28 of 64
+    big = spark.createDataFrame(rows, "key long, rep long, sketch binary, size long")
+    pivots = {i for i in range(3000) if i < 40}
+    judged = J._pivot_round(big.where("rep < 40").unionByName(
+        big.where("rep >= 40").withColumn("size", F.lit(1 << 60))), J.Settings(), 40, 1).collect()
+    linked = {r.rep for r in judged if r.pivot in pivots}
+    stays = {r.rep for r in judged if r.sketch is not None}
+    assert linked >= pivots and not stays & pivots
+    assert all({1000 + i, 2000 + i} <= linked or {1000 + i, 2000 + i} <= stays for i in range(40))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (7, 7), *((i, 100) for i in range(50, 99))],
                                   "a long, b long")
