@@ -17,9 +17,8 @@ never collected.
   are joined, as (row, word, times).
 * Baum-Welch: tasks run the scaled forward and backward recursions over all
   training sequences and add up expected counts per (symbol, state); Spark
-  sums them, the driver normalises ``states x symbols`` numbers. The start
-  is Baum-Welch on a bounded sample (``Settings.start_rows``), ``passes``
-  passes over all training rows follow.
+  sums them, the driver normalises ``states x symbols`` numbers. Every pass
+  (``start_passes + passes``, 10) reads all training rows whole.
 * Scores: the scaled forward recursion, exact at any length.
 
 Training cuts sequences above ``Settings.block`` tokens into blocks; scoring does not.
@@ -52,8 +51,8 @@ class Settings:
     frequent: int = 8191  # words that are symbols of their own
     buckets: int = 8192
     lookup: int = 1 << 16  # at most so many frequent words go to every task, with their counts
-    start_rows: int = 1500
-    start_passes: int = 8
+    start_rows: int = 0  # not read any more: no pass is over a sample
+    start_passes: int = 8  # these and ``passes`` are all over all training rows
     passes: int = 2
     block: int = 500_000
     smooth: float = 0.02
@@ -341,23 +340,11 @@ def baum_welch_pass(seqs: DataFrame, model: Model, counts: np.ndarray, set_: Set
 
 
 def train(seqs: DataFrame, counts: np.ndarray, set_: Settings) -> Model:
-    """Baum-Welch: a start on a bounded sample, then passes over all sequences."""
+    """Baum-Welch from the seeded start, every pass over all sequences."""
     model = Model.first(counts, set_)
-    sample = [np.frombuffer(r.syms, "<u2") for r in
-              seqs.orderBy(F.xxhash64("_row"), "_row")
-              .select(F.substring("syms", 1, 2 * 4000).alias("syms"))
-              .limit(set_.start_rows).collect()]
-    if not sample:
+    if not counts.any():  # no training rows
         return model
-    batches = [Batch(p) for p in grouped(sample, 100_000)]  # bounds the driver's memory
-    for _ in range(set_.start_passes):
-        parts = [model.expected(b) for b in batches]
-        emits = np.zeros((set_.symbols, set_.states))
-        for _, _, _, seen, em in parts:
-            emits[seen] += em
-        model = Model.fitted(sum(p[1] for p in parts), sum(p[2] for p in parts), emits,
-                             counts, set_.smooth)
-    for _ in range(set_.passes):
+    for _ in range(set_.start_passes + set_.passes):
         model = baum_welch_pass(seqs, model, counts, set_)
     return model
 

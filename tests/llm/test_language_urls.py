@@ -88,6 +88,24 @@ def test_passes_do_not_lower_the_likelihood():
         model = H.Model.fitted(start, moves, emits, counts, 0.0)
 
 
+def test_every_pass_reads_all_rows_whole(spark):
+    rng = np.random.default_rng(3)
+    set_ = H.Settings(states=2, frequent=4, buckets=3, start_rows=1, start_passes=2, passes=1)
+    seqs = [np.concatenate([rng.integers(0, 4, 4500), rng.integers(4, set_.symbols, n)])
+            for n in (10, 5000, 700)] + [rng.integers(0, set_.symbols, 30)]
+    counts = np.bincount(np.concatenate(seqs), minlength=set_.symbols).astype(float)
+    df = spark.createDataFrame([(i, bytearray(x.astype("<u2").tobytes())) for i, x in enumerate(seqs)],
+                               "_row long, syms binary")
+    got, want = H.train(df, counts, set_), H.Model.first(counts, set_)
+    for _ in range(3):
+        _, start, moves, seen, em = want.expected(H.Batch(seqs))
+        emits = np.zeros((set_.symbols, 2))
+        emits[seen] = em
+        want = H.Model.fitted(start, moves, emits, counts, set_.smooth)
+    assert np.allclose(got.start, want.start) and np.allclose(got.move, want.move)
+    assert np.allclose(got.emit, want.emit)
+
+
 @pytest.fixture(scope="module")
 def scored(spark, docs):
     got = H.score_language(docs, "doc_id", "text", remainder("doc_id", 7) == 2, SMALL)
