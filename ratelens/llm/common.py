@@ -13,14 +13,20 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def written(df: DataFrame, compression: str = "zstd") -> tuple[DataFrame, str]:
+def written(df: DataFrame, compression: str = "zstd", **options) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared checkpoint folder; the frame that reads it, and its path."""
     spark = df.sparkSession
     path = new_scratch(spark, "llm")
-    df.write.mode("overwrite").option("compression", compression).parquet(path)
+    df.write.mode("overwrite").options(**options).option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: For tables of large rows: row groups of about 8 MB, so that a reader, which takes
+#: up to thousands of rows of a row group at once, holds no more.
+LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1,
+              "parquet.page.size.row.check.max": 4}
+
+
 def drop(df: DataFrame, *paths: str) -> None:
     """Delete intermediate tables that no live plan reads any more."""
     for path in paths:

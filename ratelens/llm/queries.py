@@ -103,3 +103,17 @@ def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import digest_documents, encode_documents
     path = public_tokenizer("piece_bpe_32k.model")
     return digest_documents(encode_documents(read_table(spark, sf_dir, "documents"), path), path)
+
+
+@query
+def op11_walsh_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .walsh_codes import compress_vectors
+    return compress_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align_documents
+    return align_documents(read_table(spark, sf_dir, "documents"),
+                           public_tokenizer("byte_bpe_50k.json"),
+                           public_tokenizer("piece_bpe_32k.model"))

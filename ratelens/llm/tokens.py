@@ -18,7 +18,7 @@ from array import array
 
 from .common import resident
 
-MAX_WORDS = 600_000  # entries of a task's word table (memory bound, not a limit on words)
+MAX_WORDS = 600_000  # entries of a worker's word table (memory bound, not a limit on words)
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which can join words
 
 
@@ -37,18 +37,24 @@ def _packed(ids) -> bytes:
     return a.tobytes()
 
 
-class _Table(dict):
-    """Ids of a word as little-endian unsigned 32-bit bytes, computed on a miss."""
+class Generations(dict):
+    """Values computed on a miss and kept in two generations: a full young one
+    becomes the old one, whose entries come back when they are met again. So the table
+    is bounded, and words that occur once do not keep later frequent ones out."""
 
-    def __init__(self, encode):
+    def __init__(self, compute, size: int = MAX_WORDS // 2):
         super().__init__()
-        self._encode = encode
+        self._compute, self._size, self._old = compute, size, {}
 
     def __missing__(self, word):
-        ids = self._encode(word)
-        if len(self) < MAX_WORDS:
-            self[word] = ids
-        return ids
+        value = self._old.get(word)
+        if value is None:
+            value = self._compute(word)
+        if len(self) >= self._size:
+            self._old = dict(self)
+            self.clear()
+        self[word] = value
+        return value
 
 
 class Encoder:
@@ -63,8 +69,8 @@ class Encoder:
         self.folds = self.tok.normalizer is not None  # lower-cases and drops white space
         # a space whose predecessor is white space too, or white space at the end
         self.unsafe = re.compile(r"\s |\s\Z")
-        self.pieces = _Table(self._piece)
-        self.words = _Table(self._folded_word if self.folds else self._spaced_word)
+        self.pieces = Generations(self._piece)
+        self.words = Generations(self._folded_word if self.folds else self._spaced_word)
 
     def _library(self, text: str) -> bytes:
         return _packed(self.tok.encode(text, add_special_tokens=False).ids)
