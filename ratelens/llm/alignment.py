@@ -25,6 +25,7 @@ occur. Extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,7 @@ from .common import LARGE_ROWS, resident, text_or_empty, written
 from .tokens import Generations, encoder
 
 MARK = "▁"
+AMISS = b"?"  # no whole number of ids
 
 
 @dataclass(frozen=True)
@@ -73,12 +75,33 @@ class Pieces:
         self.raw = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i)
                     else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.apart = not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.words = Generations(lambda w: np.array(self.model.encode(w), "<u4").tobytes())
+        self.words = Generations(lambda w: self._packed(w, self.model.encode(w)))
 
-    def encode(self, text: str) -> np.ndarray:
-        if (not self.apart or "  " in text or MARK in text or text[:1] == " " or text[-1:] == " "):
-            return np.array(self.model.encode(text), "<u4")
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split(" "))), "<u4")
+    def _spells(self, ids: list[int], text: str) -> bool:
+        return b"".join(map(self.raw.__getitem__, ids)) == b" " + text.encode("utf-8", "surrogatepass")
+
+    def _packed(self, text: str, ids: list[int]) -> bytes:
+        """Ids as unsigned 32-bit; ``AMISS`` where they do not spell a space and the text."""
+        return array("I", ids).tobytes() if self._spells(ids, text) else AMISS
+
+    def _in_words(self, text: str) -> bool:
+        """Whether its words can be encoded one by one: every space begins a word."""
+        return self.apart and not ("  " in text or MARK in text or text[:1] == " " or text[-1:] == " ")
+
+    def learn(self, texts) -> None:
+        """Encode the new words of these texts in one call of the library."""
+        words = {w for t in texts if t and self._in_words(t) for w in t.split(" ")}
+        new = self.words.unknown(words)
+        for w, ids in zip(new, self.model.encode(new, num_threads=1) if new else []):
+            self.words.add(w, self._packed(w, ids))
+
+    def encode(self, text: str) -> np.ndarray | None:
+        """Ids of a text; None where they do not spell a space and the text."""
+        if self._in_words(text):
+            found = list(map(self.words.__getitem__, text.split(" ")))
+            return None if AMISS in found else np.frombuffer(b"".join(found), "<u4")
+        ids = self.model.encode(text)
+        return np.array(ids, "<u4") if self._spells(ids, text) else None
 
 
 class Aligner:
@@ -102,13 +125,13 @@ class Aligner:
             return none, none
         whole = b" " + text.encode("utf-8", "surrogatepass")
         a, b = self.a.encode(text), self.b.encode(text)
-        for t, ids in ((self.a, a), (self.b, b)):
-            if b"".join(map(t.raw.__getitem__, ids.tolist())) != whole:
-                return none, none
+        if b is None or b"".join(map(self.a.raw.__getitem__, a.tolist())) != whole:
+            return none, none
         return a, b
 
     def aligned(self, texts: list[str | None]) -> dict[str, np.ndarray | list]:
         """Numbers and digests per text, and the pair (A id x size of B + B id) of every link in order."""
+        self.b.learn(texts)
         ids_a, ids_b = zip(*map(self.tokens, texts))
         upto_a, upto_b = (np.cumsum([len(i) for i in ids]) for ids in (ids_a, ids_b))
         a, b = (np.concatenate(ids).astype(np.int64) for ids in (ids_a, ids_b))

@@ -2,8 +2,9 @@
 
 Both public BPE files split a text before every space that follows a
 non-space, so the ids of a text are the ids of its space-delimited words in
-turn. Words repeat a lot; each task keeps a bounded table of word ids and
-asks the library's model only for new ones. Texts where a space follows
+turn. Words repeat a lot; each worker keeps a bounded table of word ids and
+merges only new ones, with ``tiktoken`` where the file's merges can be told as
+ranks (``ranked``), which is faster on single words. Texts where a space follows
 other white space, and words that are not letters followed by marks,
 go through the library's full encoding. Results are always those of
 ``Tokenizer.encode(text, add_special_tokens=False).ids``; strings that look
@@ -12,6 +13,7 @@ like special tokens are ordinary text.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from array import array
@@ -48,14 +50,67 @@ class Generations(dict):
 
     def __missing__(self, word):
         value = self._old.get(word)
-        if value is None:
-            value = self._compute(word)
+        return self.add(word, self._compute(word) if value is None else value)
+
+    def add(self, word, value):
         if len(self) >= self._size:
             self._old = dict(self)
             self.clear()
         self[word] = value
         return value
 
+    def unknown(self, words) -> list:
+        """Of these words those in neither generation."""
+        return [w for w in words if w not in self and w not in self._old]
+
+
+#: How a byte-level file that names no pattern of its own splits a text.
+BYTE_LEVEL_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+                      r"|\s+(?!\S)|\s+")
+
+
+def ranked(tokenizer: str):
+    """A ``tiktoken`` encoding with the merges of a tokenizer file (its JSON text), and the id
+    of each rank; None where the merges cannot be told as ranks.
+
+    A rank belongs to the bytes a merge makes. Files with a mark for word ends have
+    a second alphabet, bytes that end a word; they are written with the byte 0xFF
+    behind, which UTF-8 never holds, and these joins come before all merges.
+    """
+    import tiktoken
+    model = json.loads(tokenizer)["model"]
+    if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout") \
+            or model.get("byte_fallback") or model.get("ignore_merges"):
+        return None
+    byte = {c: bytes([b]) for b, c in _byte_letters().items()}
+    mark = model.get("end_of_word_suffix") or ""
+
+    def raw(token: str) -> bytes:
+        end = bool(mark) and token.endswith(mark)
+        return b"".join(byte[c] for c in (token[:-len(mark)] if end else token)) + b"\xff" * end
+
+    vocabulary = model["vocab"]
+    ranks = {bytes([b]): b for b in range(256)}
+    names = {bytes([b]): c for b, c in _byte_letters().items()}
+    if mark:
+        for b, c in _byte_letters().items():
+            ranks[bytes([b]) + b"\xff"] = 256 + b
+            names[bytes([b]) + b"\xff"] = c + mark
+    first = len(ranks)
+    for k, merge in enumerate(model["merges"]):
+        left, right = merge.split(" ") if isinstance(merge, str) else merge
+        key = raw(left + right)
+        if key in ranks:
+            return None  # two merges make the same bytes
+        ranks[key], names[key] = first + k, left + right
+    if any(name not in vocabulary for name in names.values()):
+        return None
+    ids = [0] * len(ranks)
+    for key, rank in ranks.items():
+        ids[rank] = vocabulary[names[key]]
+    return tiktoken.Encoding("pieces", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks,
+                             special_tokens={}), ids
+
 
 class Encoder:
     """``encode(text) -> bytes``: the ids as little-endian unsigned 32-bit integers."""
@@ -67,6 +122,7 @@ class Encoder:
         self.model = self.tok.model
         self.letters = _byte_letters()
         self.folds = self.tok.normalizer is not None  # lower-cases and drops white space
+        self.ranks = ranked(self.tok.to_str())
         # a space whose predecessor is white space too, or white space at the end
         self.unsafe = re.compile(r"\s |\s\Z")
         self.pieces = Generations(self._piece)
@@ -76,10 +132,20 @@ class Encoder:
         return _packed(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
-        return _packed([t.id for t in self.model.tokenize(piece)])
-
-    def _spelled(self, text: str) -> str:
-        return text.encode("utf-8").decode("latin-1").translate(self.letters)
+        raw = piece.encode("utf-8")
+        if self.ranks is None:
+            spelled = raw.decode("latin-1").translate(self.letters)
+            return _packed([t.id for t in self.model.tokenize(spelled)])
+        encoding, ids = self.ranks
+        return _packed(map(ids.__getitem__, encoding._core_bpe.encode_single_piece(
+            raw + b"\xff" if self.folds else raw)))
+
+    def _plain(self, text: str) -> bytes:
+        """Of ASCII text, whose classes of characters all libraries agree on."""
+        if self.ranks is None or self.folds or not text.isascii():
+            return self._library(text)
+        encoding, ids = self.ranks
+        return _packed(map(ids.__getitem__, encoding._core_bpe.encode_ordinary(text)))
 
     def _split(self, word: str) -> tuple[str, str]:
         body = word.rstrip(_MARKS)
@@ -88,9 +154,9 @@ class Encoder:
     def _spaced_word(self, word: str) -> bytes:
         body, mark = self._split(word)
         if not body:
-            return self._library(" " + word)
-        ids = self.pieces[self._spelled(" " + body)]
-        return ids + self.pieces[self._spelled(mark)] if mark else ids
+            return self._plain(" " + word)
+        ids = self.pieces[" " + body]
+        return ids + self.pieces[mark] if mark else ids
 
     def _folded_word(self, word: str) -> bytes:
         if not word:
@@ -99,8 +165,8 @@ class Encoder:
         body = body.lower() if body.isascii() else self.tok.normalizer.normalize_str(body)
         if not body.isalpha():
             return self._library(word)
-        ids = self.pieces[self._spelled(body)]
-        return ids + self.pieces[self._spelled(mark)] if mark else ids
+        ids = self.pieces[body]
+        return ids + self.pieces[mark] if mark else ids
 
     def encode(self, text: str) -> bytes:
         if self.folds:
