@@ -117,3 +117,9 @@ def op13_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(read_table(spark, sf_dir, "documents"),
                            public_tokenizer("byte_bpe_50k.json"),
                            public_tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
