@@ -390,9 +390,12 @@ def answers(blobs: list[bytes], window: int):
 # --- distributed steps ---------------------------------------------------------------
 
 def _documents(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    ids = table.column("id").to_pylist()
+    """Ids and texts in an order that does not depend on how rows came over the network:
+    both steps have to number the suffixes of a part alike."""
+    ids = [NO_ID if i is None else i for i in table.column("id").to_pylist()]
     texts = [t.encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
-    return np.array([NO_ID if i is None else i for i in ids], np.int64), texts
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
+    return np.array([ids[k] for k in order], np.int64), [texts[k] for k in order]
 
 
 def sample_splitters(rows: DataFrame, total: int, ranges: int, settings: Settings) -> np.ndarray:
@@ -450,9 +453,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
         part = Part(*_documents(texts), splitters, settings)
+        ids = [None if i == NO_ID else i for i in part.ids.tolist()]
         given = b"".join(found.column("answers").to_pylist()) if found.num_rows else b""
         numbers = list(zip(*part.results(np.frombuffer(given, _ANSWER)))) or [(), (), (), ()]
-        return pa.table([texts.column("id"), *(pa.array(c, pa.int64()) for c in numbers[:3]),
+        return pa.table([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in numbers[:3]),
                          pa.array(numbers[3], pa.string())],
                         names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 

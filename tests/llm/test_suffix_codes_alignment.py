@@ -171,6 +171,18 @@ def test_repeated_passages_go(spark, setting):
     assert removed(spark, rows, **setting) == want
 
 
+def test_parts_do_not_depend_on_the_order_of_rows(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(S, "_STEP", 256)
+    rows, found = shared_passages(), []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        table = pa.table({"id": [d for d, _ in rows], "text": [t or "" for _, t in rows]})
+        part = S.Part(*S._documents(table), np.zeros(0, "S104"), S.Settings())
+        found.append((part.texts, part.records.keys().tolist()))
+    assert found[0] == found[1]
+
+
 def test_one_beginning_in_every_document(spark):
     """A hot passage behind a different beginning in each document, over many borders."""
     passage = "the same forty bytes and then some more in every single document, to its very end"
