@@ -295,34 +295,44 @@ class Part:
 _ANSWER = np.dtype([("number", "<u4"), ("low", "u1"), ("high", "u1"), ("id", "<i8")])
 
 
+def _held(records: Records, low, high) -> np.ndarray:
+    """Which bytes of [before, behind] belong to the windows."""
+    deep = records.before.shape[1]
+    at = np.arange(deep + records.behind.shape[1])
+    return (at >= (deep - high.astype(np.int64))[:, None]) & (at < (deep + records.window - low.astype(np.int64))[:, None])
+
+
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Bytes of 64-bit numbers, low ones first: equal bytes side by side are small when compressed."""
+    return np.ascontiguousarray(values.astype("<i8")).view(np.uint8).reshape(len(values), 8).T
+
+
 def packed(records: Records, number, least, most) -> bytes:
+    """Records without the zeros around them; numbers (ascending) by their differences."""
     n = len(number)
-    raw = [np.array([n, records.behind.shape[1], records.before.shape[1]], "<i8"), records.behind, records.before,
-           records.low, records.high, number.astype("<u4"),
-           least.astype("<i8").view(np.uint8).reshape(n, 8).T, most.astype("<i8").view(np.uint8).reshape(n, 8).T]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in raw))
+    text = np.hstack([records.before, records.behind])[_held(records, records.low, records.high)]
+    raw = [np.array([n, len(text)], "<i8"), records.low, records.high, _planes(np.diff(number, prepend=0)),
+           _planes(least), _planes(most - least), text]  # differences may wrap around; so do sums
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(x.tobytes() for x in raw))
 
 
-def unpacked(blobs: list[bytes], window: int):
-    """Records of all blobs, with blob, number, least and most of each."""
-    columns: list[list[np.ndarray]] = [[] for _ in range(8)]
+def unpacked(blobs: list[bytes], settings: Settings):
+    """Records of all blobs, with number, least, most and blob of each."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
     for k, blob in enumerate(blobs):
         raw = zstandard.ZstdDecompressor().decompress(blob)
-        n, wide, deep = np.frombuffer(raw, "<i8", 3).tolist()
-        at = 24
-        found = []
-        for size, kind in ((wide, "u1"), (deep, "u1"), (1, "u1"), (1, "u1"), (4, "<u4")):
-            x = np.frombuffer(raw, kind, n * size // np.dtype(kind).itemsize, at)
-            found.append(x.reshape(n, size) if kind == "u1" and size > 1 else x)
-            at += n * size
-        for _ in range(2):
-            x = np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T
-            found.append(np.ascontiguousarray(x).view("<i8").ravel())
-            at += 8 * n
-        for c, x in zip(columns, [*found, np.full(n, k)]):
+        n, size = np.frombuffer(raw, "<i8", 2).tolist()
+        low, high = np.frombuffer(raw, np.uint8, 2 * n, 16).reshape(2, n)
+        numbers = np.frombuffer(raw, np.uint8, 24 * n, 16 + 2 * n).reshape(3, 8, n)
+        number, least, most = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in numbers)
+        text = np.frombuffer(raw, np.uint8, size, 16 + 26 * n)
+        for c, x in zip(columns, (low, high, np.cumsum(number), least, least + most, np.full(n, k), text)):
             c.append(x)
-    behind, before, low, high, number, least, most, blob = map(np.concatenate, columns)
-    return Records(behind, before, low, high, window), number, least, most, blob
+    low, high, number, least, most, blob, text = map(np.concatenate, columns)
+    rows = np.zeros((len(low), settings.before + settings.behind), np.uint8)
+    records = Records(rows[:, settings.before:], rows[:, :settings.before], low, high, settings.window)
+    rows[_held(records, low, high)] = text
+    return records, number, least, most, blob
 
 
 def smallest_ids(records: Records, least: np.ndarray):
@@ -368,9 +378,9 @@ def smallest_ids(records: Records, least: np.ndarray):
     return order, first, entries
 
 
-def answers(blobs: list[bytes], window: int):
+def answers(blobs: list[bytes], settings: Settings):
     """(blob, answers) of one range for the blobs whose part has something to remove."""
-    records, number, least, most, blob = unpacked(blobs, window)
+    records, number, least, most, blob = unpacked(blobs, settings)
     order, first, (which, low, high, held) = smallest_ids(records, least)
     upto = np.append(first, len(order))
     count = upto[which + 1] - upto[which]
@@ -435,7 +445,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     splitters = sample_splitters(rows, total, ranges, settings)
     # the same dealing in both steps, so that Spark moves the texts once
     dealt = rows.select("id", "text", F.pmod(F.shiftright("place", 20), F.lit(parts)).alias("part"))
-    window = settings.window
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         part = Part(*_documents(table), splitters, settings)
@@ -447,7 +456,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def compare(table: pa.Table) -> pa.Table:
         to = table.column("part").to_pylist()
-        found = list(answers(table.column("records").to_pylist(), window))
+        found = list(answers(table.column("records").to_pylist(), settings))
         return pa.table([pa.array([to[k] for k, _ in found], pa.int64()),
                          pa.array([a for _, a in found], pa.binary())], names=["part", "answers"])
 
