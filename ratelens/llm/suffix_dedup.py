@@ -2,9 +2,9 @@
 
 A byte goes when a string of ``window`` bytes that covers it also starts in a document
 with a smaller id. Suffixes are sorted where texts can meet only: in
-every window the 16 bytes of least hash are its anchor (the leftmost, of equal ones). Equal
+every window the 12 bytes of least hash are its anchor (the leftmost, of equal ones). Equal
 windows have their anchors at equal places, so windows are compared among suffixes
-that start at anchors; about one position in 18 is one. A suffix carries the bytes before it that its
+that start at anchors; about one position in 19 is one. A suffix carries the bytes before it that its
 windows reach, and stands for the run of windows that share the anchor.
 
 1. Documents are dealt into parts by a hash of the row. A part sorts its suffixes by multikey
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-GRAM = 16
+GRAM = 12
 NO_ID = -(1 << 63)  # a null id
 CROSS = 1 << 31  # numbers of windows compared across borders begin here
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
@@ -54,8 +54,8 @@ _STEP = 1 << 18  # positions whose anchors are found at a time
 @dataclass(frozen=True)
 class Settings:
     window: int = 50
-    part_bytes: int = 4 << 20
-    range_bytes: int = 6 << 20  # of text whose suffixes fill a range
+    part_bytes: int = 6 << 20
+    range_bytes: int = 8 << 20  # of text whose suffixes fill a range
     sample_bytes: int = 32 << 20  # of text read for splitters
     keys: int = 200_000  # sampled suffixes that reach the driver, at most
 
@@ -80,7 +80,7 @@ def anchors(text: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
         b = text[a:a + _STEP + window - 1].astype(np.uint64)
         for shift in (1, 2, 4):  # eight bytes from each position
             b = b[:-shift] | b[shift:] << np.uint64(8 * shift)
-        h = b[:-8] * _MIX[0] ^ (b[8:] ^ b[8:] >> np.uint64(29)) * _MIX[1]
+        h = b[:8 - GRAM] * _MIX[0] ^ (b[GRAM - 8:] ^ b[GRAM - 8:] >> np.uint64(29)) * _MIX[1]
         h = (h ^ h >> np.uint64(32)) * _MIX[2]
         low = np.uint64(20)
         h = h >> low << low | np.arange(len(h), dtype=np.uint64)
@@ -414,7 +414,7 @@ def sample_splitters(rows: DataFrame, total: int, ranges: int, settings: Setting
     if ranges == 1:
         return np.zeros(0, f"S{width}")
     share = min(1.0, settings.sample_bytes / total)
-    # suffixes are one in 18 positions
+    # suffixes are one in some 18 positions
     step = max(1, int(total * share / 18 / min(settings.keys, 256 * ranges)))
 
     def keys(batches):
