@@ -255,14 +255,14 @@ def _split(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int) -
             for row, key, text in zip(batch.column("_row").to_pylist(),
                                       batch.column("_id").to_pylist(), batch.column("_text")):
                 s = marked(text.as_py())
-                if len(s) <= chunk:
+                count = max(1, -(-len(s) // chunk))
+                if count > 1 and len(s) - (count - 1) * chunk < voc.longest:
+                    count -= 1  # a chunk is never shorter than a piece
+                if count == 1:
                     words = [voc.words[w][0] for w in _WORD.findall(s)]
                     out.append((row, key, 0, 1, None, None, b"".join(words)))
                     held += len(s)
                 else:
-                    count = -(-len(s) // chunk)
-                    if count > 1 and len(s) - (count - 1) * chunk < voc.longest:
-                        count -= 1  # a chunk is never shorter than a piece
                     for k in range(count):
                         a, b = k * chunk, (k + 1) * chunk if k < count - 1 else len(s)
                         # before the text stands a mark, so no break is seen at its start

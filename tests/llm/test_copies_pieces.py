@@ -347,6 +347,29 @@ def test_documents_round_trip(spark, docs, odd, empty, monkeypatch):
     assert P.digest_documents(P.encode_documents(empty, PATH), PATH).collect() == []
 
 
+def test_lengths_around_chunk_borders(spark, library):
+    """Every length from two below one and two chunks to twice the longest piece beyond."""
+    voc, chunk = P.vocabulary(PATH), 64
+    text = ("the international re-organization of 漢字 words  " * 9).replace("  ", " ")
+    # the marked text has one character more
+    lengths = [n - 1 for c in (chunk, 2 * chunk) for n in range(c - 2, c + 2 * voc.longest + 1)]
+    df = spark.createDataFrame([(n, text[:n]) for n in lengths], "doc_id long, text string")
+    encoded = P.encode_documents(df, PATH, chunk=chunk).cache()
+    got = {r.doc_id: r for r in P.digest_documents(encoded, PATH).collect()}
+    assert len(got) == len(set(lengths))
+    rows = defaultdict(list)
+    for r in sorted(encoded.collect(), key=lambda r: r.k):
+        rows[r.doc_id].append(bytes(r.ids))
+    for n in lengths:
+        assert (got[n].n_chars, got[n].text_crc32) == (n, zlib.crc32(text[:n].encode()))
+        ids = np.frombuffer(b"".join(rows[n]), "<u4").tolist()
+        assert ids == library.encode(text[:n]), n
+    whole = spark.createDataFrame([(n, "word " * 9000 + "x" * (n % 5)) for n in range(5)], "doc_id long, text string") \
+        .selectExpr("doc_id", f"substring(text, 1, int({P.CHUNK} - 3 + 6 * doc_id)) AS text")
+    found = P.digest_documents(P.encode_documents(whole, PATH), PATH).collect()
+    assert sorted(r.n_chars for r in found) == [P.CHUNK - 3 + 6 * n for n in range(5)]
+
+
 # --- pipeline -----------------------------------------------------------------------
 
 
