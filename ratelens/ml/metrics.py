@@ -132,6 +132,81 @@ def ranking_metrics(scored: DataFrame, label: str = "label", score: str = "score
                    F.try_divide(F.max("P"), F.max("P") + F.max("N")).alias("positive_rate"))
 
 
+# --- many score lists at once -----------------------------------------------------------
+
+FEW_KEYS = 1000  # score lists whose cuts and offsets are broadcast; more are joined by shuffle
+
+
+def _joined(left: DataFrame, right: DataFrame, on: Sequence[str], few: bool) -> DataFrame:
+    """Inner join on equal keys, NULL equal to NULL; ``right`` is broadcast when ``few``."""
+    named = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
+    same = None
+    for c in on:
+        one = F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+        same = one if same is None else same & one
+    return left.join(F.broadcast(named) if few else named, same).drop(*[f"__r_{c}" for c in on])
+
+
+def cumulative_by_key(scored: DataFrame, keys: Sequence[str], label: str = "label",
+                      score: str = "score", n_bins: int | None = None) -> DataFrame:
+    """``cumulative_by_score`` of every score list of a frame: a list is the rows of equal
+    ``keys`` (e.g. model and fold). One pass over the rows, one written table of
+    distinct scores, one running sum, whatever the number of lists.
+
+    Every list has its own cut points and bin offsets. Windows are over one list's bins
+    (at most ``n_bins``) and over one bin of one list, so a list that holds
+    most of the rows is spread like a single one.
+    """
+    from ..session import materialize
+    keys = list(keys)
+    n_bins = n_bins or default_bins(scored.sparkSession)
+    groups = materialize(
+        _rankable(scored, label, score).groupBy(*keys, F.col(score).alias("score"))
+        .agg(F.sum(F.col(label).cast("long")).alias("tp"), F.count(F.lit(1)).alias("__n"))
+        .select(*keys, "score", "tp", (F.col("__n") - F.col("tp")).alias("fp")))
+    probs = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
+    cuts = materialize(groups.groupBy(*keys).agg(
+        F.array_distinct(F.percentile_approx("score", probs, F.lit(4 * n_bins))).alias("__cuts")))
+    few = cuts.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    binned = _joined(groups, cuts, keys, few).withColumn(
+        "bin", F.size(F.filter("__cuts", lambda c: c < F.col("score")))).drop("__cuts")
+    totals = binned.groupBy(*keys, "bin").agg(F.sum("tp").alias("btp"), F.sum("fp").alias("bfp"))
+    whole = Window.partitionBy(*keys)
+    above = whole.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, "bin", F.coalesce(F.sum("btp").over(above), F.lit(0)).alias("otp"),
+        F.coalesce(F.sum("bfp").over(above), F.lit(0)).alias("ofp"),
+        F.sum("btp").over(whole).alias("P"), F.sum("bfp").over(whole).alias("N"))
+    run = (Window.partitionBy(*keys, "bin").orderBy(F.col("score").desc())
+           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return _joined(binned, offsets, [*keys, "bin"], few).select(
+        *keys, "score", "tp", "fp", (F.col("otp") + F.sum("tp").over(run)).alias("ctp"),
+        (F.col("ofp") + F.sum("fp").over(run)).alias("cfp"), "P", "N")
+
+
+def ranking_metrics_by_key(scored: DataFrame, keys: Sequence[str], label: str = "label",
+                           score: str = "score", n_bins: int | None = None) -> DataFrame:
+    """J-8 + J-9 of every score list: keys, roc_auc, average_precision, positive_rate."""
+    return cumulative_by_key(scored, keys, label, score, n_bins).groupBy(*keys).agg(
+        _auc().alias("roc_auc"), _ap().alias("average_precision"),
+        F.try_divide(F.max("P"), F.max("P") + F.max("N")).alias("positive_rate"))
+
+
+def curves_by_key(scored: DataFrame, keys: Sequence[str], label: str = "label",
+                  score: str = "score", n_bins: int | None = None) -> DataFrame:
+    """J-10 + J-11 of every score list: keys, threshold, fpr, tpr, precision, recall at every
+    distinct score, after the point of no prediction (NULL threshold)."""
+    cum = cumulative_by_key(scored, keys, label, score, n_bins)
+    points = cum.select(*keys, F.col("score").cast("double").alias("threshold"),
+                        F.try_divide("cfp", "N").alias("fpr"), F.try_divide("ctp", "P").alias("tpr"),
+                        (F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("precision"),
+                        F.try_divide("ctp", "P").alias("recall"))
+    start = (_rankable(scored, label, score).select(*keys).distinct()
+             .select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"),
+                     F.lit(0.0).alias("tpr"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
+    return points.unionByName(start)
+
+
 def _anchor(scored: DataFrame, **values: float) -> DataFrame:
     """One row with a NULL threshold and the given values."""
     return scored.sparkSession.range(1).select(

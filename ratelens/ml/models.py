@@ -25,11 +25,12 @@ from ..constants import (CV_FOLDS, FEATURE_COLUMNS, LABEL_COLUMN,
 from ..functions.cleaning import check_columns
 from ..functions.flags import engineer_features
 from ..session import materialize
-from .metrics import (classification_report, confusion, ranking_metrics, roc_auc,
-                      threshold_sweep)
+from .metrics import (classification_report, confusion, ranking_metrics,
+                      ranking_metrics_by_key, threshold_sweep)
 from .split import stratified_folds
 
 RF_MAX_DEPTH = 30  # unlimited depth is not available; this is Spark's largest
+LR_TOL = 1e-12  # relative change at which the fit ends: its gradient is then 0 at 6 digits
 MAX_CLASSES = 1000  # of a label; more is an id, not a class
 
 
@@ -93,7 +94,7 @@ def feature_moments(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS) ->
 
 def logistic_model(moments: Mapping[str, tuple[float, float]], label: str = LABEL_COLUMN,
                    weight: str = "weight", n_train: int | None = None,
-                   max_iter: int = LR_MAX_ITER) -> Pipeline:
+                   max_iter: int = LR_MAX_ITER, tol: float = LR_TOL) -> Pipeline:
     """J-4 + J-5: standardise by the given (mean, sd) per feature, then
     balanced logistic regression. A constant feature is only centred.
 
@@ -108,7 +109,7 @@ def logistic_model(moments: Mapping[str, tuple[float, float]], label: str = LABE
         SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
         VectorAssembler(inputCols=[f"__z_{f}" for f in moments], outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight,
-                           maxIter=max_iter, regParam=reg, elasticNetParam=0.0,
+                           maxIter=max_iter, tol=tol, regParam=reg, elasticNetParam=0.0,
                            standardization=False),
     ])
 
@@ -151,6 +152,79 @@ def fit_logistic(train: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
         weighted.unpersist()
 
 
+def logistic_gradient(model: PipelineModel, train: DataFrame,
+                      features: Sequence[str] = FEATURE_COLUMNS,
+                      label: str = LABEL_COLUMN) -> DataFrame:
+    """J-5 / J-13 checked: the gradient of the fitted objective (weighted mean log loss and L2
+    penalty, on scaled features) at the coefficients, one row per feature and one for the
+    intercept. All are 0 at the optimum. One aggregate over rows grouped by features and label."""
+    lr = model.stages[-1]
+    counts = class_counts(train, label)
+    n = sum(counts.values())
+    moments = {r["feature"]: (r["mean"] or 0.0, (r["sd"] or 0.0) or 1.0)
+               for r in feature_moments(train, features).collect()}
+    grouped = (balanced_weights(train, label, counts=counts).groupBy(*features, label)
+               .agg(F.sum("weight").alias("weight")))
+    beta = [float(b) for b in lr.coefficients.toArray()]
+    scaled = [(F.col(f) - moments[f][0]) / moments[f][1] for f in features]
+    margin = F.lit(float(lr.intercept))
+    for b, z in zip(beta, scaled):
+        margin = margin + b * z
+    residual = F.col("weight") * (1 / (1 + F.exp(-margin)) - F.col(label))
+    total = F.sum("weight")
+    cells = [F.struct(F.lit(f).alias("feature"),
+                      (F.sum(residual * z) / total + b / n).alias("gradient"))
+             for f, b, z in zip(features, beta, scaled)]
+    cells.append(F.struct(F.lit("(intercept)").alias("feature"), (F.sum(residual) / total).alias("gradient")))
+    return grouped.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+def fold_cube(folds: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
+              label: str = LABEL_COLUMN, fold: str = "fold") -> DataFrame:
+    """J-19 in one grouped table: (fold, features, label, n), written once. The training set
+    of a fold is the sum over the other folds, so it needs no grouping of its own."""
+    return materialize(folds.groupBy(fold, *features, label).agg(F.count(F.lit(1)).alias("n")))
+
+
+def cube_statistics(cube: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
+                    label: str = LABEL_COLUMN, fold: str = "fold") -> dict:
+    """Per fold: class counts and (mean, population sd) per feature of its training set, all from one
+    aggregate of at most folds x classes rows. Sums of whole numbers below 2**53 are exact."""
+    x = {f: F.col(f).cast("double") for f in features}
+    rows = (cube.groupBy(fold, label).agg(
+        F.sum("n").alias("n"), *[F.sum(F.col("n") * x[f]).alias(f"s_{f}") for f in features],
+        *[F.sum(F.col("n") * x[f] * x[f]).alias(f"q_{f}") for f in features])
+        .limit(MAX_CLASSES + 1).collect())
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{fold} and {label} have more than {MAX_CLASSES} combinations")
+    out = {}
+    for held in sorted({r[fold] for r in rows}):
+        train = [r for r in rows if r[fold] != held]
+        counts: dict = {}
+        for r in train:
+            counts[r[label]] = counts.get(r[label], 0) + r["n"]
+        n = sum(counts.values())
+        moments = {}
+        for f in features:
+            mean = sum(r[f"s_{f}"] for r in train) / n if n else 0.0
+            square = sum(r[f"q_{f}"] for r in train) / n if n else 0.0
+            moments[f] = (mean, max(0.0, square - mean * mean) ** 0.5)
+        out[held] = (counts, moments)
+    return out
+
+
+def fit_logistic_fold(cube: DataFrame, held: int, counts: Mapping[int, int],
+                      moments: Mapping[str, tuple[float, float]], label: str = LABEL_COLUMN,
+                      fold: str = "fold") -> PipelineModel:
+    """The balanced logistic regression of one fold's training set, from the cube."""
+    train = balanced_weights(cube.filter(F.col(fold) != held), label, out="w1", counts=dict(counts))
+    weighted = train.withColumn("weight", F.col("w1") * F.col("n")).drop("w1", "n").cache()
+    try:
+        return logistic_model(moments, label, n_train=sum(counts.values())).fit(weighted)
+    finally:
+        weighted.unpersist()
+
+
 def split_bins(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS) -> int:
     """Bins that keep every distinct value of every feature apart: the
     approximate number of distinct values (1 % error) with a margin of 5 %."""
@@ -254,26 +328,32 @@ def cross_validate(frame: DataFrame, k: int = CV_FOLDS, features: Sequence[str]
     """J-19: stratified k-fold ROC-AUC for both models, weights refit per fold.
 
     The fold-assigned frame is written once to the shared checkpoint folder
-    (``materialize``), so the 2k fits read it without recomputing anything.
+    (``materialize``); the logistic fits read its cube (``fold_cube``), the forests
+    its rows, which they have to draw one by one.
     Up to ``parallelism`` fits are submitted at once (each fit is itself a
-    series of distributed jobs), as Spark's CrossValidator does.
+    series of distributed jobs), as Spark's CrossValidator does. All held-out scores are
+    written and ranked together (``ranking_metrics_by_key``).
     Returns (model, fold, roc_auc).
     """
-    spark = frame.sparkSession
     rows = materialize(frame)
     parts = stratified_folds(rows.select(id_col, label), label, id_col, k).select(id_col, "fold")
     folds = materialize(fixed_layout(rows.join(parts, id_col), id_col))
-    fitters = {"Logistic Regression": lambda t: fit_logistic(t, features, label),
-               "Random Forest": lambda t: fit_forest(t, features, label, trees, max_depth)}
+    cube = fold_cube(folds, features, label)
+    statistics = cube_statistics(cube, features, label)
+    fitters = {"Random Forest": lambda f: fit_forest(folds.filter(F.col("fold") != f), features, label,
+                                                     trees, max_depth),
+               "Logistic Regression": lambda f: fit_logistic_fold(cube, f, *statistics[f], label)}
 
-    def run(task: tuple[str, int]) -> tuple[str, int, float]:
+    def run(task: tuple[str, int]) -> DataFrame:
         name, f = task
-        train = folds.filter(F.col("fold") != f)
-        test = folds.filter(F.col("fold") == f)
-        auc = roc_auc(score(fitters[name](train), test, id_col, label)).first()[0]
-        return name, f, float(auc)
+        return score(fitters[name](f), folds.filter(F.col("fold") == f), id_col, label).select(
+            F.lit(name).alias("model"), F.lit(f).cast("int").alias("fold"), "label", "score")
 
-    tasks = [(name, f) for f in range(k) for name in fitters]
+    # the long fits first
+    tasks = [(name, f) for name in fitters for f in statistics]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(run, tasks))
-    return spark.createDataFrame(rows, "model string, fold int, roc_auc double")
+        scored = list(pool.map(run, tasks))
+    everything = scored[0]
+    for s in scored[1:]:
+        everything = everything.unionByName(s)
+    return ranking_metrics_by_key(everything, ["model", "fold"]).select("model", "fold", "roc_auc")

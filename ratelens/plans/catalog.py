@@ -26,6 +26,7 @@ from ..functions.flags import (bracket_order, engineer_features,
 from ..functions.formatting import rate_band, sign_band
 from ..ml import metrics as M
 from ..ml import models as ML
+from ..ml import trees as TR
 from ..ml.split import part_rates, split_summary, stratified_folds, stratified_split
 from ..operators import profile as P
 from ..operators import quality as Q
@@ -747,6 +748,88 @@ def j20t(spark, sf):
                         F.size("scores").alias("folds"))
 
 
+def _two_rules(spark, sf):
+    """Two rule scores over the whole model frame, dealt into five folds by the encounter id."""
+    f = frame(spark, sf)
+    one = f.select((F.col("encounter_id") % 5).cast("int").alias("fold"), F.col(LABEL_COLUMN).alias("label"),
+                   F.explode(F.array(
+                       F.struct(F.lit("stay and medications").alias("model"),
+                                ((F.col("time_in_hospital") + F.col("num_medications")) / 60.0).alias("score")),
+                       F.struct(F.lit("visits").alias("model"),
+                                ((F.col("number_inpatient") + F.col("number_outpatient")) / 60.0).alias("score")))
+                   ).alias("rule"))
+    return one.select("rule.model", "fold", "label", "rule.score")
+
+
+@query("j08_metrics_by_model_and_fold")
+def j08k(spark, sf):
+    found = M.ranking_metrics_by_key(_two_rules(spark, sf), ["model", "fold"])
+    return found.select("model", "fold", *[F.round(c, METRIC_DIGITS).alias(c) for c in
+                                           ("roc_auc", "average_precision", "positive_rate")])
+
+
+@query("j10_curves_by_model_and_fold")
+def j10k(spark, sf):
+    return M.curves_by_key(_two_rules(spark, sf), ["model", "fold"])
+
+
+@query("j19_fold_training_sets")
+def j19c(spark, sf):
+    """Class counts and feature moments of every fold's training set, from the fold cube."""
+    folds = frame(spark, sf).withColumn("fold", (F.col("encounter_id") % 5).cast("int"))
+    found = ML.cube_statistics(ML.fold_cube(folds))
+    cells = [F.struct(F.lit(f).alias("fold"), F.lit(c).alias("feature"), F.lit(counts.get(0, 0)).alias("negatives"),
+                      F.lit(counts.get(1, 0)).alias("positives"), F.lit(m).alias("mean"), F.lit(s).alias("sd"))
+             for f, (counts, moments) in found.items() for c, (m, s) in moments.items()]
+    out = spark.range(1).select(F.inline(F.array(*cells)))
+    return out.select("fold", "feature", F.col("negatives").cast("long").alias("negatives"),
+                      F.col("positives").cast("long").alias("positives"),
+                      F.round("mean", 8).alias("mean"), F.round("sd", 8).alias("sd"))
+
+
+# A fixed forest, as a node table: tree, node, feature, cut, yes (feature <= cut), no.
+FIXED_FOREST = (
+    (0, 0, "num_medications", 13.5, 1, 2), (0, 1, "time_in_hospital", 3.5, 3, 4),
+    (0, 2, "number_inpatient", 1.5, 5, 6), (0, 3, None, None, None, None), (0, 4, None, None, None, None),
+    (0, 5, "age_risk", 0.5, 7, 8), (0, 6, None, None, None, None), (0, 7, None, None, None, None),
+    (0, 8, None, None, None, None),
+    (1, 0, "long_stay", 0.5, 1, 2), (1, 1, None, None, None, None), (1, 2, "number_emergency", 0.5, 3, 4),
+    (1, 3, None, None, None, None), (1, 4, None, None, None, None),
+    (2, 0, "number_outpatient", 1.5, 1, 2), (2, 1, "num_medications", 9.5, 3, 4), (2, 2, None, None, None, None),
+    (2, 3, None, None, None, None), (2, 4, "time_in_hospital", 5.5, 5, 6), (2, 5, None, None, None, None),
+    (2, 6, None, None, None, None))
+
+
+def _fixed_forest(spark, sf):
+    """The fixed questions with weights measured on the whole model frame."""
+    cells = [F.struct(F.lit(t).alias("tree"), F.lit(n).alias("node"), F.lit(f).cast("string").alias("feature"),
+                      F.lit(c).cast("double").alias("cut"), F.lit(y).cast("int").alias("yes"),
+                      F.lit(no).cast("int").alias("no"), *[F.lit(None).cast("double").alias(x) for x in ("gain", "w0", "w1")])
+             for t, n, f, c, y, no in FIXED_FOREST]
+    nodes = spark.range(1).select(F.inline(F.array(*cells)))
+    rows = frame(spark, sf)
+    return TR.refit_nodes(TR.forest_from_nodes(nodes), ML.balanced_weights(rows))
+
+
+@query("j06_forest_node_table")
+def j06n(spark, sf):
+    return _fixed_forest(spark, sf).nodes.select(
+        "tree", "node", "feature", "cut", "yes", "no", F.round("gain", METRIC_DIGITS).alias("gain"),
+        F.round("w0", 6).alias("w0"), F.round("w1", 6).alias("w1"))
+
+
+@query("j07_forest_scores_by_descent")
+def j07n(spark, sf):
+    found = TR.score_nodes(frame(spark, sf), _fixed_forest(spark, sf))
+    return found.select("id", "label", F.round("score", METRIC_DIGITS).alias("score"))
+
+
+@query("j14_importances_of_node_table")
+def j14n(spark, sf):
+    return TR.node_importances(_fixed_forest(spark, sf)).select(
+        "feature", F.round("importance", METRIC_DIGITS).alias("importance"))
+
+
 def _train_test(spark, sf):
     """The model frame with its split, written once in a fixed layout."""
     rows = frame(spark, sf).join(_split(spark, sf).select("encounter_id", "is_test"),
@@ -761,6 +844,14 @@ def j05(spark, sf):
     return ML.coefficients(ML.fit_logistic(train))
 
 
+@query("j05_logistic_optimality")
+def j05g(spark, sf):
+    """The gradient at the fitted coefficients, on the training part: 0 at 6 digits."""
+    train, _ = _train_test(spark, sf)
+    found = ML.logistic_gradient(ML.fit_logistic(train), train)
+    return found.select("feature", (F.round("gradient", 6) + F.lit(0.0)).alias("gradient"))
+
+
 @query("j14_rf_top3_importances", model=True)
 def j14(spark, sf):
     train, _ = _train_test(spark, sf)
