@@ -40,12 +40,16 @@ MAX_CLASSES = 64  # of a broadcast bin table
 
 
 def assign_parts(df: DataFrame, label: str, id_col: str, fractions: list[float],
-                 seed: int = RANDOM_STATE, out: str = "part", bits: int = 16) -> DataFrame:
+                 seed: int = RANDOM_STATE, out: str = "part", bits: int = 16,
+                 quotas: DataFrame | None = None) -> DataFrame:
     """Add ``out`` = index of the part (0 .. len(fractions)) of each row.
 
     ``fractions`` are cumulative cut points in (0, 1), e.g. ``[0.2]`` for a
     20 % first part, or ``[0.2, 0.4, 0.6, 0.8]`` for five folds.
 
+    ``quotas`` (label, ``__quota``: an array of positions) replaces the rounded cut
+    points of every class, for callers that have rounded them otherwise.
+
     The input is read three times (bin counts, whole bins, straddling bins);
     pass a written or checkpointed frame (``session.materialize``) when it is
     expensive to recompute.
@@ -56,9 +60,11 @@ def assign_parts(df: DataFrame, label: str, id_col: str, fractions: list[float],
     before = Window.partitionBy(label).orderBy("__bin").rowsBetween(
         Window.unboundedPreceding, -1)
     whole = Window.partitionBy(label)
-    table = (counts
-             .withColumn("__start", F.coalesce(F.sum("__cnt").over(before), F.lit(0)))
-             .withColumn("__cuts", _cut_positions(F.sum("__cnt").over(whole), fractions)))
+    table = counts.withColumn("__start", F.coalesce(F.sum("__cnt").over(before), F.lit(0)))
+    if quotas is None:
+        table = table.withColumn("__cuts", _cut_positions(F.sum("__cnt").over(whole), fractions))
+    else:
+        table = table.join(quotas.withColumnRenamed("__quota", "__cuts"), label)
     first_part = F.size(F.filter("__cuts", lambda c: c <= F.col("__start")))
     last_part = F.size(F.filter("__cuts", lambda c: c <= F.col("__start") + F.col("__cnt") - 1))
     table = table.select(F.col(label).alias("__label"), F.col("__bin").alias("__tbin"),
@@ -92,7 +98,8 @@ def stratified_split(df: DataFrame, label: str, id_col: str,
     ``group_col`` (e.g. ``patient_nbr``) keeps every group in one part, so no
     patient is in both train and test. Then the split is by a seeded hash of
     the group (no shuffle at all) and the test share is close to, not
-    exactly, ``test_fraction``; class proportions are not forced.
+    exactly, ``test_fraction``; class proportions are not forced. ``group_split`` keeps
+    groups whole and classes at their quotas.
     """
     if group_col is not None:
         u = F.pmod(F.xxhash64(F.col(group_col), F.lit(seed)), F.lit(1_000_000))
@@ -101,6 +108,29 @@ def stratified_split(df: DataFrame, label: str, id_col: str,
     return parts.withColumn("is_test", (F.col("__part") == 0).cast("int")).drop("__part")
 
 
+def approximate_split(df: DataFrame, label: str, id_col: str,
+                      fractions: dict | float = TEST_FRACTION, seed: int = RANDOM_STATE) -> DataFrame:
+    """J-2 in one pass: ``is_test`` = 1 with the fraction of the row's class (one number, or class ->
+    fraction; a class that is not named has 0), decided per row by a hash of its id.
+
+    No shuffle and no second read, and rows of one id agree. The number of test rows of a class with n rows is
+    binomial: within ``5 sqrt(n f (1 - f))`` of ``n f`` but for one draw in a million (``sampling_bound``).
+    """
+    if not isinstance(fractions, dict):
+        share = F.lit(float(fractions))
+    else:
+        share = F.lit(0.0)
+        for cls, f in fractions.items():
+            share = F.when(F.col(label).eqNullSafe(F.lit(cls)), F.lit(float(f))).otherwise(share)
+    cut = (share * F.lit(float(1 << HASH_BITS))).cast("long")
+    return df.withColumn("is_test", (portable_hash(F.col(id_col), seed) < cut).cast("int"))
+
+
+def sampling_bound(n: Column, fraction: float) -> Column:
+    """Five standard deviations of the number of rows drawn from ``n``."""
+    return 5.0 * F.sqrt(n * F.lit(fraction * (1 - fraction)))
+
+
 def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = CV_FOLDS,
                      seed: int = RANDOM_STATE) -> DataFrame:
     """J-19: add ``fold`` in 0 .. k-1, class proportions kept in every fold."""

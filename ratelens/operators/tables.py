@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import VISIT_COLUMNS_2
 from ..functions.flags import (event_flag, high_med_burden, high_utilizer,
                                long_stay)
+from .skew import ROWS_PER_TASK, skew_join
 
 PATIENT_COLUMNS = ("patient_nbr", "age", "gender")
 ENCOUNTER_COLUMNS = ("encounter_id", "patient_nbr", "time_in_hospital", "readmitted")
@@ -37,22 +38,19 @@ def utilization_fact(raw: DataFrame) -> DataFrame:
     return raw.select(*UTILIZATION_COLUMNS)
 
 
-def join_patient_dim(enc: DataFrame, dim: DataFrame, salts: int = 8) -> DataFrame:
+def join_patient_dim(enc: DataFrame, dim: DataFrame,
+                     rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """E-1: encounters x patient table on patient_nbr (many-to-many).
 
     Each encounter appears once per (age, gender) row of its patient, so the
     output has at most (ages x genders) rows per encounter. A patient with
-    very many encounters is a hot join key: encounters are spread over
-    ``salts`` parts by their id and each part meets a copy of the patient's
-    few rows, so no task holds all of that patient. For aggregates over
+    very many encounters is a hot join key: a sketch finds those with more than
+    ``rows_per_task`` encounters, whose rows are spread and whose few
+    partner rows are copied (``skew_join``); other patients are joined as they are. For aggregates over
     this join use ``patient_fanout_rate``, which never materialises it.
     """
-    right = dim.select(*PATIENT_COLUMNS)
-    if salts < 2:
-        return enc.join(right, "patient_nbr")
-    spread = right.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts)))))
-    salted = enc.withColumn("__salt", F.pmod(F.xxhash64("encounter_id"), F.lit(salts)).cast("int"))
-    return salted.join(spread, ["patient_nbr", "__salt"]).drop("__salt")
+    return skew_join(enc, dim.select(*PATIENT_COLUMNS), "patient_nbr", "encounter_id",
+                     rows_per_task=rows_per_task)
 
 
 def join_on_encounter(left: DataFrame, right: DataFrame) -> DataFrame:

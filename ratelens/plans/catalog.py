@@ -8,7 +8,6 @@ SQL oracle; every other query has a DuckDB twin in ``plans.oracles``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,9 @@ from ..functions.formatting import rate_band, sign_band
 from ..ml import metrics as M
 from ..ml import models as ML
 from ..ml import trees as TR
-from ..ml.split import part_rates, split_summary, stratified_folds, stratified_split
+from ..ml.group_split import deviation_bound, group_split
+from ..ml.split import (approximate_split, part_rates, split_summary, stratified_folds,
+                        stratified_split)
 from ..operators import profile as P
 from ..operators import quality as Q
 from ..operators import tables as T
@@ -39,7 +40,8 @@ from ..operators.rates import (event_rate, kpi_summary, medication_gap,
 from ..operators.reshape import kpi_long, pivot_rate, pivot_table
 from ..sources.fixture import encounters_raw
 from ..session import materialize, new_scratch
-from ..sources.readers import read_saved, register_views, save_table
+from ..sources.published import publish
+from ..sources.readers import read_encounters_checked, register_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,19 +91,18 @@ def enc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def written_clean(spark: SparkSession, sf: str) -> DataFrame:
-    """Clean rows read from a written copy of the encounter table.
+    """Clean rows read from the published copy of the encounter table.
 
     The SQL analysis writes its tables first and then joins them; the join
     queries do the same, so both sides of a join read the written columns
     instead of each recomputing the adapter from the driver tables. The copy
     is bucketed on the encounter id (one bucket per shuffle partition), so
-    its 1:1 joins need no shuffle; joins on the patient shuffle either way.
+    its 1:1 joins need no shuffle. It is written once per state of the
+    inputs (``publish``): the next join query finds it.
     """
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"ratelens_encounters_{uuid.uuid4().hex}"
-    save_table(raw(spark, sf).repartition(buckets, "encounter_id"), name,
-               path=new_scratch(spark), bucket_by="encounter_id", buckets=buckets)
-    return clean_encounters(read_saved(spark, name))
+    return clean_encounters(publish(spark, "encounters", lambda: raw(spark, sf),
+                                    bucket_by="encounter_id", buckets=buckets))
 
 
 def frame(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,13 +148,32 @@ def a06(spark, sf):
 @query("a07_save_and_read_back")
 def a07(spark, sf):
     """A-3 + A-7: the table written as a catalog table, read back and summed up."""
-    name = f"ratelens_saved_{uuid.uuid4().hex}"
-    save_table(clean(spark, sf), name, path=new_scratch(spark))
-    return read_saved(spark, name).groupBy("race", "gender").agg(
+    return publish(spark, "clean_encounters", lambda: clean(spark, sf)).groupBy("race", "gender").agg(
         F.count(F.lit(1)).alias("n"), F.sum("num_medications").alias("medications"),
         F.max("encounter_id").alias("last_encounter"))
 
 
+@query("a01_csv_with_quarantine")
+def a01(spark, sf):
+    """A-1 + C-9: the encounters written as CSV, columns in reverse order, some values
+    spoilt; read by header name into rows and rejected values."""
+    spoilt = raw(spark, sf).withColumns({
+        "num_medications": F.when(F.col("encounter_id") % 50 == 0, "many").otherwise(F.col("num_medications").cast("string")),
+        "number_inpatient": F.when(F.col("encounter_id") % 90 == 7, "NaN").otherwise(F.col("number_inpatient").cast("string")),
+        "admission_type_id": F.when(F.col("encounter_id") % 70 == 1, "x1").otherwise(F.col("admission_type_id").cast("string"))})
+    path = new_scratch(spark, "csv")
+    spoilt.select(*reversed(spoilt.columns)).write.option("header", True).csv(path)
+    rows, rejected = read_encounters_checked(spark, path)
+    good = clean_encounters(rows).select(
+        F.lit("row").alias("part"), F.col("encounter_id").cast("string").alias("line"),
+        F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value"),
+        F.lit(None).cast("string").alias("reason"), F.col("num_medications").cast("long").alias("num_medications"),
+        F.col("number_inpatient").cast("long").alias("number_inpatient"), "admission_type_id", "readmitted")
+    bad = rejected.select(F.lit("rejected").alias("part"), "line", "column", "value", "reason",
+                          *[F.lit(None).cast(t).alias(c) for c, t in good.dtypes[5:]])
+    return good.unionByName(bad)
+
+
 @query("a08_sql_readmission_breakdown")
 def a08(spark, sf):
     register_views({"ratelens_patients": clean(spark, sf)})
@@ -669,6 +689,32 @@ def j02m(spark, sf):
     return _split(spark, sf).select("encounter_id", "is_test")
 
 
+@query("j02_group_split_quotas")
+def j02g(spark, sf):
+    """Patients whole, classes at their quotas: rows and test rows per class, whether they are within
+    the stated bound of a fifth, and patients in both parts."""
+    rows = materialize(frame(spark, sf).join(clean(spark, sf).select("encounter_id", "patient_nbr"), "encounter_id")
+                       .select("encounter_id", "patient_nbr", LABEL_COLUMN))
+    parts = materialize(group_split(rows, LABEL_COLUMN, "patient_nbr"))
+    both = (parts.groupBy("patient_nbr").agg(F.countDistinct("is_test").alias("parts"))
+            .agg(F.count_if(F.col("parts") > 1).alias("patients_in_both")))
+    per_class = parts.groupBy(LABEL_COLUMN).agg(F.count(F.lit(1)).alias("n"), F.sum("is_test").alias("test"))
+    bound = deviation_bound(rows, LABEL_COLUMN, "patient_nbr")
+    return (per_class.join(F.broadcast(bound), LABEL_COLUMN)  # one row per class
+            .withColumn("one", F.lit(1)).join(F.broadcast(both.withColumn("one", F.lit(1))), "one")
+            .select(LABEL_COLUMN, "n", "patients_in_both",
+                    (F.abs(F.col("test") - 0.2 * F.col("n")) <= F.col("bound")).alias("within_bound")))
+
+
+@query("j02_approximate_split")
+def j02a(spark, sf):
+    parts = approximate_split(frame(spark, sf), LABEL_COLUMN, "encounter_id", {0: 0.2, 1: 0.5})
+    share = F.when(F.col(LABEL_COLUMN) == 1, 0.5).otherwise(0.2)
+    return (parts.groupBy(LABEL_COLUMN).agg(F.count(F.lit(1)).alias("n"), F.sum("is_test").alias("n_test"))
+            .withColumn("within_bound", F.abs(F.col("n_test") - F.col("n") * share)
+                        <= 5 * F.sqrt(F.col("n") * share * (1 - share))))
+
+
 @query("j03_class_weights")
 def j03(spark, sf):
     return ML.class_weight_table(frame(spark, sf))

@@ -66,9 +66,9 @@ def test_hot_patient_rows_spread_over_tasks(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = join_patient_dim(enc, dim)
+        joined = join_patient_dim(enc, dim, rows_per_task=500)
         parts = joined.groupBy(F.spark_partition_id()).count().collect()
-        assert joined.count() == 8000 == join_patient_dim(enc, dim, salts=1).count()
+        assert joined.count() == 8000 == join_patient_dim(enc, dim).count()
         assert len(parts) > 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
