@@ -41,10 +41,12 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
 from .jaccard_join import runs_of
+from .tokens import Generations
 
 MARK = "▁"
 CHUNK = 32_768
 FAN = 64
+WORDS = 300_000  # entries of a worker's word table (memory bound, not a limit on words)
 NEVER = -(1 << 60)
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 _BREAK = re.compile(f"(?<=[^{MARK}]){MARK}")
@@ -72,7 +74,8 @@ class Vocabulary:
         self.steps = {p[:k]: 1 for p in self.score for k in range(1, len(p))} | self.score
         self.unknown = min(self.score.values()) - (10 << 24)
         self.longest = max(map(len, self.plain))
-        self.words = _Words(self)
+        # word -> (ids, score); two generations bound the table, so once-only words leave it
+        self.words = Generations(lambda w: self.path(w, 0, len(w), len(w)), WORDS // 2)
 
     def edges(self, s: str, i: int, stop: int):
         """(end, score) of the pieces that start at ``i`` and end by ``stop``."""
@@ -135,20 +138,6 @@ def piece_score(rank: int) -> int:
     return -round(log(rank + 2) * (1 << 24)) - (rank * 2654435761 >> 16) % 61
 
 
-class _Words(dict):
-    """word -> (ids, score), filled on a miss."""
-
-    def __init__(self, voc: Vocabulary):
-        super().__init__()
-        self.voc = voc
-
-    def __missing__(self, word):
-        found = self.voc.path(word, 0, len(word), len(word))
-        if len(self) < 600_000:
-            self[word] = found
-        return found
-
-
 def marked(text: str) -> str:
     """Text with space marks and the leading one; the empty text stays empty."""
     return MARK + text.replace(" ", MARK) if text else ""

@@ -21,6 +21,7 @@ from array import array
 from .common import resident
 
 MAX_WORDS = 600_000  # entries of a worker's word table (memory bound, not a limit on words)
+KEPT_LENGTH = 256  # longer words are not kept
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which can join words
 
 
@@ -49,6 +50,8 @@ class Generations(dict):
         self._compute, self._size, self._old = compute, size, {}
 
     def __missing__(self, word):
+        if len(word) > KEPT_LENGTH:
+            return self._compute(word)
         value = self._old.get(word)
         return self.add(word, self._compute(word) if value is None else value)
 
