@@ -4,7 +4,8 @@ Both public BPE files split a text before every space that follows a
 non-space, so the ids of a text are the ids of its space-delimited words in
 turn. Words repeat a lot; each worker keeps a bounded table of word ids and
 merges only new ones, with ``tiktoken`` where the file's merges can be told as
-ranks (``ranked``), which is faster on single words. Texts where a space follows
+ranks (``ranked``), which is faster. Texts of characters whose classes all libraries
+agree on are split and merged by it whole. Texts where a space follows
 other white space, and words that are not letters followed by marks,
 go through the library's full encoding. Results are always those of
 ``Tokenizer.encode(text, add_special_tokens=False).ids``; strings that look
@@ -18,10 +19,16 @@ import re
 import sys
 from array import array
 
+import numpy as np
+
 from .common import resident
 
 MAX_WORDS = 600_000  # entries of a worker's word table (memory bound, not a limit on words)
 KEPT_LENGTH = 256  # longer words are not kept
+LONG_PIECE = 2000  # from here on the library merges, whose time does not grow with the square
+#: Letters, marks and white space that every Unicode version puts into the same classes.
+_AGREED = re.compile(r"[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u017f]*")
+_LONG = re.compile(rf"\S{{{LONG_PIECE}}}|\s{{{LONG_PIECE}}}")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which can join words
 
 
@@ -108,7 +115,7 @@ def ranked(tokenizer: str):
         ranks[key], names[key] = first + k, left + right
     if any(name not in vocabulary for name in names.values()):
         return None
-    ids = [0] * len(ranks)
+    ids = np.zeros(len(ranks), "<u4")
     for key, rank in ranks.items():
         ids[rank] = vocabulary[names[key]]
     return tiktoken.Encoding("pieces", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks,
@@ -136,19 +143,24 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8")
-        if self.ranks is None:
+        if self.ranks is None or len(raw) > LONG_PIECE:
             spelled = raw.decode("latin-1").translate(self.letters)
             return _packed([t.id for t in self.model.tokenize(spelled)])
         encoding, ids = self.ranks
-        return _packed(map(ids.__getitem__, encoding._core_bpe.encode_single_piece(
-            raw + b"\xff" if self.folds else raw)))
+        return ids[encoding._core_bpe.encode_single_piece(
+            raw + b"\xff" if self.folds else raw)].tobytes()
 
-    def _plain(self, text: str) -> bytes:
-        """Of ASCII text, whose classes of characters all libraries agree on."""
-        if self.ranks is None or self.folds or not text.isascii():
-            return self._library(text)
+    def _agreed(self, text: str) -> bool:
+        """Whether ``tiktoken`` splits the whole text as the library does, and in linear time."""
+        return (self.ranks is not None and not self.folds and _AGREED.fullmatch(text) is not None
+                and _LONG.search(text) is None)
+
+    def _whole(self, text: str) -> bytes:
         encoding, ids = self.ranks
-        return _packed(map(ids.__getitem__, encoding._core_bpe.encode_ordinary(text)))
+        return ids[encoding._core_bpe.encode_ordinary(text)].tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return self._whole(text) if self._agreed(text) else self._library(text)
 
     def _split(self, word: str) -> tuple[str, str]:
         body = word.rstrip(_MARKS)
@@ -174,6 +186,10 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if self.folds:
             return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        if not text:
+            return b""
+        if self._agreed(text):
+            return self._whole(text)
         if self.unsafe.search(text):
             return self._library(text)
         first, *rest = text.split(" ")

@@ -36,6 +36,17 @@ def test_encoder_equals_library(name):
     same()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_long_runs_and_whole_texts_equal_library(name, docs):
+    ours, theirs = encoder(public_tokenizer(name)), library(name)
+    assert ours.ranks is not None
+    texts = ["x" * 2500, " " * 2500 + "a", "ab" * 3000 + " end", "é" * 1500, "a\x0bb", "a\x85b", "a\xa0b\xad",
+             "naïve Œuvre, l'été's", "tab\tand\r\nline  two ", "x" * 1999 + "!" * 30, "1²3½ ﬁ"]
+    texts += [r.text for r in docs.collect() if r.text and len(r.text) < 20_000]
+    for t in texts:
+        assert np.frombuffer(ours.encode(t), "<u4").tolist() == theirs(t), t[:80]
+
+
 def check_packing(pieces, expected, size=2048):
     """Each id in one piece, gapless sequences, full but for powers of two."""
     docs, seqs = defaultdict(list), defaultdict(list)
