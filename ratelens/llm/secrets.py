@@ -55,16 +55,24 @@ CLASSES = (
     CharClass("key", re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 4.0),
 )
 
-#: Candidates that are no secrets: no digit at all (words, joined words, paths),
-#: plain numbers, UUIDs, slugs and paths of words and short numbers, rules and fills.
+#: Candidates that are no secrets: plain numbers and rules, UUIDs.
 ALLOW = (
-    re.compile(r"[^0-9]+"),
     re.compile(r"[0-9+/_=-]+"),
     re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
+)
+
+#: Candidates made like words: no digit at all (words, joined words, paths), slugs and
+#: paths of words and short numbers, names with a number. They are allowed unless a window
+#: holds more bits than words do.
+WORDS = (
+    re.compile(r"[^0-9]+"),
     re.compile(r"([A-Za-z]+|[0-9]{1,8})([+/_=-]+([A-Za-z]+|[0-9]{1,8}))*[+/_=-]*"),
     re.compile(r"[A-Za-z]+[0-9]{1,4}"),
 )
 
+#: (window, bits): what joined words stay below; shorter candidates cannot be told from words.
+MOST_OF_WORDS = ((32, 4.3), (24, 4.15))
+
 
 def window_entropies(s: str, width: int) -> Iterable[float]:
     """Shannon entropy of each window of ``width`` characters, by incremental
@@ -88,12 +96,22 @@ def window_entropies(s: str, width: int) -> Iterable[float]:
             yield log2(width) - total / width
 
 
+def wordlike(s: str) -> bool:
+    """Whether a candidate is made like words and holds no more bits than they do."""
+    if not any(rule.fullmatch(s) for rule in WORDS):
+        return False
+    for width, most in MOST_OF_WORDS:
+        if len(s) >= width:
+            return max(window_entropies(s, width)) < most
+    return True
+
+
 def entropy_spans(text: str, classes=CLASSES, allow=ALLOW) -> list[tuple[int, int]]:
     """Spans of candidate strings covered by windows of high entropy."""
     spans = []
     for m in _CANDIDATE.finditer(text):
         s = m.group()
-        if any(rule.fullmatch(s) for rule in allow):
+        if any(rule.fullmatch(s) for rule in allow) or wordlike(s):
             continue
         kind = next(c for c in classes if c.full.fullmatch(s))
         width = min(kind.window, len(s))

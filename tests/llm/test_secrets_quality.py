@@ -48,6 +48,59 @@ def test_incremental_entropy(text, width):
     assert np.allclose(got, want, atol=1e-9)
 
 
+def entropy(s):
+    return sum(c / len(s) * -log2(c / len(s)) for c in Counter(s).values())
+
+
+def windowed(text):
+    """Spans by the entropy of every window taken anew, covered positions merged."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text, re.ASCII):
+        s = m.group()
+        if any(r.fullmatch(s) for r in S.ALLOW):
+            continue
+        if any(r.fullmatch(s) for r in S.WORDS):
+            limit = next(((w, h) for w, h in S.MOST_OF_WORDS if w <= len(s)), None)
+            if limit is None or all(entropy(s[i:i + limit[0]]) < limit[1]
+                                    for i in range(len(s) - limit[0] + 1)):
+                continue
+        kind = [c for c in S.CLASSES if c.full.fullmatch(s)][0]
+        w = min(kind.window, len(s))
+        starts = [i for i in range(len(s) - w + 1) if entropy(s[i:i + w]) >= kind.least]
+        merged = []
+        for i in starts:
+            if merged and i <= merged[-1][1]:
+                merged[-1][1] = i + w
+            else:
+                merged.append([i, i + w])
+        out += [(m.start() + a, m.start() + b) for a, b in merged]
+    return out
+
+
+PIECES = st.one_of(
+    st.text("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", min_size=1, max_size=70),
+    st.text("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", min_size=20, max_size=50),
+    st.sampled_from(["some", "Words", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "/usr/lib/", "-", " ", "2024", ". "]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, max_size=8).map("".join))
+def test_entropy_spans_equal_direct_windows(text):
+    assert S.entropy_spans(text) == windowed(text)
+
+
+def test_keys_of_letters_are_found_and_words_are_not():
+    rnd = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    keys = ["".join(rnd.choice(letters, 40)) for _ in range(500)]
+    assert sum(bool(S.entropy_spans(k)) for k in keys) >= 450
+    ends = ["".join(rnd.choice(letters, 28)) + f"{rnd.integers(10_000):04}" for _ in range(500)]
+    assert sum(bool(S.entropy_spans(k)) for k in ends) >= 450
+    for clean in ("donaudampfschifffahrtsgesellschaft", "internationalizationAndLocalizationSettings",
+                  "/usr/local/share/documents/reports/annual", "get-the-list-of-all-the-items-2024"):
+        assert S.entropy_spans(f"see {clean} there") == []
+
+
 def test_entropy_adds_random_keys_and_leaves_words():
     key = "q9Zx7LmP2vR4tYw8KbN3sD6f"
     assert S.entropy_spans(f"the {key} end") == [(4, 4 + len(key))]
