@@ -7,6 +7,8 @@ uniform one; a context that a model has never seen leaves the shorter one unchan
 A URL is judged by the difference of its two log-likelihoods per character
 against a threshold calibrated on ruled URLs kept out of the counts.
 
+The models read the whole URL (scheme, host, path, query, fragment), rules host and path.
+
 Everything is DataFrame functions. Counting is one grouped count over
 (order + 1)-grams; shorter contexts are sums of those. Characters are folded
 to an alphabet of ``len(ALPHABET)`` symbols, so the tables are bounded by its
@@ -15,7 +17,7 @@ table only if its counted size allows, else it is joined by shuffle with
 hot grams salted.
 
 Defined results: a null URL or one without ``://`` has empty host and path,
-no rule, and is judged by the models like any other; null page ids are kept;
+no rule, and is judged by the models like any other, by its whole text (null: empty); null page ids are kept;
 repeated rows are judged each; an empty table gives no rows; without ruled
 URLs of both kinds the threshold is 0 and a tie is allowed; extra columns are ignored.
 """
@@ -33,7 +35,8 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 START, END, OTHER = "^", "$", "*"
-ALPHABET = LOWER + "0" + "./-_" + OTHER + START + END  # digits are folded to 0
+MARKS = "./:?#&=%+_-"
+ALPHABET = LOWER + "0" + MARKS + OTHER + START + END  # digits are folded to 0
 ORDER = 3
 STRENGTH = 2.0  # pseudo-counts that a longer context gives to the shorter one
 MOST_BROADCAST = 200_000  # rows of the gram table
@@ -61,10 +64,10 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def folded(host: Column, path: Column) -> Column:
-    """Host and path over the model's alphabet, between start and end symbols."""
-    text = F.lower(F.concat(host, path))
-    text = F.regexp_replace(F.regexp_replace(text, r"[0-9]", "0"), r"[^a-z0./_-]", OTHER)
+def folded(url: Column) -> Column:
+    """The whole URL over the model's alphabet, between start and end symbols."""
+    text = F.lower(F.coalesce(url, F.lit("")))
+    text = F.regexp_replace(F.regexp_replace(text, r"[0-9]", "0"), f"[^a-z0{MARKS}]", OTHER)
     return F.concat(F.lit(START * ORDER), text, F.lit(END))
 
 
@@ -124,9 +127,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host, path = host_and_path("_url")
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = (pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"))
-            .select("_id", host.alias("host"), path.alias("path"))
-            .select("*", rule.alias("rule"), verdict.alias("ruling"),
-                    folded(F.col("host"), F.col("path")).alias("_text"))
+            .select("_id", host.alias("host"), path.alias("path"), folded(F.col("_url")).alias("_text"))
+            .select("*", rule.alias("rule"), verdict.alias("ruling"))
             .withColumn("_row", F.monotonically_increasing_id()))
     accepted = F.when(F.col("ruling") == "allow", 1).when(F.col("ruling") == "block", 0)
     aside = F.crc32(F.col("_text").cast("binary")) % 5 == 0

@@ -202,8 +202,8 @@ def model_ratio(texts, labels):
                      for i in range(n, len(t))]) for t in texts]
 
 
-def fold(host, path):
-    text = re.sub("[^a-z0./_-]", U.OTHER, re.sub("[0-9]", "0", (host + path).lower()))
+def fold(url):
+    text = re.sub("[^a-z0./:?#&=%+_-]", U.OTHER, re.sub("[0-9]", "0", (url or "").lower()))
     return U.START * U.ORDER + text + U.END
 
 
@@ -222,7 +222,7 @@ def test_urls_against_brute_force(spark, monkeypatch, broadcast):
     for _, u in pages:
         host, path = parsed(u)
         rule = rule_of(host, path)
-        texts.append(fold(host, path))
+        texts.append(fold(u))
         aside = zlib.crc32(texts[-1].encode()) % 5 == 0
         labels.append(None if rule is None or aside else int(rule[1] == "allow"))
     for (i, u), ratio in zip(pages, model_ratio(texts, labels)):
@@ -233,6 +233,16 @@ def test_urls_against_brute_force(spark, monkeypatch, broadcast):
         assert r.verdict == (rule[1] if rule else "allow" if r.ratio >= r.threshold else "block")
 
 
+def test_urls_that_differ_in_their_query_only(spark):
+    urls = ["http://a.x/p?q=1", "http://a.x/p?viagra=casino&z=zzzz", "http://a.x/p#top", "plain", "other text"]
+    rows = [*enumerate(urls), *((100 + i, f"http://h{i}.net/a?buy={'casino' * (i % 3)}") for i in range(40)),
+            *((200 + i, f"http://h{i}.org/fr/b?lang=fr&p={i}") for i in range(40))]
+    got = {r.page_id: r for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len({got[i].ratio for i in range(5)}) == 5
+    assert all((got[i].host, got[i].path) == ("a.x", "/p") for i in range(3))
+    assert all((got[i].host, got[i].path) == ("", "") for i in (3, 4))
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert U.judge_urls(none).collect() == []
