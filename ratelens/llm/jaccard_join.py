@@ -13,12 +13,16 @@ copies never meet each other. Representatives are joined in three steps:
    sampled pivots; what is like none of them is split, down to ``depth``: each
    bucket draws two places of the sketch by its own key, and every member goes
    on with what it has there, so no member is without a draw. What is still
-   large at the last level meets new pivots until nothing is left: no bucket
-   is cut. Runs repeat until a pair exactly at ``least`` that meets in large
+   large at the last level is finished exactly by prefixes: with the tokens of
+   these sets ordered from rare to frequent, two sets that reach ``least`` share one of their
+   first ``n - least * n + 1``, so passages that many texts hold bring nobody together,
+   and no bucket is cut. Runs repeat until a pair exactly at ``least`` that meets in large
    buckets down to the last level is found with probability ``recall``
    (``Settings.runs``: 7 for 0.997); pairs above ``least`` are found more often.
 2. Components of the candidate links, by alternating large-star and
-   small-star steps over written tables.
+   small-star steps over written tables. A component so large that tiles would copy
+   its sets more often than prefixes do is taken apart by prefixes, exactly: texts on one template
+   are candidates of each other, but share no rare token.
 3. Exact links. Within a component all sets meet once, in tiles of bounded
    size; the number of links per set (copies counted) and a spanning forest
    of the true links leave a tile, never its pairs. Components of that
@@ -48,12 +52,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import skew_join
 from .common import drop, resident, text_or_empty, written
 
 BINS = 64
 EMPTY = 65535
 SALTS = 8
 MARKS = 1 << 20
+PLACE = 4096  # members of a bucket that meet its pivots in one place
 
 
 @dataclass(frozen=True)
@@ -66,6 +72,7 @@ class Settings:
     bucket: int = 128
     tile_members: int = 256
     tile_tokens: int = 1 << 21
+    tiles: int = 8  # copies of a set, above which its component is taken apart by prefixes
     seed: int = 11
 
     @property
@@ -304,53 +311,72 @@ def _brute_force(members: DataFrame, loose: float) -> DataFrame:
             .mapInArrow(compare, "a long, b long"))
 
 
-def _pivot_round(big: DataFrame, set_: Settings, want: int, turn: int) -> DataFrame:
-    """Each member of a large bucket against sampled pivots of the bucket:
-    (key, rep, a pivot or null, its sketch if it stays).
+def _pivot_round(big: DataFrame, set_: Settings, want: int, turn: int, pick=None) -> DataFrame:
+    """Each member of a large bucket against sampled pivots of the bucket (about ``want``,
+    or the rows of ``pick``): (key, rep, a pivot or null, its sketch if it stays).
 
     A member leaves when it is ``loose`` alike a pivot. What is ``least`` alike
     that member is then at least loose - (1 - least) alike the same pivot
     (distances obey the triangle inequality), so every member is linked to all
     pivots down to there and two deviations of a sketch: both ends
     of a pair have a common pivot, or go on together. Pivots that are linked
-    count as one, so a member has one link for each group of them."""
+    count as one, so a member has one link for each group of them.
+
+    A bucket lies in as many places as its size asks for. Its pivots are copied to
+    each and come before the members, so no row carries them."""
     far = set_.loose - (1 - set_.least) - 2 * (set_.least * (1 - set_.least) / BINS) ** 0.5
-    # drawn anew each turn, so a turn that drew none for a bucket is made good
-    pick = F.pmod(F.xxhash64("rep", "key", F.lit(turn)), F.col("size")) < want
-    pivots = (big.where(pick).groupBy("key")  # about ``want``, in one order in all tasks
-              .agg(F.sort_array(F.collect_list(F.struct("rep", "sketch"))).alias("pivots")))
+    if pick is None:  # drawn anew each turn
+        pick = F.pmod(F.xxhash64("rep", "key", F.lit(turn)), F.col("size")) < want
+    places = F.ceil(F.col("size") / PLACE).cast("int")
+    rows = big.select("key", F.pmod(F.xxhash64("rep"), places).cast("int").alias("place"),
+                      F.lit(1).alias("member"), "rep", "sketch")
+    pivots = big.where(pick).select(
+        "key", F.explode(F.sequence(F.lit(0), places - 1)).alias("place"),
+        F.lit(0).alias("member"), "rep", "sketch")
+
+    def judged(key, reps, raw, pivots):
+        """Rows for a block of members of one bucket."""
+        stays = np.ones(len(reps), bool)
+        if pivots is not None:
+            ids, p, root = pivots
+            like = alike(np.frombuffer(b"".join(raw), np.uint16).reshape(-1, BINS), p)
+            stays = like.max(axis=1) < set_.loose  # a pivot is like itself
+            near = like >= far
+            for r in np.unique(root):
+                for i in np.flatnonzero(near[:, root == r].any(axis=1)):
+                    yield key, reps[i], ids[r], None
+        for i in np.flatnonzero(stays):
+            yield key, reps[i], None, raw[i]
 
     def compare(batches):
-        known: dict = {}
+        place, drawn, pivots = None, [], None
         for batch in batches:
-            out = []
-            for i, (key, rep, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in
-                                                      ("key", "rep", "sketch")))):
-                if key not in known:
-                    if len(known) >= 256:
-                        known.clear()
-                    pivots = batch.column("pivots")[i].as_py()
-                    if pivots:
-                        p = np.frombuffer(b"".join(x["sketch"] for x in pivots),
-                                          np.uint16).reshape(-1, BINS)
-                        pivots = [x["rep"] for x in pivots], p, roots(alike(p, p) >= far)
-                    known[key] = pivots
-                if not known[key]:
-                    out.append((key, rep, None, raw))
+            key, at, member, rep, raw = (batch.column(c).to_pylist() for c in
+                                         ("key", "place", "member", "rep", "sketch"))
+            out, i = [], 0
+            while i < len(key):
+                if (key[i], at[i]) != place:
+                    place, drawn, pivots = (key[i], at[i]), [], None
+                if not member[i]:
+                    drawn.append((rep[i], raw[i]))
+                    i += 1
                     continue
-                ids, p, root = known[key]
-                like = alike(np.frombuffer(raw, np.uint16)[None], p)[0]
-                near = np.unique(root[like >= far])
-                stays = raw if like.max() < set_.loose else None  # a pivot is like itself
-                out += [(key, rep, ids[r], None) for r in near]
-                if stays is not None or not len(near):
-                    out.append((key, rep, None, stays))
+                if drawn:
+                    p = np.frombuffer(b"".join(x[1] for x in drawn), np.uint16).reshape(-1, BINS)
+                    pivots, drawn = ([x[0] for x in drawn], p, roots(alike(p, p) >= far)), []
+                end = i + 1
+                while end < min(len(key), i + 512) and (key[end], at[end]) == place:
+                    end += 1
+                out += judged(key[i], rep[i:end], raw[i:end], pivots)
+                i = end
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())],
                 names=["key", "rep", "pivot", "sketch"])
 
-    return (salted_join(big, pivots, "key", "rep", "left").select("key", "rep", "sketch", "pivots")
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.unionByName(pivots).repartition(parts, "key", "place")
+            .sortWithinPartitions("key", "place", "member", "rep")
             .mapInArrow(compare, "key long, rep long, pivot long, sketch binary"))
 
 
@@ -370,10 +396,53 @@ def _split(members: DataFrame) -> DataFrame:
     return members.select("key", "rep", "sketch").mapInArrow(deal, "key long, rep long, sketch binary")
 
 
-def candidate_links(reps: DataFrame, set_: Settings) -> tuple[DataFrame, list[str]]:
+def prefix_keys(members: DataFrame, set_: Settings) -> DataFrame:
+    """(key, rep): the tokens by which a set can meet one that reaches ``least``.
+
+    ``members`` has root, rep, n and tokens; sets meet only inside a root. Tokens are ordered by the
+    number of sets that hold them. Sets A and B that reach ``least`` share at least
+    ``least * n`` tokens of either, so one of the first ``n - least * n + 1`` of
+    both. A token of one set only is in that prefix, but brings it to nobody."""
+    def spread(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                sets = [np.frombuffer(x.as_buffer(), "<u4") for x in part.column("tokens")]
+                at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c).take(at) for c in ("root", "rep", "n")]
+                    + [pa.array(np.concatenate(sets).astype(np.int64))],
+                    names=["root", "rep", "n", "token"])
+
+    rows = (members.select("root", "rep", "n", "tokens")
+            .mapInArrow(spread, "root long, rep long, n int, token long")
+            .select(F.xxhash64("root", "token").alias("key"), "rep", "n"))
+    held = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    ranked = (skew_join(rows, held, "key", "rep").groupBy("rep", "n")
+              .agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("shared")))
+    length = (F.size("shared") - F.ceil(F.lit(set_.least) * F.col("n") - 1e-9) + 1).cast("int")
+    return (ranked.withColumn("length", length).where("length > 0")
+            .select("rep", F.explode(F.slice("shared", F.lit(1), F.col("length"))["key"]).alias("key")))
+
+
+def prefix_links(members: DataFrame, sketches: DataFrame, set_: Settings) -> tuple[DataFrame, list[str]]:
+    """Links (a, b) between all sets of one root that may reach ``least``, as forests: none is
+    missed but by the error of a sketch, against which ``loose`` stands. ``sketches`` has rep and sketch."""
+    keys, path = written(prefix_keys(members, set_))
+    sizes, sizes_path = written(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("b"))
+                                .where("size > 1"))
+    few = (keys.join(sizes.where(F.col("size") <= set_.bucket).select("key"), "key")
+           .join(sketches, "rep").select("key", "rep", "sketch"))
+    many = sizes.where(F.col("size") > set_.bucket).select("key", "b")
+    return (_brute_force(few, set_.loose)
+            .unionByName(salted_join(keys, many, "key", "rep").where("rep <> b")
+                         .select(F.col("rep").alias("a"), "b"))), [path, sizes_path]
+
+
+def candidate_links(reps: DataFrame, sets: DataFrame, set_: Settings) -> tuple[DataFrame, list[str]]:
     """Links (a, b) between representatives that may reach ``least``, as forests.
 
-    ``reps`` has rep, sketch and paths.
+    ``reps`` has rep, sketch and paths, ``sets`` rep, n and tokens.
     """
     used: list[str] = []
     rows = (reps.select("rep", F.posexplode("paths").alias("run", "tokens"))
@@ -390,12 +459,13 @@ def candidate_links(reps: DataFrame, set_: Settings) -> tuple[DataFrame, list[st
         return sizes.where(F.col("size") <= set_.bucket), sizes.where(F.col("size") > set_.bucket)
 
     few, large = sized(table)
-    links = [_brute_force(table.join(few, "key").select("key", "rep").join(described, "rep"),
-                          set_.loose)]
+    # members of small buckets of all levels; a key is small once, so they are compared together
+    small = table.join(few, "key").select("key", "rep").join(described, "rep").select("key", "rep", "sketch")
     big = salted_join(table, large, "key", "rep").join(described, "rep")
-    turn = 0
-    while not large.isEmpty():
-        turn += 1
+    links = []
+    for turn in range(1, set_.depth + 1):
+        if large.isEmpty():
+            break
         table, path = written(big)
         used.append(path)
         judged, path = written(_pivot_round(table, set_, set_.bucket // 2, turn))
@@ -404,19 +474,43 @@ def candidate_links(reps: DataFrame, set_: Settings) -> tuple[DataFrame, list[st
                      .select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         rest = judged.where("sketch IS NOT NULL").select("key", "rep", "sketch")
         few, large = sized(rest)
-        links.append(_brute_force(salted_join(rest, few, "key", "rep"), set_.loose))
+        small = small.unionByName(salted_join(rest, few, "key", "rep").select("key", "rep", "sketch"))
         if turn < set_.depth and not large.isEmpty():
             rest, path = written(_split(salted_join(rest, large, "key", "rep")))
             used.append(path)
             few, large = sized(rest)
-            links.append(_brute_force(salted_join(rest, few, "key", "rep"), set_.loose))
+            small = small.unionByName(salted_join(rest, few, "key", "rep").select("key", "rep", "sketch"))
         big = salted_join(rest, large, "key", "rep")
-    out = links[0]
-    for more in links[1:]:
+    if not large.isEmpty():
+        members, path = written(sets.join(big.select("rep").distinct(), "rep")
+                                .select(F.lit(0).cast("long").alias("root"), "rep", "n", "tokens"))
+        more, paths = prefix_links(members, described, set_)
+        links.append(more)
+        used += [path, *paths]
+    out = _brute_force(small, set_.loose)
+    for more in links:
         out = out.unionByName(more)
     return out, used
 
 
+def taken_apart(nodes: DataFrame, sets: DataFrame, sketches: DataFrame,
+                set_: Settings) -> tuple[DataFrame, list[str]]:
+    """(node, root) with the largest components taken apart by prefixes; what can reach
+    ``least`` with no other set is left out of them."""
+    sizes, path = written(nodes.groupBy("root").agg(F.count("*").alias("m")))
+    large = sizes.where(F.col("m") > set_.tiles * set_.tile_members).select("root")
+    if large.isEmpty():
+        return nodes, [path]
+    members, members_path = written(
+        sets.join(salted_join(nodes, large, "root", "node").withColumnRenamed("node", "rep"), "rep")
+        .select("root", "rep", "n", "tokens"))
+    links, used = prefix_links(members, sketches, set_)
+    parts, parts_path = components(links)
+    small = sizes.where(F.col("m") <= set_.tiles * set_.tile_members).select("root")
+    return (salted_join(nodes, small, "root", "node").select("node", "root")
+            .unionByName(parts.select("node", "root"))), [path, members_path, parts_path, *used]
+
+
 # --- step 3: exact links --------------------------------------------------------------
 
 def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
@@ -504,10 +598,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = sets.join(groups.select("rep"), F.col("_row") == F.col("rep"), "left_semi") \
         .withColumnRenamed("_row", "rep")
     described, described_path = written(reps.select("rep", "sketch", "paths"))
-    links, used = candidate_links(described, settings)
+    tokens = sets.select(F.col("_row").alias("rep"), "n", "tokens")
+    links, used = candidate_links(described, tokens, settings)
     nodes, nodes_path = components(links)
+    nodes, whole_path = written(nodes)
+    drop(docs, *used, nodes_path)
+    nodes, used = taken_apart(nodes, tokens, described.select("rep", "sketch"), settings)
     nodes, kept_path = written(nodes)
-    drop(docs, *used, described_path, nodes_path)
+    drop(docs, *used, described_path, whole_path)
 
     # Sets without candidates stay where they are: a table of at most MARKS
     # hashes of the nodes (that bound is what may be broadcast) drops most of

@@ -243,14 +243,59 @@ def test_pivots_keep_both_ends_of_a_pair_together(spark):
         rows += [(1, 1000 + i, x.tobytes(), 40), (1, 2000 + i, other(x, 23, 36), 40)]  # 28 of 64
     big = spark.createDataFrame(rows, "key long, rep long, sketch binary, size long")
     pivots = {i for i in range(3000) if i < 40}
-    judged = J._pivot_round(big.where("rep < 40").unionByName(
-        big.where("rep >= 40").withColumn("size", F.lit(1 << 60))), J.Settings(), 40, 1).collect()
+    judged = J._pivot_round(big, J.Settings(), 40, 1, pick=F.col("rep") < 40).collect()
     linked = {r.rep for r in judged if r.pivot in pivots}
     stays = {r.rep for r in judged if r.sketch is not None}
     assert linked >= pivots and not stays & pivots
     assert all({1000 + i, 2000 + i} <= linked or {1000 + i, 2000 + i} <= stays for i in range(40))
 
 
+def templated(n, seed, shared=100, own=70):
+    """n texts on one template: about ``shared`` common words, own words between them; a
+    tenth has a near copy."""
+    rnd = random.Random(seed)
+    base = [f"t{i}" for i in range(shared)]
+    rows = []
+    for i in range(n):
+        text = base + [f"o{i}x{rnd.randrange(10**6)}" for _ in range(own)]
+        rows.append(" ".join(text))
+        if i % 10 == 0:
+            rows.append(" ".join(text[:-3] + ["near", "copy", str(i)]))
+    return rows
+
+
+def test_texts_on_one_template_are_taken_apart(spark, monkeypatch):
+    """2,000 texts, 0.4 alike, and near copies of 200: links are those of the copies, and sets
+    are compared with few others."""
+    rows = templated(2000, 3)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
+    seen = []
+    plain = J.exact_links
+    monkeypatch.setattr(J, "exact_links", lambda members, set_: seen.append(
+        members.groupBy("root").count().toPandas()["count"]) or plain(members, set_))
+    check_join(df, J.Settings(tiles=1))
+    assert (seen[0] ** 2).sum() < 2000 * 20
+
+
+def test_prefix_keys_bring_all_pairs_together(spark):
+    rnd = random.Random(9)
+    sets = []
+    for i in range(200):
+        a = rnd.sample(range(400), rnd.randrange(1, 30))
+        sets += [a, [x for x in a if rnd.random() < 0.95] + rnd.sample(range(400, 440), rnd.randrange(3))]
+    sets = [np.array(sorted(set(x)), "<u4") for x in sets]
+    rows = [(i % 2, i, len(x), x.tobytes()) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "root long, rep long, n int, tokens binary")
+    held = defaultdict(set)
+    for r in J.prefix_keys(df, J.Settings()).collect():
+        held[r.rep].add(r.key)
+    for i, a in enumerate(sets):
+        for j in range(i + 2, len(sets), 2):
+            both = len(np.intersect1d(a, sets[j]))
+            if both and both >= 0.8 * (len(a) + len(sets[j]) - both):
+                assert held[i] & held[j], (i, j)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (7, 7), *((i, 100) for i in range(50, 99))],
                                   "a long, b long")
