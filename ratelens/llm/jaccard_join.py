@@ -259,29 +259,29 @@ def roots(linked: np.ndarray) -> np.ndarray:
 
 
 def components(links: DataFrame) -> tuple[DataFrame, str]:
-    """(node, root) for the nodes of the links (a, b); root is the least node."""
+    """(node, root) for the nodes of the links (a, b); root is the least node.
+
+    Ends when the links are stars: each node has its least neighbour only, or none that is less."""
     both = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges, path = written(both.distinct())
-    mark = None
     while True:
-        # large star: larger neighbours of a node go to its least neighbour
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.min("b").alias("m"))
-        large = (salted_join(around, least, "a", "b").where("b > a")
-                 .select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct())
-        large, large_path = written(large)
+        least, least_path = written(around.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("around")))
+        if least.where("m < a AND around > 1").isEmpty():
+            break
+        # large star: larger neighbours of a node go to its least neighbour, one link for each
+        large, large_path = written(salted_join(edges.select(F.col("b").alias("a"), F.col("a").alias("b")),
+                                                least.select("a", "m"), "a", "b")
+                                    .select(F.col("b").alias("a"), F.least("m", "a").alias("b")))
         # small star: a node and its smaller neighbours go to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = salted_join(large, least, "a", "b")
         small = (joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         new, new_path = written(small)
-        drop(edges, path, large_path)
+        drop(edges, path, least_path, large_path)
         edges, path = new, new_path
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
+    drop(edges, least_path)
     tree = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct()), path
 
