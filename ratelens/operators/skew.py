@@ -4,7 +4,8 @@ A frequent-items sketch (one aggregate over the key column, a bounded number of
 counters per task, nothing shuffled but sketches) names the keys whose rows exceed what
 one task should hold. Only those are spread: their rows go to as many parts as their
 number asks for, and only their few partner rows are copied to each part. Cold
-keys are joined as they are, with no copies.
+keys are joined as they are, with no copies. The partners are never broadcast: they are few
+per key, but as many as there are keys, and their size estimate comes from compressed files.
 """
 
 from __future__ import annotations
@@ -39,11 +40,11 @@ def skew_join(rows: DataFrame, partners: DataFrame, key: str, spread_by: str,
         raise ValueError("skew_join spreads the left side: how must be inner or left")
     hot = hot_keys(rows, key, rows_per_task) if hot is None else hot
     if hot is None:
-        return rows.join(partners, key, how)
+        return rows.join(partners.hint("merge"), key, how)
     hot = F.broadcast(hot)  # at most SKETCH_ITEMS rows
     salts = F.coalesce(F.col("__salts"), F.lit(1))
     left = (rows.join(hot, key, "left")
             .withColumn("__salt", F.pmod(F.xxhash64(spread_by), salts).cast("int")).drop("__salts"))
     right = (partners.join(hot, key, "left")
              .withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts"))
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    return left.join(right.hint("merge"), [key, "__salt"], how).drop("__salt")

@@ -55,9 +55,13 @@ def join_patient_dim(enc: DataFrame, dim: DataFrame,
 
 def join_on_encounter(left: DataFrame, right: DataFrame) -> DataFrame:
     """E-2 / E-4: 1:1 inner join on encounter_id; right-side duplicates of
-    left columns are dropped so the result keeps one copy of each name."""
+    left columns are dropped so the result keeps one copy of each name.
+
+    Always a merge join: the right side has a row per encounter, but a few columns of
+    a compressed table are estimated small enough to be broadcast, which the driver
+    then has to hold."""
     keep = [c for c in right.columns if c == "encounter_id" or c not in left.columns]
-    return left.join(right.select(*keep), "encounter_id")
+    return left.join(right.select(*keep).hint("merge"), "encounter_id")
 
 
 def encounter_view(enc: DataFrame, util: DataFrame | None = None,

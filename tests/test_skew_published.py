@@ -109,6 +109,14 @@ def test_join_queries_share_one_version(spark):
     assert _published(spark) == before and len(spark.catalog.listTables()) == tables
 
 
+@pytest.mark.parametrize("name", ["e01_encounter_patient_join", "e02_encounter_utilization_join",
+                                  "e03_three_way_join", "e04_encounter_patients_join", "d19_cohort_listing"])
+def test_no_side_of_a_table_join_is_broadcast(spark, name):
+    # a row per encounter or patient: a small size estimate must not send it through the driver
+    plan = C.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_rejected_values_and_lines(spark, tmp_path):
     full = C.raw(spark, SF_SMALL).limit(4).toPandas()
     columns = list(full.columns)[::-1] + ["note"]
