@@ -110,7 +110,8 @@ def test_join_queries_share_one_version(spark):
 
 
 @pytest.mark.parametrize("name", ["e01_encounter_patient_join", "e02_encounter_utilization_join",
-                                  "e03_three_way_join", "e04_encounter_patients_join", "d19_cohort_listing"])
+                                  "e03_three_way_join", "e04_encounter_patients_join",
+                                  "e05_encounter_util_patients_join", "d19_cohort_listing"])
 def test_no_side_of_a_table_join_is_broadcast(spark, name):
     # a row per encounter or patient: a small size estimate must not send it through the driver
     plan = C.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
