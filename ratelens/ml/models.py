@@ -8,16 +8,19 @@ scalars come back to the driver.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from math import isqrt
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (LogisticRegression,
+from pyspark.ml.classification import (LogisticRegression, RandomForestClassificationModel,
                                        RandomForestClassifier)
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..constants import (CV_FOLDS, FEATURE_COLUMNS, LABEL_COLUMN,
                          LR_MAX_ITER, RANDOM_BASELINE_AUC, RANDOM_STATE,
@@ -31,6 +34,8 @@ from .split import stratified_folds
 
 RF_MAX_DEPTH = 30  # unlimited depth is not available; this is Spark's largest
 LR_TOL = 1e-12  # relative change at which the fit ends: its gradient is then 0 at 6 digits
+GROUPS_PER_TASK = 50_000  # groups of equal rows in one partition of a forest's fit
+TREES_AT_ONCE = 8  # trees of a forest whose fits are submitted together
 MAX_CLASSES = 1000  # of a label; more is an id, not a class
 
 
@@ -114,25 +119,20 @@ def logistic_model(moments: Mapping[str, tuple[float, float]], label: str = LABE
     ])
 
 
-def forest_model(features: Sequence[str] = FEATURE_COLUMNS, label: str = LABEL_COLUMN,
-                 weight: str = "weight", trees: int = RF_TREES,
-                 max_depth: int = RF_MAX_DEPTH, seed: int = RANDOM_STATE,
-                 max_bins: int = 32) -> Pipeline:
-    """J-6: balanced random forest, sqrt(features) tried per split.
+def tree_model(label: str = LABEL_COLUMN, weight: str = "weight", max_depth: int = RF_MAX_DEPTH,
+               seed: int = RANDOM_STATE, max_bins: int = 32) -> RandomForestClassifier:
+    """J-6, one tree: sqrt(features) tried per split, rows as often as ``weight`` says (the
+    draws are in it, so Spark draws none of its own).
 
     With ``max_bins`` above the distinct values of each feature
     (``split_bins``) every split point between two values is considered.
     """
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="features"),
-        RandomForestClassifier(featuresCol="features", labelCol=label, weightCol=weight,
-                               numTrees=trees, maxDepth=max_depth, seed=seed,
-                               maxBins=max_bins,
-                               featureSubsetStrategy="sqrt",
-                               # speed only: more nodes per data pass, node ids
-                               # cached (checkpointed) instead of recomputed
-                               maxMemoryInMB=1024, cacheNodeIds=True),
-    ])
+    return RandomForestClassifier(featuresCol="features", labelCol=label, weightCol=weight,
+                                  numTrees=1, bootstrap=False, maxDepth=max_depth, seed=seed,
+                                  maxBins=max_bins, featureSubsetStrategy="sqrt",
+                                  # speed only: more nodes per data pass, node ids cached
+                                  # (one narrow step a level, too few to need checkpoints)
+                                  maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=-1)
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
@@ -227,18 +227,96 @@ def fit_logistic_fold(cube: DataFrame, held: int, counts: Mapping[int, int],
 
 def split_bins(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS) -> int:
     """Bins that keep every distinct value of every feature apart: the
-    approximate number of distinct values (1 % error) with a margin of 5 %."""
-    most = df.agg(F.greatest(*[F.approx_count_distinct(f, 0.01) for f in features],
-                             F.lit(0))).first()[0]
-    return max(32, int(most * 1.05) + 2)
+    approximate number of distinct values (1 % error) with a margin of 5 %. Spark looks for the
+    values in a sample of max_bins ** 2 rows, so bins are at least the root of the rows."""
+    found = df.agg(F.greatest(*[F.approx_count_distinct(f, 0.01) for f in features],
+                              F.lit(0)), F.count(F.lit(1))).first()
+    return max(32, int(found[0] * 1.05) + 2, isqrt(found[1]) + 1)
+
+
+def row_groups(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
+               label: str = LABEL_COLUMN) -> DataFrame:
+    """(features, label, n): rows of equal features and label as one row."""
+    return df.groupBy(*features, label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_draws(groups: DataFrame, trees: int, seed: int = RANDOM_STATE) -> DataFrame:
+    """Row groups with ``draws``: how often each tree's bootstrap holds the group. A row is drawn
+    Poisson(1) times, as in Spark's forest, so ``n`` equal rows are drawn Poisson(n)
+    times. A group's draws depend on its values and the seed alone, not on where it lies."""
+    import numpy as np
+    import pyarrow as pa
+
+    values = [c for c in groups.columns if c != "n"]
+
+    def draw(batches):
+        for batch in batches:
+            keys, counts = batch.column("__key").to_pylist(), batch.column("n").to_pylist()
+            drawn = [np.random.Generator(np.random.Philox(key=[k % 2**64, seed])).poisson(n, trees)
+                     for k, n in zip(keys, counts)]
+            flat = np.concatenate(drawn) if drawn else np.empty(0, "int64")
+            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, trees, "int32"), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in values] + [lists], names=[*values, "draws"])
+
+    schema = StructType([groups.schema[c] for c in values] + [StructField("draws", ArrayType(LongType()))])
+    return groups.withColumn("__key", F.xxhash64(*values)).mapInArrow(draw, schema)
 
 
 def fit_forest(train: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
                label: str = LABEL_COLUMN, trees: int = RF_TREES,
                max_depth: int = RF_MAX_DEPTH) -> PipelineModel:
-    bins = split_bins(train, features)
-    return forest_model(features, label, trees=trees, max_depth=max_depth,
-                        max_bins=bins).fit(balanced_weights(train, label))
+    """J-6: balanced random forest, fitted on the groups of equal rows (``fit_forest_groups``)."""
+    return fit_forest_groups(row_groups(train, features, label), features, label, trees, max_depth)
+
+
+def fit_forest_groups(groups: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
+                      label: str = LABEL_COLUMN, trees: int = RF_TREES,
+                      max_depth: int = RF_MAX_DEPTH, seed: int = RANDOM_STATE) -> PipelineModel:
+    """The forest of the rows that (features, label, n) stands for.
+
+    Bootstrap draws are made per group (``with_draws``), so every pass is over the distinct
+    rows, whatever their number of copies. The trees are fitted beside each other, ``TREES_AT_ONCE``
+    at a time, and put together into one forest. The layout follows the groups alone, so a
+    fit does not depend on the number of cores."""
+    groups = materialize(groups)
+    per_class = groups.groupBy(label).agg(F.sum("n").alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(per_class) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    counts = {r[label]: r["n"] for r in per_class}
+    bins = split_bins(groups, features)
+    parts = max(1, -(-groups.count() // GROUPS_PER_TASK))
+    keys = [*features, label]
+    laid = groups.repartition(parts, *keys).sortWithinPartitions(*keys)
+    drawn = balanced_weights(with_draws(laid, trees, seed), label, out="w1", counts=counts)
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    rows = assembler.transform(drawn).select("features", label, "w1", "draws").cache()
+    seeds = [random.Random(seed * 1_000_003 + i).getrandbits(31) for i in range(trees)]
+
+    def fit_tree(i: int):
+        own = rows.withColumn("weight", F.get("draws", F.lit(i)) * F.col("w1")).filter("weight > 0")
+        return tree_model(label, "weight", max_depth, seeds[i], bins).fit(own)
+
+    try:
+        with ThreadPoolExecutor(max_workers=TREES_AT_ONCE) as pool:
+            fitted = list(pool.map(fit_tree, range(trees)))
+    finally:
+        rows.unpersist()
+    return PipelineModel(stages=[assembler, join_forests(fitted)])
+
+
+def join_forests(forests: Sequence[RandomForestClassificationModel]) -> RandomForestClassificationModel:
+    """One forest of the trees of several, in their order, with the columns of the first."""
+    spark = SparkSession.getActiveSession()
+    models = spark._jvm.org.apache.spark.ml.classification
+    found = [tree for forest in forests for tree in forest._java_obj.trees()]
+    trees = spark.sparkContext._gateway.new_array(models.DecisionTreeClassificationModel, len(found))
+    for i, tree in enumerate(found):
+        trees[i] = tree
+    first = forests[0]
+    joined = models.RandomForestClassificationModel(first.uid, trees, first.numFeatures, first.numClasses)
+    first._java_obj.copyValues(joined, spark._jvm.org.apache.spark.ml.param.ParamMap.empty())
+    joined.set(joined.getParam("numTrees"), len(found))
+    return RandomForestClassificationModel(joined)
 
 
 def score(model: PipelineModel, df: DataFrame, id_col: str = "encounter_id",

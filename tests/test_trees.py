@@ -74,3 +74,36 @@ def test_questions_are_broadcast_and_nothing_is_shuffled_but_scores(spark, fitte
     rows, model = fitted
     plan = TR.score_nodes(rows, TR.forest_nodes(model))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_draws_of_a_group_are_those_of_its_rows(spark):
+    groups = spark.createDataFrame([(i, i % 2, 1000 if i == 0 else 1) for i in range(300)], "x int, y int, n long")
+    draws = {r.x: r.draws for r in ML.with_draws(groups.repartition(5), 200).collect()}
+    assert draws == {r.x: r.draws for r in ML.with_draws(groups.coalesce(1), 200).collect()}
+    hot, ones = draws[0], [d for x in range(1, 300) for d in draws[x]]
+    for drawn, want in ((hot, 1000), (ones, 1)):  # Poisson: variance and mean are n
+        mean = sum(drawn) / len(drawn)
+        assert mean == pytest.approx(want, rel=0.03)
+        assert sum((d - mean) ** 2 for d in drawn) / len(drawn) == pytest.approx(want, rel=0.3)
+
+
+def test_a_forest_reads_distinct_rows_and_follows_the_rows_alone(spark, fitted):
+    rows, _ = fitted
+    rows = rows.limit(200)
+    copies = rows.crossJoin(spark.range(40)).cache()
+    a, b = (ML.fit_forest(copies.repartition(p), trees=3, max_depth=6).stages[-1] for p in (1, 6))
+    assert a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:] and a.getNumTrees == 3
+    distinct = rows.select(*FEATURE_COLUMNS, "readmitted_flag").distinct().count()
+    for tree in a._java_obj.trees():  # instances and weight that reached the root
+        assert tree.rootNode().impurityStats().rawCount() <= distinct
+        assert tree.rootNode().impurityStats().count() == pytest.approx(40 * 200, rel=0.1)
+    copies.unpersist()
+
+
+def test_every_value_is_a_possible_cut(spark):
+    # 15,000 groups, one value of x that decides the class: it is seen though few rows have it
+    groups = spark.range(15000).selectExpr("id AS z", "CASE WHEN id < 3 THEN 1 ELSE 0 END AS x",
+                                           "CASE WHEN id < 3 THEN 1 ELSE 0 END AS y", "5L AS n")
+    assert ML.split_bins(groups, ["x"]) ** 2 >= 15000
+    forest = ML.fit_forest_groups(groups.select("x", "y", "z", "n"), ["x"], "y", trees=4, max_depth=2).stages[-1]
+    assert all(t.depth == 1 for t in forest.trees)
