@@ -406,8 +406,8 @@ def cross_validate(frame: DataFrame, k: int = CV_FOLDS, features: Sequence[str]
     """J-19: stratified k-fold ROC-AUC for both models, weights refit per fold.
 
     The fold-assigned frame is written once to the shared checkpoint folder
-    (``materialize``); the logistic fits read its cube (``fold_cube``), the forests
-    its rows, which they have to draw one by one.
+    (``materialize``); all fits read its cube (``fold_cube``). Scores are written as soon as
+    a model is there, so no more than ``parallelism`` models are held.
     Up to ``parallelism`` fits are submitted at once (each fit is itself a
     series of distributed jobs), as Spark's CrossValidator does. All held-out scores are
     written and ranked together (``ranking_metrics_by_key``).
@@ -418,14 +418,15 @@ def cross_validate(frame: DataFrame, k: int = CV_FOLDS, features: Sequence[str]
     folds = materialize(fixed_layout(rows.join(parts, id_col), id_col))
     cube = fold_cube(folds, features, label)
     statistics = cube_statistics(cube, features, label)
-    fitters = {"Random Forest": lambda f: fit_forest(folds.filter(F.col("fold") != f), features, label,
-                                                     trees, max_depth),
+    fitters = {"Random Forest": lambda f: fit_forest_groups(
+                   cube.filter(F.col("fold") != f).groupBy(*features, label).agg(F.sum("n").alias("n")),
+                   features, label, trees, max_depth),
                "Logistic Regression": lambda f: fit_logistic_fold(cube, f, *statistics[f], label)}
 
     def run(task: tuple[str, int]) -> DataFrame:
         name, f = task
-        return score(fitters[name](f), folds.filter(F.col("fold") == f), id_col, label).select(
-            F.lit(name).alias("model"), F.lit(f).cast("int").alias("fold"), "label", "score")
+        return materialize(score(fitters[name](f), folds.filter(F.col("fold") == f), id_col, label).select(
+            F.lit(name).alias("model"), F.lit(f).cast("int").alias("fold"), "label", "score"))
 
     # the long fits first
     tasks = [(name, f) for name in fitters for f in statistics]
