@@ -301,12 +301,13 @@ def fit_forest_groups(groups: DataFrame, features: Sequence[str] = FEATURE_COLUM
             fitted = list(pool.map(fit_tree, range(trees)))
     finally:
         rows.unpersist()
-    return PipelineModel(stages=[assembler, join_forests(fitted)])
+    return PipelineModel(stages=[assembler, join_forests(groups.sparkSession, fitted)])
 
 
-def join_forests(forests: Sequence[RandomForestClassificationModel]) -> RandomForestClassificationModel:
-    """One forest of the trees of several, in their order, with the columns of the first."""
-    spark = SparkSession.getActiveSession()
+def join_forests(spark: SparkSession,
+                 forests: Sequence[RandomForestClassificationModel]) -> RandomForestClassificationModel:
+    """One forest of the trees of several, in their order, with the columns of the first.
+    The session is given: threads that fit have no active one."""
     models = spark._jvm.org.apache.spark.ml.classification
     found = [tree for forest in forests for tree in forest._java_obj.trees()]
     trees = spark.sparkContext._gateway.new_array(models.DecisionTreeClassificationModel, len(found))
