@@ -317,7 +317,9 @@ def join_forests(spark: SparkSession,
     joined = models.RandomForestClassificationModel(first.uid, trees, first.numFeatures, first.numClasses)
     first._java_obj.copyValues(joined, spark._jvm.org.apache.spark.ml.param.ParamMap.empty())
     joined.set(joined.getParam("numTrees"), len(found))
-    return RandomForestClassificationModel(joined)
+    model = RandomForestClassificationModel(joined)
+    model._transfer_params_from_java()
+    return model
 
 
 def score(model: PipelineModel, df: DataFrame, id_col: str = "encounter_id",
