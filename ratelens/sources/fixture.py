@@ -60,6 +60,8 @@ def _cyclic_status(eid: Column, modulus: int) -> Column:
             .otherwise("No"))
 
 
+FEW_CUSTOMERS = 100_000  # customers up to which they are broadcast to their orders
+
 STORED = "stored:"  # marks the folder of a stored encounter table
 
 
@@ -113,7 +115,7 @@ def derive_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     b = (orders
          .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-         .join(cust, F.col("o_custkey") == F.col("c_custkey"))
+         .join(checked_broadcast(cust, FEW_CUSTOMERS), F.col("o_custkey") == F.col("c_custkey"))
          .select(
              F.col("o_orderkey").alias("eid"),
              F.col("o_custkey").alias("pid"),

@@ -202,3 +202,18 @@ def test_written_copy_joins_without_shuffle(spark):
             assert "SortMergeJoin" in plan and "Exchange" not in plan, name
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_many_customers_are_not_broadcast_to_their_orders(spark, monkeypatch):
+    """The size estimate of a compressed customer table is far below its rows."""
+    from ratelens.sources import fixture
+    from ratelens.sources.tables import checked_broadcast
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(fixture, "FEW_CUSTOMERS", 10)
+    rows = fixture.derive_encounters(spark, SF_SMALL)
+    assert "SortMergeJoin [o_custkey" in plan(rows) and "BroadcastHashJoin [o_custkey" not in plan(rows)
+    few = spark.createDataFrame([(i, str(i)) for i in range(20)], "k long, v string")
+    assert "BroadcastHashJoin" in plan(few.join(checked_broadcast(few.withColumnRenamed("v", "w"), 20), "k"))
+    assert "SortMergeJoin" in plan(few.join(checked_broadcast(few.withColumnRenamed("v", "w"), 19), "k"))
