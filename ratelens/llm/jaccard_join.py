@@ -228,6 +228,28 @@ def salted_join(rows: DataFrame, keyed: DataFrame, on: str, by: str, how: str =
             .join(spread, [on, "_salt"], how).drop("_salt"))
 
 
+def marked(rows: DataFrame, wanted: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """``rows`` without most of those whose ``on`` is not in ``wanted``: rows that a join would move for
+    nothing are dropped where they lie, by a table of at most MARKS hashes (that bound is
+    what may be broadcast). With ``left_anti`` the others: rows that are surely not in ``wanted``."""
+    mark = F.pmod(F.xxhash64(on), F.lit(MARKS))
+    marks = wanted.select(mark.alias("_mark")).distinct()
+    return rows.withColumn("_mark", mark).join(F.broadcast(marks), "_mark", how).drop("_mark")
+
+
+def buckets_of(members: DataFrame) -> DataFrame:
+    """(key, size, least, same) of the buckets of two members or more; buckets of the same members agree in all but the key."""
+    return members.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("least"),
+                                      F.bit_xor(F.xxhash64("rep")).alias("same")).where("size > 1")
+
+
+def small_buckets(sizes: DataFrame, bucket: int) -> DataFrame:
+    """(key) of the buckets of at most ``bucket`` members; of buckets with the same members
+    one, as comparing them again finds the same links."""
+    return (sizes.where(F.col("size") <= bucket).groupBy("size", "least", "same")
+            .agg(F.min("key").alias("key")).select("key"))
+
+
 def runs_of(batches, key: str, columns: list[str]):
     """Lists of columns per run of equal keys, over batches sorted by the key."""
     held = None
@@ -397,52 +419,76 @@ def _split(members: DataFrame) -> DataFrame:
 
 
 def prefix_keys(members: DataFrame, set_: Settings) -> DataFrame:
-    """(key, rep): the tokens by which a set can meet one that reaches ``least``.
-
-    ``members`` has root, rep, n and tokens; sets meet only inside a root. Tokens are ordered by the
-    number of sets that hold them. Sets A and B that reach ``least`` share at least
-    ``least * n`` tokens of either, so one of the first ``n - least * n + 1`` of
-    both. A token of one set only is in that prefix, but brings it to nobody."""
-    def spread(batches):
+    """(rep, key): the tokens by which a set can meet one that reaches ``least``.
+
+    ``members`` has root, rep and tokens; sets meet only inside a root. Sets A and B that
+    reach ``least`` share at least ``least * n`` tokens of either, so in any order of all tokens
+    one of the first ``n - least * n + 1`` of both. The order is from rare to frequent, by counts of MARKS
+    hashes of tokens (one aggregate; the counts are broadcast) and then by the token, so that
+    no token is moved but those of a prefix. A token of one set only brings it to nobody."""
+    def hashed(batches):
+        """(reps, tokens' keys, set of each key) for some sets at a time."""
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
-                sets = [np.frombuffer(x.as_buffer(), "<u4") for x in part.column("tokens")]
-                at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c).take(at) for c in ("root", "rep", "n")]
-                    + [pa.array(np.concatenate(sets).astype(np.int64))],
-                    names=["root", "rep", "n", "token"])
+            roots_, reps = (batch.column(c).to_numpy() for c in ("root", "rep"))
+            at = 0
+            while at < batch.num_rows:
+                first, sets, size = at, [], 0
+                while at < batch.num_rows and size < 1 << 20:
+                    sets.append(np.frombuffer(batch.column("tokens")[at].as_buffer(), "<u4"))
+                    size += len(sets[-1])
+                    at += 1
+                doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                salt = mixed(roots_[first:at].astype(np.uint64) + np.uint64(1))
+                yield reps[first:at], mixed(np.concatenate(sets) + salt[doc]), doc
+
+    rows = members.select("root", "rep", "tokens")
+
+    def count(batches):
+        held = np.zeros(MARKS, np.int64)
+        for _, key, _ in hashed(batches):
+            held += np.bincount((key % np.uint64(MARKS)).astype(np.int64), minlength=MARKS)
+        slots = np.flatnonzero(held)
+        for a in range(0, len(slots), 1 << 16):
+            at = slots[a:a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["slot", "held"])
+
+    counts = (rows.mapInArrow(count, "slot long, held long").groupBy("slot")
+              .agg(F.sum("held").alias("held")).toArrow())  # at most MARKS rows
+    table = np.zeros(MARKS, np.int64)
+    table[counts.column("slot").to_numpy()] = counts.column("held").to_numpy()
+    shared = members.sparkSession.sparkContext.broadcast(table)
+
+    def prefix(batches):
+        for reps, key, doc in hashed(batches):
+            held = shared.value[(key % np.uint64(MARKS)).astype(np.int64)]
+            order = np.lexsort((key, held, doc))
+            n = np.bincount(doc, minlength=len(reps))
+            length = n - np.ceil(set_.least * n - 1e-9).astype(np.int64) + 1
+            rank = np.arange(len(key)) - np.repeat(n.cumsum() - n, n)
+            take = order[(rank < np.repeat(length, n)) & (held[order] > 1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(reps[doc[take]]), pa.array(key[take].view(np.int64))], names=["rep", "key"])
 
-    rows = (members.select("root", "rep", "n", "tokens")
-            .mapInArrow(spread, "root long, rep long, n int, token long")
-            .select(F.xxhash64("root", "token").alias("key"), "rep", "n"))
-    held = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    ranked = (skew_join(rows, held, "key", "rep").groupBy("rep", "n")
-              .agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("shared")))
-    length = (F.size("shared") - F.ceil(F.lit(set_.least) * F.col("n") - 1e-9) + 1).cast("int")
-    return (ranked.withColumn("length", length).where("length > 0")
-            .select("rep", F.explode(F.slice("shared", F.lit(1), F.col("length"))["key"]).alias("key")))
+    return rows.mapInArrow(prefix, "rep long, key long")
 
 
 def prefix_links(members: DataFrame, sketches: DataFrame, set_: Settings) -> tuple[DataFrame, list[str]]:
     """Links (a, b) between all sets of one root that may reach ``least``, as forests: none is
     missed but by the error of a sketch, against which ``loose`` stands. ``sketches`` has rep and sketch."""
     keys, path = written(prefix_keys(members, set_))
-    sizes, sizes_path = written(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("b"))
-                                .where("size > 1"))
-    few = (keys.join(sizes.where(F.col("size") <= set_.bucket).select("key"), "key")
-           .join(sketches, "rep").select("key", "rep", "sketch"))
-    many = sizes.where(F.col("size") > set_.bucket).select("key", "b")
-    return (_brute_force(few, set_.loose)
-            .unionByName(salted_join(keys, many, "key", "rep").where("rep <> b")
-                         .select(F.col("rep").alias("a"), "b"))), [path, sizes_path]
+    sizes, sizes_path = written(buckets_of(keys))
+    few = small_buckets(sizes, set_.bucket)
+    few, few_path = written(marked(keys, few, "key").join(few, "key"))
+    many = sizes.where(F.col("size") > set_.bucket).select("key", F.col("least").alias("b"))
+    return (_brute_force(marked(sketches, few, "rep").join(few, "rep").select("key", "rep", "sketch"), set_.loose)
+            .unionByName(salted_join(marked(keys, many, "key"), many, "key", "rep").where("rep <> b")
+                         .select(F.col("rep").alias("a"), "b"))), [path, sizes_path, few_path]
 
 
 def candidate_links(reps: DataFrame, sets: DataFrame, set_: Settings) -> tuple[DataFrame, list[str]]:
     """Links (a, b) between representatives that may reach ``least``, as forests.
 
-    ``reps`` has rep, sketch and paths, ``sets`` rep, n and tokens.
+    ``reps`` has rep, sketch and paths, ``sets`` rep and tokens.
     """
     used: list[str] = []
     rows = (reps.select("rep", F.posexplode("paths").alias("run", "tokens"))
@@ -453,15 +499,28 @@ def candidate_links(reps: DataFrame, sets: DataFrame, set_: Settings) -> tuple[D
     described = reps.select("rep", "sketch")
 
     def sized(members):
-        """(key, size) of the buckets of two members or more."""
-        sizes, path = written(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+        """The keys of small buckets, and (key, size) of large ones."""
+        sizes, path = written(buckets_of(members))
+        few, few_path = written(small_buckets(sizes, set_.bucket))
+        used.extend([path, few_path])
+        return few, sizes.where(F.col("size") > set_.bucket).select("key", "size")
+
+    def small_of(members):
+        return marked(members, few, "key").join(few, "key")
+
+    def large_of(members):
+        return salted_join(marked(members, large, "key"), large, "key", "rep")
+
+    def sketched(members):
+        """Members with their sketches."""
+        members, path = written(members)
         used.append(path)
-        return sizes.where(F.col("size") <= set_.bucket), sizes.where(F.col("size") > set_.bucket)
+        return marked(described, members, "rep").join(members, "rep")
 
     few, large = sized(table)
     # members of small buckets of all levels; a key is small once, so they are compared together
-    small = table.join(few, "key").select("key", "rep").join(described, "rep").select("key", "rep", "sketch")
-    big = salted_join(table, large, "key", "rep").join(described, "rep")
+    small = sketched(small_of(table)).select("key", "rep", "sketch")
+    big = None if large.isEmpty() else sketched(large_of(table))
     links = []
     for turn in range(1, set_.depth + 1):
         if large.isEmpty():
@@ -474,19 +533,20 @@ def candidate_links(reps: DataFrame, sets: DataFrame, set_: Settings) -> tuple[D
                      .select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         rest = judged.where("sketch IS NOT NULL").select("key", "rep", "sketch")
         few, large = sized(rest)
-        small = small.unionByName(salted_join(rest, few, "key", "rep").select("key", "rep", "sketch"))
+        small = small.unionByName(small_of(rest).select("key", "rep", "sketch"))
         if turn < set_.depth and not large.isEmpty():
-            rest, path = written(_split(salted_join(rest, large, "key", "rep")))
+            rest, path = written(_split(large_of(rest)))
             used.append(path)
             few, large = sized(rest)
-            small = small.unionByName(salted_join(rest, few, "key", "rep").select("key", "rep", "sketch"))
-        big = salted_join(rest, large, "key", "rep")
+            small = small.unionByName(small_of(rest).select("key", "rep", "sketch"))
+        big = large_of(rest)
     if not large.isEmpty():
-        members, path = written(sets.join(big.select("rep").distinct(), "rep")
-                                .select(F.lit(0).cast("long").alias("root"), "rep", "n", "tokens"))
+        left, left_path = written(big.select("rep").distinct())
+        members, path = written(marked(sets, left, "rep").join(left, "rep")
+                                .select(F.lit(0).cast("long").alias("root"), "rep", "tokens"))
         more, paths = prefix_links(members, described, set_)
         links.append(more)
-        used += [path, *paths]
+        used += [left_path, path, *paths]
     out = _brute_force(small, set_.loose)
     for more in links:
         out = out.unionByName(more)
@@ -501,14 +561,13 @@ def taken_apart(nodes: DataFrame, sets: DataFrame, sketches: DataFrame,
     large = sizes.where(F.col("m") > set_.tiles * set_.tile_members).select("root")
     if large.isEmpty():
         return nodes, [path]
-    members, members_path = written(
-        sets.join(salted_join(nodes, large, "root", "node").withColumnRenamed("node", "rep"), "rep")
-        .select("root", "rep", "n", "tokens"))
+    apart, apart_path = written(salted_join(nodes, large, "root", "node").withColumnRenamed("node", "rep"))
+    members, members_path = written(marked(sets, apart, "rep").join(apart, "rep").select("root", "rep", "tokens"))
     links, used = prefix_links(members, sketches, set_)
     parts, parts_path = components(links)
     small = sizes.where(F.col("m") <= set_.tiles * set_.tile_members).select("root")
     return (salted_join(nodes, small, "root", "node").select("node", "root")
-            .unionByName(parts.select("node", "root"))), [path, members_path, parts_path, *used]
+            .unionByName(parts.select("node", "root"))), [path, apart_path, members_path, parts_path, *used]
 
 
 # --- step 3: exact links --------------------------------------------------------------
@@ -534,14 +593,19 @@ def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def exact_links(members: DataFrame, set_: Settings) -> DataFrame:
-    """(rep, links, root): per tile the number of linked rows and the root of
-    the tile's true links. ``members`` has rep, root, copies, n and tokens."""
-    shape = (members.groupBy("root").agg(F.count("*").alias("m"), F.max("n").alias("longest"))
+def blocks_of(nodes: DataFrame, set_: Settings) -> DataFrame:
+    """``nodes`` (rep, root, n, ...) with the number of blocks of their component: sides of its tiles."""
+    shape = (nodes.groupBy("root").agg(F.count("*").alias("m"), F.max("n").alias("longest"))
              .withColumn("side", F.greatest(F.lit(1), F.least(
                  F.lit(set_.tile_members), F.floor(F.lit(set_.tile_tokens) / F.col("longest")))))
              .select("root", F.ceil(F.col("m") / F.col("side")).cast("int").alias("blocks")))
-    placed = (salted_join(members, shape, "root", "rep")
+    return salted_join(nodes, shape, "root", "rep")
+
+
+def exact_links(members: DataFrame, set_: Settings) -> DataFrame:
+    """(rep, links, root): per tile the number of linked rows and the root of
+    the tile's true links. ``members`` has rep, root, blocks, copies and tokens."""
+    placed = (members
               .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
@@ -594,11 +658,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at ``least`` similarity or more."""
     sets, sets_path = written(describe_sets(docs, id_col, text_col, settings))
     groups, _ = written(sets.where("n > 0").groupBy("digest")
-                        .agg(F.min("_row").alias("rep"), F.count("*").alias("copies")))
-    reps = sets.join(groups.select("rep"), F.col("_row") == F.col("rep"), "left_semi") \
-        .withColumnRenamed("_row", "rep")
+                        .agg(F.min("_row").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")))
+    # sets without copies are their own representatives, and need not be looked up
+    numbered = sets.where("n > 0").select(F.col("_row").alias("rep"), "digest", "sketch", "paths")
+    copied = groups.where("copies > 1")
+    reps = marked(numbered, copied, "digest", "left_anti").unionByName(
+        marked(numbered, copied, "digest").join(groups.select("rep"), "rep", "left_semi"))
     described, described_path = written(reps.select("rep", "sketch", "paths"))
-    tokens = sets.select(F.col("_row").alias("rep"), "n", "tokens")
+    tokens = sets.select(F.col("_row").alias("rep"), "tokens")
     links, used = candidate_links(described, tokens, settings)
     nodes, nodes_path = components(links)
     nodes, whole_path = written(nodes)
@@ -607,25 +674,22 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes, kept_path = written(nodes)
     drop(docs, *used, described_path, whole_path)
 
-    # Sets without candidates stay where they are: a table of at most MARKS
-    # hashes of the nodes (that bound is what may be broadcast) drops most of
-    # them before the exact join moves the rest.
-    mark = F.pmod(F.xxhash64("rep"), F.lit(MARKS))
-    marks = nodes.withColumnRenamed("node", "rep").select(mark.alias("_mark")).distinct()
-    members = (sets.select(F.col("_row").alias("rep"), "n", "tokens").withColumn("_mark", mark)
-               .join(F.broadcast(marks), "_mark", "left_semi").drop("_mark")
-               .join(nodes.withColumnRenamed("node", "rep"), "rep")
-               .join(groups.select("rep", "copies"), "rep"))
-    exact, _ = written(exact_links(members, settings))
+    # what a set needs in its component is joined first, so that its tokens are joined once
+    placed, _ = written(blocks_of(nodes.withColumnRenamed("node", "rep")
+                                  .join(groups.select("rep", "copies", "n"), "rep"), settings))
+    exact, _ = written(exact_links(marked(tokens, placed, "rep").join(placed, "rep"), settings))
     classes, _ = components(exact.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = exact.groupBy("rep").agg(F.sum("links").alias("links"))
     named = (groups.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
              .join(links, "rep", "left")
-             .select("digest", F.coalesce("root", "rep").alias("class_row"),
+             .select("digest", "copies", F.coalesce("root", "rep").alias("class_row"),
                      (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     first = sets.select(F.col("_row").alias("class_row"), F.col("_id").alias("class_id"))
     named, _ = written(named.join(first, "class_row"))
-    out = salted_join(sets.select("_row", "_id", "digest"), named, "digest", "_row", "left")
+    # at most one row for each PLACE rows
+    hot = named.where(F.col("copies") > PLACE).select(
+        "digest", F.ceil(F.col("copies") / PLACE).cast("int").alias("__salts"))
+    out = skew_join(sets.select("_row", "_id", "digest"), named, "digest", "_row", "left", hot=hot)
     alone = F.col("class_row").isNull()
     return out.select("_row", "_id", F.coalesce("class_row", "_row").alias("class_row"),
                       F.when(alone, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"),

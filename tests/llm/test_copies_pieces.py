@@ -466,3 +466,26 @@ def test_pipeline_of_no_rows(spark):
     for _, stage in C.STAGES:
         none = stage(spark, none, SF_SMALL)
         assert none.collect() == []
+
+
+def test_prefix_keys_move_no_tokens(spark):
+    rows = [(0, i, 3, np.array([1, 2, 10 + i], "<u4").tobytes()) for i in range(4)]
+    keys = J.prefix_keys(spark.createDataFrame(rows, "root long, rep long, n int, tokens binary"), J.Settings())
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {r.rep for r in keys.collect()} <= set(range(4))
+
+
+def test_buckets_of_the_same_members_are_compared_once(spark):
+    rows = [(k, r) for k in (1, 2, 3) for r in (5, 6)] + [(4, 5), (4, 7), (8, 9)]
+    sizes = J.buckets_of(spark.createDataFrame(rows, "key long, rep long"))
+    assert {(r.key, r["size"]) for r in sizes.collect()} == {(1, 2), (2, 2), (3, 2), (4, 2)}
+    assert {r.key for r in J.small_buckets(sizes, 2).collect()} == {1, 4}
+
+
+def test_rows_that_a_join_would_move_for_nothing_stay(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "rep")
+    wanted = rows.where("rep % 1000 = 0")
+    kept = {r.rep for r in J.marked(rows, wanted, "rep").collect()}
+    assert set(range(0, 20_000, 1000)) <= kept and len(kept) < 200
+    assert {r.rep for r in J.marked(rows, wanted, "rep", "left_anti").collect()} == set(range(20_000)) - kept
