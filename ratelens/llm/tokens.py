@@ -60,7 +60,12 @@ class Generations(dict):
         if len(word) > KEPT_LENGTH:
             return self._compute(word)
         value = self._old.get(word)
-        return self.add(word, self._compute(word) if value is None else value)
+        if value is None:
+            value = self._compute(word)
+        if len(self) < self._size:
+            self[word] = value
+            return value
+        return self.add(word, value)
 
     def add(self, word, value):
         if len(self) >= self._size:
@@ -133,6 +138,9 @@ class Encoder:
         self.letters = _byte_letters()
         self.folds = self.tok.normalizer is not None  # lower-cases and drops white space
         self.ranks = ranked(self.tok.to_str())
+        # the packed id of each rank: a word has a few, for which an array costs more than it saves
+        self.packed = self.ranks and [x.tobytes() for x in self.ranks[1]].__getitem__
+        self.end = b"\xff" if self.folds else b""
         # a space whose predecessor is white space too, or white space at the end
         self.unsafe = re.compile(r"\s |\s\Z")
         self.pieces = Generations(self._piece)
@@ -146,9 +154,7 @@ class Encoder:
         if self.ranks is None or len(raw) > LONG_PIECE:
             spelled = raw.decode("latin-1").translate(self.letters)
             return _packed([t.id for t in self.model.tokenize(spelled)])
-        encoding, ids = self.ranks
-        return ids[encoding._core_bpe.encode_single_piece(
-            raw + b"\xff" if self.folds else raw)].tobytes()
+        return b"".join(map(self.packed, self.ranks[0]._core_bpe.encode_single_piece(raw + self.end)))
 
     def _agreed(self, text: str) -> bool:
         """Whether ``tiktoken`` splits the whole text as the library does, and in linear time."""
@@ -173,18 +179,28 @@ class Encoder:
         ids = self.pieces[" " + body]
         return ids + self.pieces[mark] if mark else ids
 
+    @staticmethod
+    def lowers(text: str) -> bool:
+        """Whether the normalizer does no more to the letters of ``text`` than ``str.lower``: ASCII and the Latin
+        letters made with marks, which are composed already."""
+        return text.isascii() or _AGREED.fullmatch(text) is not None
+
     def _folded_word(self, word: str) -> bytes:
         if not word:
             return b""
-        body, mark = self._split(word)
-        body = body.lower() if body.isascii() else self.tok.normalizer.normalize_str(body)
+        body = word.rstrip(_MARKS)  # as _split, which costs a call for each word not seen before
+        mark = word[len(body):]
+        if not body.isalpha() or "<|" in mark:
+            return self._library(word)
+        body = body.lower() if self.lowers(body) else self.tok.normalizer.normalize_str(body)
         if not body.isalpha():
             return self._library(word)
-        ids = self.pieces[body]
-        return ids + self.pieces[mark] if mark else ids
+        return self.pieces[body] + self.pieces[mark] if mark else self.pieces[body]
 
     def encode(self, text: str) -> bytes:
         if self.folds:
+            if self.lowers(text):  # one entry for a word, however it is written
+                text = text.lower()
             return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
         if not text:
             return b""

@@ -159,3 +159,17 @@ def test_odd_files(spark, odd, empty, tmp_path):
     assert len(got) == odd.count() and [r.doc_id for r in got[:2]] == [None, None]
     assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
     assert files(spark, empty, str(tmp_path / "e")) == []
+
+
+def test_words_are_kept_once_however_they_are_written():
+    import random
+    from ratelens.llm.tokens import Encoder, public_tokenizer
+    enc = Encoder(public_tokenizer("word_bpe_49k.json"))
+    for text in ("Straße éÉ Foo, foo, FOO,", "ÉÉ straße foo,"):
+        assert enc.encode(text) == enc._library(text)
+    assert {w for w in enc.words if w.lower() == "foo,"} == {"foo,"}
+    rnd = random.Random(3)
+    letters = [*" aEi\nS'.<|>", "İ", "ſ", "ŉ", "̇", "́", "Σ", "Å", "É", "ẞ"]
+    for _ in range(2000):
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randrange(30)))
+        assert enc.encode(text) == enc._library(text), repr(text)
