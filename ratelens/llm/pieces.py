@@ -14,7 +14,9 @@ Pieces hold the space mark only at their start (``Vocabulary`` checks it),
 so every best path has a boundary before a space mark that follows another
 character. Inside a chunk that makes the matrix a vector of heads, the sum
 of the words' best scores and a vector of tails; words repeat, so each
-task keeps a bounded table of word segmentations.
+worker keeps a bounded table of word segmentations. The words of many texts that
+are not in it are segmented in one call: no piece reaches over a break, so the best path of a
+row of words is made of the words' own (``Vocabulary.learn``).
 
 Scores are integers, so sums do not depend on the order of combination. The
 public model file is of the BPE kind, which has merge ranks for scores; the
@@ -32,6 +34,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from functools import cached_property
 from math import log
 
 import numpy as np
@@ -39,14 +42,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import LARGE_ROWS, text_or_empty, written
 from .jaccard_join import runs_of
-from .tokens import Generations
+from .tokens import KEPT_LENGTH, Generations
 
 MARK = "▁"
 CHUNK = 32_768
 FAN = 64
-WORDS = 300_000  # entries of a worker's word table (memory bound, not a limit on words)
+WORDS = 200_000  # entries of a worker's word table (memory bound, not a limit on words)
+TOGETHER = 1 << 18  # characters of texts whose words are learned in one call
 NEVER = -(1 << 60)
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 _BREAK = re.compile(f"(?<=[^{MARK}]){MARK}")
@@ -70,12 +74,23 @@ class Vocabulary:
             raise ValueError("pieces must hold the space mark only at their start")
         first = min(self.plain.values())
         self.score = {p: piece_score(i - first) for p, i in self.plain.items()}
-        # scores, and 1 for what only begins a piece
-        self.steps = {p[:k]: 1 for p in self.score for k in range(1, len(p))} | self.score
         self.unknown = min(self.score.values()) - (10 << 24)
         self.longest = max(map(len, self.plain))
-        # word -> (ids, score); two generations bound the table, so once-only words leave it
-        self.words = Generations(lambda w: self.path(w, 0, len(w), len(w)), WORDS // 2)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the tables that only segmentation needs; they fill again on use."""
+        for name in ("steps", "_row"):
+            self.__dict__.pop(name, None)
+        # marked word -> (ids, score): the words that ``learn`` leaves out
+        self.words = Generations(lambda w: self.path(w, 0, len(w), len(w)), WORDS // 64)
+        # word without its first mark -> ids; two generations bound the table, so once-only words leave it
+        self.found = Generations(lambda w: self.words[MARK + w][0], WORDS // 2)
+
+    @cached_property
+    def steps(self) -> dict:
+        """Scores, and 1 for what only begins a piece."""
+        return {p[:k]: 1 for p in self.score for k in range(1, len(p))} | self.score
 
     def edges(self, s: str, i: int, stop: int):
         """(end, score) of the pieces that start at ``i`` and end by ``stop``."""
@@ -127,6 +142,84 @@ class Vocabulary:
                 ids.append(i)
         return array("I", ids).tobytes(), best[stop - start]
 
+    @cached_property
+    def _row(self):
+        """For a row of words: the ``tokenizers`` model with these pieces and scores, its tokens' ids and
+        characters, a character that stands for each one that is no piece, and which ones those are.
+
+        It adds up doubles; scores are below 2**53 with 24 bits after the point, so its sums are
+        exact, and of paths that tie it takes the same one as ``forward``.
+        """
+        from tokenizers import Tokenizer
+        from tokenizers.models import Unigram
+        used = set().union(*self.plain)
+        stand_in, never = [chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in used][:2]
+        names = [*self.plain, stand_in, never]  # the last is the model's unknown piece, which rows do not hold
+        scores = [*(self.score[p] for p in self.plain), self.unknown, self.unknown]
+        model = Unigram([(p, s / (1 << 24)) for p, s in zip(names, scores)], len(names) - 1, False)
+        known = {c for c in used if c in self.plain}
+
+        def any_of(chars, but=""):
+            return re.compile(f"[{but}{''.join(map(re.escape, sorted(chars)))}]")
+
+        return (Tokenizer(model), np.array([*self.plain.values(), 0, 0], "<u4"),
+                np.array([len(p) for p in names]), stand_in, any_of(known, "^"),
+                any_of(used - known) if used > known else None)
+
+    def learn(self, words) -> None:
+        """Segment those of the words (without their first mark) that are in no table, together."""
+        before = self.found.turns
+        self._learn(words)
+        if self.found.turns > before:  # some of them may have left the table
+            self._learn(words)
+
+    def _learn(self, words) -> None:
+        library, numbers, letters, stand_in, odd_ones, alone = self._row
+        new = [w for w in self.found.unknown(words)
+               if w and w[-1] != MARK and len(w) <= KEPT_LENGTH]  # marks alone would join the next word
+        if alone is not None:  # characters in pieces, but none by itself
+            new = [w for w in new if alone.search(w) is None]
+        if not new:
+            return
+        text = MARK + MARK.join(new)
+        tokens = np.array(library.encode(odd_ones.sub(stand_in, text), add_special_tokens=False).ids)
+        ends = letters[tokens].cumsum()
+        stops = np.searchsorted(ends, np.cumsum([len(w) + 1 for w in new])) + 1
+        ids = numbers[tokens]
+        strange = tokens == len(self.plain)
+        if strange.any():  # each becomes the bytes of its character
+            chars = "".join([text[e - 1] for e in ends[strange].tolist()])
+            points = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), "<u4")
+            sizes = np.ones(len(tokens), np.int64)
+            sizes[strange] = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+            ids = np.repeat(ids, sizes)
+            raw = np.frombuffer(chars.encode("utf-8", "surrogatepass"), np.uint8)
+            ids[np.repeat(strange, sizes)] = self._bytes[raw]
+            stops = sizes.cumsum()[stops - 1]
+        raw, stops = ids.tobytes(), (4 * stops).tolist()
+        self.found.add_all(new, [raw[a:b] for a, b in zip([0, *stops], stops)])
+
+    def row(self, words: list[str]) -> bytes:
+        """Ids of words (without their first mark) in turn."""
+        return b"".join(map(self.found.__getitem__, words))
+
+    @cached_property
+    def _bytes(self) -> np.ndarray:
+        return np.array([self.byte[x] for x in range(256)], "<u4")
+
+    @cached_property
+    def _values(self) -> np.ndarray:
+        values = np.zeros(len(self.pieces), np.int64)
+        for p, i in self.plain.items():
+            values[i] = self.score[p]
+        for x, i in self.byte.items():  # a character without a piece counts by its first byte
+            values[i] = 0 if 0x80 <= x < 0xC0 else self.unknown
+        return values
+
+    def value(self, ids: bytes) -> int:
+        """Score of these ids."""
+        return int(self._values[np.frombuffer(ids, "<u4")].sum())
+
     def decode(self, ids: bytes) -> str:
         """Marked text of the ids."""
         raw = b"".join(map(self.raw.__getitem__, array("I", ids)))
@@ -143,6 +236,13 @@ def marked(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, each without its first mark."""
+    if "  " in text or MARK in text or text[:1] == " " or text[-1:] == " ":
+        return [w[1:] for w in _WORD.findall(marked(text))]
+    return text.split(" ") if text else []
+
+
 def unmarked(text: str) -> str:
     return text[1:].replace(MARK, " ")
 
@@ -156,6 +256,12 @@ class Chunk:
         breaks = [x for x in breaks if x >= self.a]
         self.first, self.last = (breaks[0], breaks[-1]) if breaks else (None, None)
 
+    def _words(self) -> bytes:
+        """Ids of the words between the first and the last break."""
+        words = [w[1:] for w in _WORD.findall(self.s[self.first:self.last])]
+        self.voc.learn(set(words))
+        return self.voc.row(words)
+
     def matrix(self) -> np.ndarray:
         n = self.voc.longest
         out = np.full((n, n), NEVER, np.int64)
@@ -174,7 +280,7 @@ class Chunk:
             back[i] = max((score + back[j - self.a] for j, score in
                            self.voc.edges(self.s, self.a + i, self.first)), default=NEVER)
         heads[:min(n, size + 1)] = back[:n]
-        body = sum(self.voc.words[w][1] for w in _WORD.findall(self.s[self.first:self.last]))
+        body = self.voc.value(self._words())
         best, _ = self.voc.forward(self.s, self.last, self.b, stop)
         for e, h in enumerate(heads):
             for x in range(stop - self.b + 1):
@@ -188,9 +294,7 @@ class Chunk:
         start, stop = self.a + e, self.b + x
         if self.first is None:
             return self.voc.path(self.s, start, self.b, stop)[0]
-        words = _WORD.findall(self.s[self.first:self.last])
-        return (self.voc.path(self.s, start, self.first, self.first)[0]
-                + b"".join([self.voc.words[w][0] for w in words])
+        return (self.voc.path(self.s, start, self.first, self.first)[0] + self._words()
                 + self.voc.path(self.s, self.last, self.b, stop)[0])
 
 
@@ -235,7 +339,12 @@ def _split(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int) -
         for batch in batches:
             id_type = batch.schema.field("_id").type
             types = [pa.int64(), id_type, pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()]
-            out, held = [], 0
+            out, held, waiting, fresh = [], 0, [], 0
+
+            def settle():
+                voc.learn(set().union(*(words for _, _, words in waiting)))
+                out.extend((row, key, 0, 1, None, None, voc.row(words)) for row, key, words in waiting)
+                waiting.clear()
 
             def table():
                 return pa.RecordBatch.from_arrays(
@@ -243,15 +352,20 @@ def _split(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int) -
 
             for row, key, text in zip(batch.column("_row").to_pylist(),
                                       batch.column("_id").to_pylist(), batch.column("_text")):
-                s = marked(text.as_py())
-                count = max(1, -(-len(s) // chunk))
-                if count > 1 and len(s) - (count - 1) * chunk < voc.longest:
+                text = text.as_py()
+                size = len(text) + 1 if text else 0  # with the first mark
+                count = max(1, -(-size // chunk))
+                if count > 1 and size - (count - 1) * chunk < voc.longest:
                     count -= 1  # a chunk is never shorter than a piece
                 if count == 1:
-                    words = [voc.words[w][0] for w in _WORD.findall(s)]
-                    out.append((row, key, 0, 1, None, None, b"".join(words)))
-                    held += len(s)
+                    waiting.append((row, key, words_of(text)))
+                    fresh += size
+                    held += size
+                    if fresh > TOGETHER:
+                        settle()
+                        fresh = 0
                 else:
+                    s = marked(text)
                     for k in range(count):
                         a, b = k * chunk, (k + 1) * chunk if k < count - 1 else len(s)
                         # before the text stands a mark, so no break is seen at its start
@@ -263,6 +377,7 @@ def _split(docs: DataFrame, path: str, id_col: str, text_col: str, chunk: int) -
                     yield table()
                     out.clear()
                     held = 0
+            settle()
             if out:
                 yield table()
 
@@ -315,7 +430,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """One row per chunk of each text: _row, ``id_col``, k, chunks and ids
     (binary, unsigned 32-bit); a text's ids are those of its chunks in order."""
     size = vocabulary(path).longest
-    table, _ = written(_split(docs, path, id_col, text_col, chunk))
+    table, _ = written(_split(docs, path, id_col, text_col, chunk), **LARGE_ROWS)
     giant = table.where("chunks > 1")
     levels = [giant.select("_row", "k", "chunks", "matrix")]
     most = giant.agg(F.max("chunks")).first()[0] or 1
@@ -343,24 +458,46 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     traced = (giant.join(states, ["_row", "k"])
               .select("_row", "_id", "k", "chunks", "context", own.alias("size"), "e", "x")
               .mapInArrow(trace, f"_row long, _id {kind}, k int, chunks int, ids binary"))
+    traced, _ = written(traced, **LARGE_ROWS)  # else a reader's task holds a second Python worker, for these
     return (table.where("chunks = 1").select("_row", "_id", "k", "chunks", "ids")
             .unionByName(traced).withColumnRenamed("_id", id_col))
 
 
-def decode_chunks(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with text: the marked text of each chunk's ids."""
-    names = encoded.columns
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema.fields)
+def decode_chunks(encoded: DataFrame, path: str, sums: bool = False) -> DataFrame:
+    """``encoded`` with text: the marked text of each chunk's ids.
+
+    With ``sums`` ids and text do not leave the task; in their place come the bytes and the checksum of
+    each (ids_bytes, ids_crc, text_bytes, text_crc) and chars, the text being without its marks.
+    """
+    kept = encoded.drop("ids") if sums else encoded
+    names = kept.columns
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
+    added = ["ids_bytes", "ids_crc", "text_bytes", "text_crc", "chars"]
+
+    def summed(ids: bytes, text: str, k: int):
+        text = unmarked(text) if k == 0 else text.replace(MARK, " ")
+        plain = text.encode("utf-8", "surrogatepass")
+        return len(ids), zlib.crc32(ids), len(plain), zlib.crc32(plain), len(text)
 
     def decode(batches):
         voc = vocabulary(path)
+        voc.forget()  # a worker that has encoded holds the words of an earlier stage
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                texts = [voc.decode(i.as_py()) for i in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
-                                                 names=[*names, "text"])
+                columns = [part.column(c) for c in names]
+                if sums:
+                    numbers = zip(*[summed(raw, voc.decode(raw), k) for raw, k in zip(
+                        (i.as_py() for i in part.column("ids")), part.column("k").to_pylist())])
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, *(pa.array(n, pa.int64()) for n in numbers)], names=[*names, *added])
+                else:
+                    texts = [voc.decode(i.as_py()) for i in part.column("ids")]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())],
+                                                     names=[*names, "text"])
 
+    if sums:
+        return encoded.mapInArrow(decode, ", ".join([kinds, *(f"{c} long" for c in added)]))
     return encoded.mapInArrow(decode, f"{kinds}, text string")
 
 
@@ -368,22 +505,16 @@ def digest_documents(encoded: DataFrame, path: str, id_col: str = "doc_id") -> D
     """One row per text: ``id_col``, n_chunks, n_tokens, ids_crc32 (of all ids,
     little-endian unsigned 32-bit), n_chars and text_crc32 (UTF-8) of the decoded text.
 
-    Checksums of chunks are combined in order, so no text is put together.
+    Checksums of chunks are combined in order, so no text is put together, and ids and
+    texts stay in the task that decodes them.
     """
     kind = encoded.schema[id_col].dataType.simpleString()
-    parts = decode_chunks(encoded, path).withColumns({
-        "first": (F.col("k") == 0).cast("int"),
-        "plain": F.translate(F.when(F.col("k") == 0, F.expr("substring(text, 2)"))
-                             .otherwise(F.col("text")), MARK, " ").cast("binary")})
-    sums = parts.select(
-        F.col("_row").alias("part"), F.col(id_col).alias("_id"), "k",
-        F.octet_length("ids").alias("ids_bytes"), F.crc32("ids").alias("ids_crc"),
-        F.octet_length("plain").alias("text_bytes"), F.crc32("plain").alias("text_crc"),
-        (F.length("text") - F.least("first", F.length("text"))).alias("chars"))
+    sums = decode_chunks(encoded.select(F.col("_row").alias("part"), F.col(id_col).alias("_id"), "k", "ids"),
+                         path, sums=True)
 
     def joined(crcs, sizes):
-        total = 0
-        for crc, size in zip(crcs, sizes):
+        total = crcs[0]
+        for crc, size in zip(crcs[1:], sizes[1:]):
             zeros = bytes(size)
             total = crc ^ zlib.crc32(zeros, total) ^ zlib.crc32(zeros)
         return total

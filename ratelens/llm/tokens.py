@@ -55,6 +55,7 @@ class Generations(dict):
     def __init__(self, compute, size: int = MAX_WORDS // 2):
         super().__init__()
         self._compute, self._size, self._old = compute, size, {}
+        self.turns = 0  # how often the young one became the old one
 
     def __missing__(self, word):
         if len(word) > KEPT_LENGTH:
@@ -71,9 +72,17 @@ class Generations(dict):
         if len(self) >= self._size:
             self._old = dict(self)
             self.clear()
+            self.turns += 1
         self[word] = value
         return value
 
+    def add_all(self, words: list, values: list) -> None:
+        if len(self) + len(words) <= self._size:
+            self.update(zip(words, values))
+        else:
+            for word, value in zip(words, values):
+                self.add(word, value)
+
     def unknown(self, words) -> list:
         """Of these words those in neither generation."""
         return [w for w in words if w not in self and w not in self._old]

@@ -340,6 +340,46 @@ def test_words_equal_the_library(library, docs):
         assert sorted(ids) == sorted(library.encode(w)), w
 
 
+def test_unseen_words_are_segmented_together(docs, monkeypatch):
+    """In one call for all, not by the recursion word by word, and as the recursion does."""
+    plain, voc, rnd = P.Vocabulary(PATH), P.Vocabulary(PATH), random.Random(5)
+    odd = ["the", " ", "  ", P.MARK, "漢", "🙂", "\n", "é", "%%", "<0x0A>", "<unk>", "<s>", "\ue000", "\ue001",
+           "x" * 300, "ﬁ", "abc"]
+    texts = [r.text or "" for r in docs.limit(200).collect()]
+    texts += ["".join(rnd.choice(odd) for _ in range(rnd.randint(0, 30))) for _ in range(1000)]
+    walked = []
+    walk = voc.path
+    monkeypatch.setattr(voc, "path", lambda s, *rest: walked.append(s) or walk(s, *rest))
+    words = [P.words_of(t) for t in texts]
+    voc.learn(set().union(*words))
+    assert not walked
+    for t, w in zip(texts, words):
+        found = [plain.words[x] for x in re.findall(f"{P.MARK}+[^{P.MARK}]*", P.marked(t))]
+        assert voc.row(w) == b"".join(ids for ids, _ in found), t
+        assert voc.value(voc.row(w)) == sum(score for _, score in found), t
+    assert all(len(s) > 256 or not s.strip(P.MARK) for s in walked)  # long words, and marks alone
+
+
+def test_a_worker_that_decodes_keeps_no_words():
+    voc = P.Vocabulary(PATH)
+    voc.learn({"the", "unseen\n"})
+    ids = voc.row(["the", "unseen\n"])
+    voc.words[P.MARK + "other"]
+    voc.forget()
+    assert not voc.found and not voc.words and not {"steps", "_row"} & set(vars(voc))
+    assert voc.decode(ids) == "▁the▁unseen\n" and voc.row(["the", "unseen\n"]) == ids
+
+
+def test_words_that_leave_a_full_table(monkeypatch):
+    monkeypatch.setattr(P, "WORDS", 20)
+    voc, plain = P.Vocabulary(PATH), P.Vocabulary(PATH)
+    for k in range(30):
+        words = [f"w{(k * 7 + i) % 40}\n" for i in range(25)]
+        voc.learn(set(words))
+        assert voc.row(words) == b"".join(plain.words[P.MARK + w][0] for w in words)
+        assert len(voc.found) <= 10
+
+
 TEXTS = ["the", "re", " ", "  ", "tion", "x", "漢", "🙂", "abcab", "internationalization", "é", "\n"]
 
 
@@ -392,6 +432,25 @@ def test_documents_round_trip(spark, docs, odd, empty, monkeypatch):
     assert P.digest_documents(P.encode_documents(empty, PATH), PATH).collect() == []
 
 
+def test_digests_move_no_ids_and_texts(docs, odd):
+    """Between the tasks' Python and the shuffle there are numbers only."""
+    for df in (docs, odd):
+        encoded = P.encode_documents(df, PATH, chunk=64)
+        plan = P.digest_documents(encoded, PATH)._jdf.queryExecution().analyzed().toString()
+        assert not re.search(r"\b(text|plain)#", plan) and "translate" not in plan
+        texts = P.decode_chunks(encoded, PATH).collect()
+        sums = P.decode_chunks(encoded, PATH, sums=True)
+        assert sums.columns == ["_row", "doc_id", "k", "chunks", "ids_bytes", "ids_crc", "text_bytes",
+                                "text_crc", "chars"]
+        expected = Counter()
+        for r in texts:
+            text = (r.text[1:] if r.k == 0 else r.text).replace(P.MARK, " ")
+            expected[r._row, r.k, len(r.ids), zlib.crc32(r.ids), len(text.encode()),
+                     zlib.crc32(text.encode()), len(text)] += 1
+        assert Counter((r._row, r.k, r.ids_bytes, r.ids_crc, r.text_bytes, r.text_crc, r.chars)
+                       for r in sums.collect()) == expected
+
+
 def test_lengths_around_chunk_borders(spark, library):
     """Every length from two below one and two chunks to twice the longest piece beyond."""
     voc, chunk = P.vocabulary(PATH), 64
