@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .tokens import encoder
+from .tokens import TOGETHER, encoder
 
 MAGIC = 0x31304B4C42524650
 BLOCK = 1024
@@ -231,11 +231,25 @@ def write_documents(docs: DataFrame, path: str, tokenizer_path: str, id_col: str
         writer = None
         schema = pa.schema([("value", pa.binary())])
         table = encoder(tokenizer_path)
+
+        def blocks(batch):
+            """Lists of documents of about ``TOGETHER`` characters, in order."""
+            ids, texts, held = [], [], 0
+            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+                ids.append(doc)
+                texts.append(text.as_py())
+                held += len(texts[-1])
+                if held > TOGETHER:
+                    yield ids, texts
+                    ids, texts, held = [], [], 0
+            yield ids, texts
+
         for batch in batches:
             writer = writer or FileWriter(TaskContext.get().partitionId())
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                for data in writer.add(doc, table.encode(text.as_py()) + end):
-                    yield pa.RecordBatch.from_arrays([pa.array([data])], schema=schema)
+            for ids, texts in blocks(batch):
+                for doc, raw in zip(ids, table.encode_many(texts)):
+                    for data in writer.add(doc, raw + end):
+                        yield pa.RecordBatch.from_arrays([pa.array([data])], schema=schema)
         if writer:
             for data in writer.finish():
                 yield pa.RecordBatch.from_arrays([pa.array([data])], schema=schema)

@@ -25,6 +25,8 @@ from .common import resident
 
 MAX_WORDS = 600_000  # entries of a worker's word table (memory bound, not a limit on words)
 KEPT_LENGTH = 256  # longer words are not kept
+TOGETHER = 1 << 18  # characters of texts whose words are learned in one call
+END = b"\0"  # behind the bytes that end a word
 LONG_PIECE = 2000  # from here on the library merges, whose time does not grow with the square
 #: Letters, marks and white space that every Unicode version puts into the same classes.
 _AGREED = re.compile(r"[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u017f]*")
@@ -76,13 +78,31 @@ class Generations(dict):
         self[word] = value
         return value
 
-    def add_all(self, words: list, values: list) -> None:
+    def add_all(self, words, values) -> None:
         if len(self) + len(words) <= self._size:
             self.update(zip(words, values))
         else:
             for word, value in zip(words, values):
                 self.add(word, value)
 
+    def values_of(self, words: set, compute) -> dict:
+        """The words' values; ``compute`` gives those of many new words at once, and may leave some out."""
+        found = dict(zip(words, map(self.get, words)))
+        new = []
+        for word in [w for w, v in found.items() if v is None]:
+            value = self._old.get(word)
+            if value is None:
+                new.append(word)
+            else:
+                found[word] = self.add(word, value)
+        known = compute([w for w in new if len(w) <= KEPT_LENGTH])
+        self.add_all(known.keys(), known.values())
+        found.update(known)
+        for word in new:
+            if found[word] is None:
+                found[word] = self[word]
+        return found
+
     def unknown(self, words) -> list:
         """Of these words those in neither generation."""
         return [w for w in words if w not in self and w not in self._old]
@@ -98,8 +118,9 @@ def ranked(tokenizer: str):
     of each rank; None where the merges cannot be told as ranks.
 
     A rank belongs to the bytes a merge makes. Files with a mark for word ends have
-    a second alphabet, bytes that end a word; they are written with the byte 0xFF
-    behind, which UTF-8 never holds, and these joins come before all merges.
+    a second alphabet, bytes that end a word; they are written with the byte ``END``
+    behind, and these joins come before all merges. Their encoding splits a text behind
+    each ``END``, so a row of words without that character is encoded in one call.
     """
     import tiktoken
     model = json.loads(tokenizer)["model"]
@@ -111,15 +132,15 @@ def ranked(tokenizer: str):
 
     def raw(token: str) -> bytes:
         end = bool(mark) and token.endswith(mark)
-        return b"".join(byte[c] for c in (token[:-len(mark)] if end else token)) + b"\xff" * end
+        return b"".join(byte[c] for c in (token[:-len(mark)] if end else token)) + END * end
 
     vocabulary = model["vocab"]
     ranks = {bytes([b]): b for b in range(256)}
     names = {bytes([b]): c for b, c in _byte_letters().items()}
     if mark:
         for b, c in _byte_letters().items():
-            ranks[bytes([b]) + b"\xff"] = 256 + b
-            names[bytes([b]) + b"\xff"] = c + mark
+            ranks[bytes([b]) + END] = 256 + b
+            names[bytes([b]) + END] = c + mark
     first = len(ranks)
     for k, merge in enumerate(model["merges"]):
         left, right = merge.split(" ") if isinstance(merge, str) else merge
@@ -132,7 +153,8 @@ def ranked(tokenizer: str):
     ids = np.zeros(len(ranks), "<u4")
     for key, rank in ranks.items():
         ids[rank] = vocabulary[names[key]]
-    return tiktoken.Encoding("pieces", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks,
+    pattern = r"[^\x00]+\x00" if mark else BYTE_LEVEL_PATTERN
+    return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks,
                              special_tokens={}), ids
 
 
@@ -149,7 +171,10 @@ class Encoder:
         self.ranks = ranked(self.tok.to_str())
         # the packed id of each rank: a word has a few, for which an array costs more than it saves
         self.packed = self.ranks and [x.tobytes() for x in self.ranks[1]].__getitem__
-        self.end = b"\xff" if self.folds else b""
+        self.end = END if self.folds else b""
+        if self.folds and self.ranks:  # of each rank whether it ends a word
+            self.ends = np.zeros(len(self.ranks[1]), bool)
+            self.ends[[r for raw, r in self.ranks[0]._mergeable_ranks.items() if raw[-1:] == END and r]] = True
         # a space whose predecessor is white space too, or white space at the end
         self.unsafe = re.compile(r"\s |\s\Z")
         self.pieces = Generations(self._piece)
@@ -206,11 +231,46 @@ class Encoder:
             return self._library(word)
         return self.pieces[body] + self.pieces[mark] if mark else self.pieces[body]
 
+    def _merged(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of those of the words that are letters followed by marks, in one call."""
+        new, pieces, counts = [], [], []
+        all_lower = self.lowers("".join(words))
+        for word in words:
+            body = word.rstrip(_MARKS)
+            if not body.isalpha() or not (all_lower or self.lowers(body)):
+                continue
+            low, mark = body.lower(), word[len(body):]
+            if "<|" in mark or not low.isalpha():
+                continue
+            new.append(word)
+            pieces.append(low)
+            if mark:
+                pieces.append(mark)
+            counts.append(2 if mark else 1)
+        if not new:
+            return {}
+        end = END.decode()
+        ranks = np.array(self.ranks[0]._core_bpe.encode_ordinary(end.join(pieces) + end))
+        stops = (np.flatnonzero(self.ends[ranks]) + 1)[np.cumsum(counts) - 1]
+        raw, stops = self.ranks[1][ranks].tobytes(), (4 * stops).tolist()
+        return dict(zip(new, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+
+    def _folded_words(self, text: str) -> list[str]:
+        if self.lowers(text):  # one entry for a word, however it is written
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of each text; the words that no table holds are merged together."""
+        if not self.folds or self.ranks is None:
+            return [*map(self.encode, texts)]
+        rows = [*map(self._folded_words, texts)]
+        found = self.words.values_of(set().union(*rows), self._merged)
+        return [b"".join(map(found.__getitem__, row)) for row in rows]
+
     def encode(self, text: str) -> bytes:
         if self.folds:
-            if self.lowers(text):  # one entry for a word, however it is written
-                text = text.lower()
-            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+            return b"".join(map(self.words.__getitem__, self._folded_words(text)))
         if not text:
             return b""
         if self._agreed(text):

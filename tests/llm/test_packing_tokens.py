@@ -173,3 +173,25 @@ def test_words_are_kept_once_however_they_are_written():
     for _ in range(2000):
         text = "".join(rnd.choice(letters) for _ in range(rnd.randrange(30)))
         assert enc.encode(text) == enc._library(text), repr(text)
+
+
+def test_new_words_of_many_texts_are_merged_together(monkeypatch):
+    """Letters followed by marks go to no call of their own, and all ids are the library's."""
+    import random
+    from ratelens.llm.tokens import Encoder
+    enc, rnd = Encoder(public_tokenizer("word_bpe_49k.json")), random.Random(3)
+    called = []
+    piece = enc._piece
+    enc.pieces._compute = lambda p: called.append(p) or piece(p)
+    plain = [" ".join(f"{rnd.choice('abcé')}x{rnd.choice(['the', 'ought', 'İ'])}{rnd.choice(['', ',', '!?'])}".replace("x", w)
+                      for w in ("st", "rr", "Nd", "oo")) for _ in range(300)]
+    odd = ["the", "Foo", "É", "İ", "ß", "\0", "a\0b", " ", "  ", "\n", "漢", "🙂", "'s", "don't", "<|endoftext|>",
+           "x<|", "!!", ",", "1", "2a", "é", "ﬁ", "x" * 300, "y" * 3000, "Å", "\xff", "ſ"]
+    mixed = ["".join(rnd.choice(odd) for _ in range(rnd.randint(0, 14))) for _ in range(300)]
+    assert enc.encode_many(["Foo, bar! été", ""]) and not called
+    for texts in (plain, mixed, plain + mixed):
+        assert enc.encode_many(texts) == [enc._library(t) for t in texts]
+    enc = Encoder(public_tokenizer("word_bpe_49k.json"))
+    enc.words._size = 5  # a table that cannot hold the words of one call
+    assert enc.encode_many(plain) == [enc._library(t) for t in plain]
+    assert len(enc.words) <= 5
