@@ -52,6 +52,11 @@ def free_name(taken, base: str) -> str:
 _RESIDENT: dict = {}
 
 
+def release() -> None:
+    """Drop what the worker keeps of an earlier stage: for tasks that need the memory and keep nothing."""
+    _RESIDENT.clear()
+
+
 def resident(key, make):
     """What a Python worker keeps between tasks: the value of ``key``, made on
     first use. Only the last key's value is kept, so the tables of an earlier

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import skew_join
-from .common import drop, resident, text_or_empty, written
+from .common import drop, release, resident, text_or_empty, written
 
 BINS = 64
 EMPTY = 65535
@@ -613,6 +613,7 @@ def exact_links(members: DataFrame, set_: Settings) -> DataFrame:
                       (F.col("block") != F.col("other")).alias("cross")))
 
     def verify(batches):
+        release()  # the word hashes, which no task needs any more
         out: list = []
         for reps, copies, blocks, raw, cross in runs_of(
                 batches, "tile", ["rep", "copies", "block", "tokens", "cross"]):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import free_name, text_or_empty
+from .common import free_name, release, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -148,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             .join(F.broadcast(sample), "_id"))  # at most max_rows rows
 
     def count(batches):
+        release()
         features = Features(settings.bits)
         for batch in batches:
             out = []
@@ -183,6 +184,7 @@ def _scored(rows: DataFrame, weights: np.ndarray, settings: Settings, text_at: i
     schema = StructType([*rows.schema.fields, StructField(score_col, DoubleType())])
 
     def score(batches):
+        release()
         w = shared.value
         features = Features(settings.bits)
         for batch in batches:

@@ -195,3 +195,10 @@ def test_new_words_of_many_texts_are_merged_together(monkeypatch):
     enc.words._size = 5  # a table that cannot hold the words of one call
     assert enc.encode_many(plain) == [enc._library(t) for t in plain]
     assert len(enc.words) <= 5
+
+
+def test_a_worker_drops_what_an_earlier_stage_kept():
+    from ratelens.llm import common
+    common.resident("some table", lambda: {"a": 1})
+    common.release()
+    assert not common._RESIDENT and common.resident("some table", dict) == {}
