@@ -15,7 +15,8 @@ never collected.
 * Word counts: per-task counts, then one shuffle. The ``Settings.lookup``
   most frequent words (a fixed number) go to every task; only the rarer ones
   are joined, as (row, word, times).
-* Baum-Welch: tasks run the scaled forward and backward recursions over all
+* Baum-Welch: tasks run the scaled forward and backward recursions (scaled every
+  few steps, as far apart as the tables keep them from underflow) over all
   training sequences and add up expected counts per (symbol, state); Spark
   sums them, the driver normalises ``states x symbols`` numbers. Every pass
   (``start_passes + passes``, 10) reads all training rows whole.
@@ -31,18 +32,25 @@ gives no rows; without training rows the counts are 0; extra columns are ignored
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from copy import copy
 from dataclasses import dataclass
+from itertools import repeat
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
 
 END = b""  # the end token; words are never empty
+TOGETHER = 2_000_000  # tokens whose recursions run together
+WINDOW = 8_000_000  # tokens of the sequences that are put in order of length
+COUNTED = 4_000_000  # words counted in one table
+ROW = 64  # what a sequence takes beside its tokens
+CHARS = 4 << 20  # bytes of texts whose words are looked up together
 
 
 @dataclass(frozen=True)
@@ -63,9 +71,27 @@ class Settings:
         return 1 + self.frequent + self.buckets
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words and the end token; bytes split on the six ASCII white spaces."""
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z lower-cased and split on the six ASCII white spaces, and where each
+    text's words start, with the last one's stop; an end token follows those of each text."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = found.flatten()
+    at = found.offsets.to_numpy().astype(np.int64)
+    at -= at[0]
+    full = pc.binary_length(words).to_numpy() > 0  # not what lies beside white space at an end
+    if not full.all():
+        words, at = words.filter(pa.array(full)), np.concatenate([[0], full.cumsum()])[at]
+    return words, at
+
+
+def slices(column: pa.Array, chars: int):
+    """(first row, rows) of about ``chars`` bytes of texts."""
+    ends = (pc.binary_length(column).to_numpy().astype(np.int64) + ROW).cumsum()
+    first = 0
+    while first < len(column):
+        last = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + chars)) + 1
+        yield first, column.slice(first, last - first)
+        first = last
 
 
 # --- scaled recursions over many sequences at once ------------------------------
@@ -103,48 +129,68 @@ class Model:
         np.fill_diagonal(move, 0.95 if k > 1 else 1.0)
         return cls(np.full(k, 1.0 / k), move, emit / emit.sum(axis=0))
 
+    def stride(self) -> int:
+        """After how many steps the rows are scaled: the sum of a row falls by no more than ``least``
+        a step, so it stays above 1e-200 until then and what gets lost below is no part of it."""
+        least = min((self.emit @ self.move.T).min(), (self.emit @ self.start).min())
+        return int(np.clip(200 / max(-log10(least), 1.0), 1, 16)) if least > 0 else 1
+
     def forward(self, batch: Batch, keep: bool = False):
-        """Natural-log likelihood per sequence (in batch order); with ``keep``
-        also the scaled forward rows and their scales."""
-        n = int(batch.running[0]) if len(batch.running) else 0
-        loglik = np.zeros(n)
-        rows = np.empty((len(batch.syms), len(self.start))) if keep else None
-        scales = np.empty(len(batch.syms)) if keep else None
-        a = None
-        for t, live in enumerate(batch.running):
-            lo, hi = batch.at[t], batch.at[t + 1]
-            a = (np.broadcast_to(self.start, (live, len(self.start))) if a is None
-                 else a[:live] @ self.move) * self.emit[batch.syms[lo:hi]]
-            c = a.sum(axis=1)
-            a /= c[:, None]
-            loglik[:live] += np.log(c)
-            if keep:
-                rows[lo:hi], scales[lo:hi] = a, c
-        return (loglik, rows, scales) if keep else loglik
+        """Natural-log likelihood per sequence (in batch order); with ``keep`` also
+        the forward rows, their scales by step, and the sum of each sequence's last row."""
+        k, every = len(self.start), self.stride()
+        running, at = batch.running.tolist(), batch.at.tolist()
+        n = running[0] if running else 0
+        # without ``keep`` two steps are held, by turns
+        rows = np.empty((len(batch.syms), k)) if keep else np.empty((2, n, k))
+        loglik, ends, ones, into = np.zeros(n), np.ones(n), np.ones(k), np.empty((n, k))
+        scales, a = {}, None
+        for t, live in enumerate(running):
+            before, a = a, rows[at[t]:at[t + 1]] if keep else rows[t % 2, :live]
+            self.emit.take(batch.syms[at[t]:at[t + 1]], axis=0, out=a, mode="clip")
+            a *= self.start if before is None else np.matmul(before[:live], self.move,
+                                                             out=into[:live])
+            if t % every == every - 1:
+                c = scales[t] = a @ ones
+                a /= c[:, None]
+                loglik[:live] += np.log(c)
+            stay = running[t + 1] if t + 1 < len(running) else 0
+            if stay < live:  # sequences that end here
+                ends[stay:live] = a[stay:] @ ones
+        loglik += np.log(ends)
+        return (loglik, rows, scales, ends) if keep else loglik
 
     def expected(self, batch: Batch):
         """Expected counts of starts, moves and emissions over the batch."""
-        loglik, rows, scales = self.forward(batch, keep=True)
-        k = len(self.start)
-        moves = np.zeros((k, k))
-        back = np.ones((0, k))
-        for t in range(len(batch.running) - 1, -1, -1):
-            lo, hi, live = batch.at[t], batch.at[t + 1], int(batch.running[t])
-            if len(back) < live:  # sequences that end here
-                back = np.concatenate([back, np.ones((live - len(back), k))])
+        loglik, rows, scales, ends = self.forward(batch, keep=True)
+        k, running, at = len(self.start), batch.running.tolist(), batch.at.tolist()
+        n = running[0] if running else 0
+        moves, turned = np.zeros((k, k)), np.ascontiguousarray(self.move.T)
+        # the last step's backward rows are such that forward and backward row multiply to sum 1
+        last, back, below, have = 1 / ends[:, None], np.empty((n, k)), np.empty((n, k)), 0
+        emits, state, top = np.zeros(self.emit.size), np.arange(k), len(batch.syms)
+        for t in range(len(running) - 1, -1, -1):
+            lo, hi, live = at[t], at[t + 1], running[t]
+            if have < live:  # sequences that end here
+                back[have:live], have = last[have:live], live
+            b = back[:live]
             if t:
-                below = (self.emit[batch.syms[lo:hi]] * back) / scales[lo:hi, None]
-                prev = rows[batch.at[t - 1]:batch.at[t - 1] + live]
-                moves += prev.T @ below
-                rows[lo:hi] *= back
-                back = below @ self.move.T
+                w = self.emit.take(batch.syms[lo:hi], axis=0, out=below[:live], mode="clip")
+                w *= b
+                if t in scales:
+                    w /= scales[t][:, None]
+                moves += rows[at[t - 1]:at[t - 1] + live].T @ w
+                rows[lo:hi] *= b
+                np.matmul(w, turned, out=b)
             else:
-                rows[lo:hi] *= back
+                rows[lo:hi] *= b
+            if top - lo >= 1 << 15 or not t:  # rows that are done, a bounded number at once
+                emits += np.bincount((batch.syms[lo:top, None] * k + state).ravel(),
+                                     rows[lo:top].ravel(), len(emits))
+                top = lo
         moves *= self.move
-        start = rows[:int(batch.running[0])].sum(axis=0) if len(batch.running) else np.zeros(k)
-        seen, where = np.unique(batch.syms, return_inverse=True)
-        emits = np.stack([np.bincount(where, rows[:, j], len(seen)) for j in range(k)], axis=1)
-        return loglik.sum(), start, moves, seen, emits
+        seen = np.flatnonzero(np.bincount(batch.syms, minlength=len(self.emit)))
+        return loglik.sum(), rows[:n].sum(axis=0), moves, seen, emits.reshape(-1, k)[seen]
 
     @classmethod
     def fitted(cls, start, moves, emits, counts, smooth: float) -> "Model":
@@ -156,17 +202,29 @@ class Model:
                    (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def grouped(seqs, most_tokens: int):
-    """Lists of sequences of about ``most_tokens`` in all."""
-    part, size = [], 0
+def grouped(seqs):
+    """(places, sequences) of about ``TOGETHER`` tokens in all: of a window of sequences
+    those alike in length go together, so that most of a batch runs at each of its steps."""
+    window, size, first = [], 0, 0
+
+    def parts():
+        order = sorted(range(len(window)), key=lambda i: len(window[i]))
+        places, held = [], 0
+        for i in order:
+            places.append(i)
+            held += len(window[i]) + ROW
+            if held >= TOGETHER or i == order[-1]:
+                yield [first + j for j in places], [window[j] for j in places]
+                places, held = [], 0
+
     for s in seqs:
-        part.append(s)
-        size += len(s)
-        if size >= most_tokens:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+        window.append(s)
+        size += len(s) + ROW
+        if size >= WINDOW:
+            yield from parts()
+            first += len(window)
+            window, size = [], 0
+    yield from parts()
 
 
 # --- distributed steps ----------------------------------------------------------
@@ -174,21 +232,31 @@ def grouped(seqs, most_tokens: int):
 def count_words(rows: DataFrame) -> DataFrame:
     """(word, c) over all rows of ``rows`` (column _text)."""
     def count(batches):
-        counts: Counter = Counter()
+        held: list = []
 
         def table():
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())],
-                names=["word", "c"])
-            counts.clear()
-            return out
-
+            found = pa.chunked_array(held).value_counts()
+            held.clear()
+            for a in range(0, len(found), 100_000):
+                part = found.slice(a, 100_000).flatten()
+                yield pa.RecordBatch.from_arrays([part[0].cast(pa.binary()), part[1]],
+                                                 names=["word", "c"])
+
+        texts = size = 0
         for batch in batches:
-            for text in batch.column("_text"):
-                counts.update(tokens(text.as_py()))
-                if len(counts) > 400_000:
-                    yield table()
-        yield table()
+            texts += batch.num_rows
+            for _, part in slices(batch.column("_text"), CHARS):
+                words, _ = split_words(part)
+                held.append(words)
+                size += len(words)
+                if size >= COUNTED:
+                    yield from table()
+                    size = 0
+        if held:
+            yield from table()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([texts], pa.int64())],
+                                             names=["word", "c"])
 
     return (rows.select("_text").mapInArrow(count, "word binary, c long")
             .groupBy("word").agg(F.sum("c").alias("c")))
@@ -264,33 +332,78 @@ class _Words(dict):
         return entry
 
 
+class _Numbers:
+    """Numbers of words: the end token and the looked-up words first, whose columns hold what
+    ``_Words`` tells of them, then rare words as they come. Starts anew once it is full."""
+
+    def __init__(self, voc: Vocabulary):
+        self.near = [END, *voc.known]
+        # one more row, all 0, stands for every rare word
+        syms, known, base, inside, _ = zip(*map(_Words(voc).__getitem__, self.near))
+        self.known = np.array([*known, 0], np.int64)
+        self.base, self.inside = np.array([*base, 0.0]), np.array([*inside, 0.0])
+        self.near_syms = np.array(syms, "<u2")
+        self.first, self.buckets = 1 + voc.set.frequent, voc.set.buckets
+
+    def start(self) -> None:
+        self.table = dict(zip(self.near, range(len(self.near))))
+        self.rare, self.syms = [], self.near_syms
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        if len(self.rare) > 400_000:
+            self.start()
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        found = np.fromiter(map(self.table.get, distinct, repeat(-1)), np.int64, len(distinct))
+        at = np.flatnonzero(found < 0)
+        found[at] = np.arange(len(at)) + len(self.table)
+        new = [distinct[i] for i in at.tolist()]
+        self.table.update(zip(new, found[at].tolist()))
+        self.rare += new
+        buckets = np.fromiter(map(zlib.crc32, new), np.int64, len(new)) % self.buckets
+        self.syms = np.concatenate([self.syms, (self.first + buckets).astype("<u2")])
+        return found[coded.indices.to_numpy()]
+
+
 def encode_rows(rows: DataFrame, voc: Vocabulary) -> DataFrame:
     """Symbols of every row, the sums that need no join, and its rare words with their number of times."""
-    shared = rows.sparkSession.sparkContext.broadcast(voc)
+    shared = rows.sparkSession.sparkContext.broadcast(_Numbers(voc))
+    words_times = pa.struct([("word", pa.binary()), ("times", pa.int64())])
 
     def encode(batches):
-        table = _Words(shared.value)
+        table = copy(shared.value)  # what a task adds goes with it
+        table.start()
+        limit = len(table.near)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                syms, known, base, inside, rare, sizes = [], [], [], [], [], []
-                for text in part.column("_text"):
-                    words = tokens(text.as_py())
-                    s, k, b, i, r = zip(*map(table.__getitem__, words))
-                    syms.append(np.array(s, "<u2").tobytes())
-                    known.append(sum(k))
-                    base.append(sum(b))
-                    inside.append(sum(i))
-                    sizes.append(len(words))
-                    rare.append([{"word": w, "times": n} for w, n in
-                                 Counter(w for w, x in zip(words, r) if x).items()])
+            for first, texts in slices(batch.column("_text"), CHARS):
+                part = batch.slice(first, len(texts))
+                words, at = split_words(texts)
+                stops = at[1:] + np.arange(1, len(at))  # with the end tokens
+                starts = at[:-1] + np.arange(len(texts))
+                numbers = np.zeros(stops[-1], np.int64)  # an end token is number 0
+                inner = np.ones(len(numbers), bool)
+                inner[stops - 1] = False
+                numbers[inner] = table.of(words)
+                near = np.minimum(numbers, limit)
+                raw = table.syms[numbers].tobytes()
+                far = np.flatnonzero(near == limit)
+                text = np.searchsorted(stops, far, "right")
+                span = len(table.rare) + 1
+                pairs, times = np.unique(text * span + (numbers[far] - limit), return_counts=True)
+                text, word = np.divmod(pairs, span)
+                rare = pa.StructArray.from_arrays(
+                    [pa.array([*map(table.rare.__getitem__, word.tolist())], pa.binary()),
+                     pa.array(times, pa.int64())], fields=[*words_times])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_row"), part.column("_id"), part.column("held_out"),
-                     pa.array(sizes, pa.int64()), pa.array(syms, pa.binary()),
-                     pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                     pa.array(inside, pa.float64()),
-                     pa.array(rare, pa.list_(pa.struct([("word", pa.binary()),
-                                                        ("times", pa.int64())])))],
+                     pa.array(stops - starts, pa.int64()),
+                     pa.array([raw[2 * a:2 * b] for a, b in zip(starts.tolist(), stops.tolist())],
+                              pa.binary()),
+                     *(pa.array(np.add.reduceat(column[near], starts))
+                       for column in (table.known, table.base, table.inside)),
+                     pa.ListArray.from_arrays(
+                         pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32()),
+                         rare)],
                     names=["_row", "_id", "held_out", "n_tokens", "syms", "known", "base",
                            "inside", "rare"])
 
@@ -318,7 +431,7 @@ def baum_welch_pass(seqs: DataFrame, model: Model, counts: np.ndarray, set_: Set
                     for a in range(0, len(s), set_.block):
                         yield s[a:a + set_.block]
 
-        for part in grouped(cut(), set_.block):
+        for _, part in grouped(cut()):
             _, st, mv, seen, em = m.expected(Batch(part))
             start += st
             moves += mv
@@ -349,7 +462,7 @@ def train(seqs: DataFrame, counts: np.ndarray, set_: Settings) -> Model:
     return model
 
 
-def score_sequences(rows: DataFrame, model: Model, block: int) -> DataFrame:
+def score_sequences(rows: DataFrame, model: Model) -> DataFrame:
     """``rows`` without syms and rare, plus hmm: log10 likelihood of the symbols."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in rows.columns if c not in ("syms", "rare")]
@@ -359,12 +472,10 @@ def score_sequences(rows: DataFrame, model: Model, block: int) -> DataFrame:
         m = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            at = 0
-            for part in grouped((np.frombuffer(s.as_py(), "<u2") for s in batch.column("syms")),
-                                block):
+            for places, part in grouped(np.frombuffer(s.as_py(), "<u2")
+                                        for s in batch.column("syms")):
                 b = Batch(part)
-                out[at + np.array(b.order)] = m.forward(b) / np.log(10.0)
-                at += len(part)
+                out[np.array(places)[b.order]] = m.forward(b) / np.log(10.0)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(out)], names=[*keep, "hmm"])
 
@@ -384,7 +495,7 @@ def score_language(docs: DataFrame, id_col: str, text_col: str, held_out: Column
     voc = Vocabulary(words, settings)
     coded, _ = written(encode_rows(rows, voc))
     model = train(coded.where(~F.col("held_out")).select("_row", "syms"), voc.counts, settings)
-    scored = score_sequences(coded, model, settings.block)
+    scored = score_sequences(coded, model)
 
     whole = voc.n + voc.v + 1
     spark = docs.sparkSession

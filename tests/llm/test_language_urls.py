@@ -106,6 +106,61 @@ def test_every_pass_reads_all_rows_whole(spark):
     assert np.allclose(got.emit, want.emit)
 
 
+def test_rows_scaled_every_few_steps_do_not_underflow():
+    """Long sequences of rare symbols: as a recursion scaled at each step, which takes several times as long."""
+    k, symbols = 3, 6
+    model = random_model(k, symbols)
+    model.emit[:4] *= 1e-9
+    assert 1 < model.stride() <= 16
+    rng = np.random.default_rng(4)
+    seqs = [rng.integers(0, symbols, n) for n in (3000, 1, 17, 400, 400)]
+    lik, start, moves, seen, emits = model.expected(H.Batch(seqs))
+    want_lik, want_moves, want_emits = 0.0, np.zeros((k, k)), np.zeros((symbols, k))
+    for s in seqs:
+        a, b = [], [np.ones(k)]
+        for x in s:
+            v = (model.start if not a else a[-1] @ model.move) * model.emit[x]
+            want_lik += log(v.sum())
+            a.append(v / v.sum())
+        for t in range(len(s) - 1, 0, -1):
+            below = model.emit[s[t]] * b[0]
+            m = np.outer(a[t - 1], below) * model.move
+            want_moves += m / m.sum()
+            b.insert(0, model.move @ below / (model.move @ below).sum())
+        for x, v, w in zip(s, a, b):
+            want_emits[x] += v * w / (v @ w)
+    full = np.zeros((symbols, k))
+    full[seen] = emits
+    assert isclose(lik, want_lik, rel_tol=1e-12) and isclose(start.sum(), len(seqs))
+    assert np.allclose(moves, want_moves) and np.allclose(full, want_emits)
+    model.emit[0] = 0  # cannot be told: scaled at each step
+    assert model.stride() == 1
+
+
+def test_sequences_alike_in_length_run_together(monkeypatch):
+    monkeypatch.setattr(H, "TOGETHER", 3000)
+    sizes = [1000, 3, 4, 5, 1000, 2, 1, 6] * 5
+    parts = [*H.grouped(np.full(n, i) for i, n in enumerate(sizes))]
+    assert sorted(p for places, _ in parts for p in places) == [*range(len(sizes))]
+    assert all(len(s) == sizes[p] and set(s) == {p} for part in parts for p, s in zip(*part))
+    assert sum(max(map(len, seqs)) for _, seqs in parts) <= 5000  # 10,000 in the order they come
+    monkeypatch.setattr(H, "WINDOW", 500)
+    assert [p for places, _ in H.grouped(np.zeros(n) for n in sizes) for p in places] != [*range(len(sizes))]
+    assert [*H.grouped([])] == []
+
+
+def test_words_of_many_texts_are_split_as_one_by_one():
+    texts = ["", " ", "a", " A  b ", "A\x1cb\x85c\xa0d\t\n\x0b\x0c\re É", "\n", "K\u212a İ ﬁ", "x" * 300, "a"]
+    for part in ([texts], [texts[:4], texts[4:]], [["b", *texts]]):
+        for t in part:
+            words, at = H.split_words(H.pa.array(["cut", *t]).slice(1))
+            got = [[*map(str.encode, words.to_pylist()[a:b]), H.END] for a, b in zip(at, at[1:])]
+            assert got == [spec_tokens(x) for x in t]
+    rows = H.pa.array(texts)
+    for size in (1, 70, 200, 10_000):
+        assert [x for _, p in H.slices(rows, size) for x in p.to_pylist()] == texts
+
+
 @pytest.fixture(scope="module")
 def scored(spark, docs):
     got = H.score_language(docs, "doc_id", "text", remainder("doc_id", 7) == 2, SMALL)
