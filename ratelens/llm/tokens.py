@@ -20,12 +20,14 @@ import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import resident
 
 MAX_WORDS = 600_000  # entries of a worker's word table (memory bound, not a limit on words)
 KEPT_LENGTH = 256  # longer words are not kept
-TOGETHER = 1 << 18  # characters of texts whose words are learned in one call
+TOGETHER = 1 << 20  # characters of texts whose words are looked up and learned in one call
 END = b"\0"  # behind the bytes that end a word
 LONG_PIECE = 2000  # from here on the library merges, whose time does not grow with the square
 #: Letters, marks and white space that every Unicode version puts into the same classes.
@@ -85,23 +87,22 @@ class Generations(dict):
             for word, value in zip(words, values):
                 self.add(word, value)
 
-    def values_of(self, words: set, compute) -> dict:
-        """The words' values; ``compute`` gives those of many new words at once, and may leave some out."""
-        found = dict(zip(words, map(self.get, words)))
+    def values_of(self, words: list, compute) -> list:
+        """The values of distinct words; ``compute`` gives those of many new words at once, and may leave some out."""
+        values = [*map(self.get, words)]
         new = []
-        for word in [w for w, v in found.items() if v is None]:
-            value = self._old.get(word)
+        for i in [i for i, v in enumerate(values) if v is None]:
+            value = self._old.get(words[i])
             if value is None:
-                new.append(word)
+                new.append(i)
             else:
-                found[word] = self.add(word, value)
-        known = compute([w for w in new if len(w) <= KEPT_LENGTH])
+                values[i] = self.add(words[i], value)
+        known = compute([words[i] for i in new if len(words[i]) <= KEPT_LENGTH])
         self.add_all(known.keys(), known.values())
-        found.update(known)
-        for word in new:
-            if found[word] is None:
-                found[word] = self[word]
-        return found
+        for i in new:
+            value = known.get(words[i])
+            values[i] = self[words[i]] if value is None else value
+        return values
 
     def unknown(self, words) -> list:
         """Of these words those in neither generation."""
@@ -255,22 +256,33 @@ class Encoder:
         raw, stops = self.ranks[1][ranks].tobytes(), (4 * stops).tolist()
         return dict(zip(new, [raw[a:b] for a, b in zip([0, *stops], stops)]))
 
-    def _folded_words(self, text: str) -> list[str]:
+    def _folded_text(self, text: str) -> str:
         if self.lowers(text):  # one entry for a word, however it is written
             text = text.lower()
-        return text.replace("\n", " ").split(" ")
+        return text.replace("\n", " ")
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """``encode`` of each text; the words that no table holds are merged together."""
+        """``encode`` of each text; words are looked up once for all texts, and those that
+        no table holds are merged together."""
         if not self.folds or self.ranks is None:
             return [*map(self.encode, texts)]
-        rows = [*map(self._folded_words, texts)]
-        found = self.words.values_of(set().union(*rows), self._merged)
-        return [b"".join(map(found.__getitem__, row)) for row in rows]
+        rows = pc.split_pattern(pa.array(map(self._folded_text, texts), pa.string()), " ")
+        coded = rows.flatten().dictionary_encode()
+        values = self.words.values_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist(),
+                                      self._merged)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ids = np.frombuffer(b"".join(values), "<u4")
+        at = coded.indices.to_numpy()
+        counts = sizes[at]  # ids of each word of the texts
+        stops = np.concatenate([[0], counts.cumsum()])
+        places = np.repeat((sizes.cumsum() - sizes)[at] - stops[:-1], counts)
+        places += np.arange(len(places))
+        raw, bounds = ids[places].tobytes(), (4 * stops[rows.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def encode(self, text: str) -> bytes:
         if self.folds:
-            return b"".join(map(self.words.__getitem__, self._folded_words(text)))
+            return b"".join(map(self.words.__getitem__, self._folded_text(text).split(" ")))
         if not text:
             return b""
         if self._agreed(text):
