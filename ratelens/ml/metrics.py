@@ -148,11 +148,14 @@ def _joined(left: DataFrame, right: DataFrame, on: Sequence[str], few: bool) ->
 
 
 def cumulative_by_key(scored: DataFrame, keys: Sequence[str], label: str = "label",
-                      score: str = "score", n_bins: int | None = None) -> DataFrame:
+                      score: str = "score", n_bins: int | None = None,
+                      weight: str | None = None) -> DataFrame:
     """``cumulative_by_score`` of every score list of a frame: a list is the rows of equal
     ``keys`` (e.g. model and fold). One pass over the rows, one written table of
     distinct scores, one running sum, whatever the number of lists.
 
+    ``weight`` names a column of whole numbers: the rows that a row stands for (1 without).
+
     Every list has its own cut points and bin offsets. Windows are over one list's bins
     (at most ``n_bins``) and over one bin of one list, so a list that holds
     most of the rows is spread like a single one.
@@ -160,9 +163,10 @@ def cumulative_by_key(scored: DataFrame, keys: Sequence[str], label: str = "labe
     from ..session import materialize
     keys = list(keys)
     n_bins = n_bins or default_bins(scored.sparkSession)
+    times = F.lit(1) if weight is None else F.col(weight).cast("long")
     groups = materialize(
         _rankable(scored, label, score).groupBy(*keys, F.col(score).alias("score"))
-        .agg(F.sum(F.col(label).cast("long")).alias("tp"), F.count(F.lit(1)).alias("__n"))
+        .agg(F.sum(F.col(label).cast("long") * times).alias("tp"), F.sum(times).alias("__n"))
         .select(*keys, "score", "tp", (F.col("__n") - F.col("tp")).alias("fp")))
     probs = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
     cuts = materialize(groups.groupBy(*keys).agg(
@@ -185,9 +189,11 @@ def cumulative_by_key(scored: DataFrame, keys: Sequence[str], label: str = "labe
 
 
 def ranking_metrics_by_key(scored: DataFrame, keys: Sequence[str], label: str = "label",
-                           score: str = "score", n_bins: int | None = None) -> DataFrame:
-    """J-8 + J-9 of every score list: keys, roc_auc, average_precision, positive_rate."""
-    return cumulative_by_key(scored, keys, label, score, n_bins).groupBy(*keys).agg(
+                           score: str = "score", n_bins: int | None = None,
+                           weight: str | None = None) -> DataFrame:
+    """J-8 + J-9 of every score list: keys, roc_auc, average_precision, positive_rate. With
+    ``weight``, a row stands for so many rows."""
+    return cumulative_by_key(scored, keys, label, score, n_bins, weight).groupBy(*keys).agg(
         _auc().alias("roc_auc"), _ap().alias("average_precision"),
         F.try_divide(F.max("P"), F.max("P") + F.max("N")).alias("positive_rate"))
 

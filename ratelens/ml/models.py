@@ -1,9 +1,9 @@
 """Model frame, class weights, the two classifiers and their reports
 (J-1, J-3 .. J-7, J-12 .. J-15, J-19).
 
-Training runs on Spark ML (L-BFGS for logistic regression, distributed
-tree induction for the forest); only coefficients, importances and metric
-scalars come back to the driver.
+Training runs on Spark ML (L-BFGS for logistic regression) and in tasks (the forest's
+trees, ``forest``; Spark's tree induction for very many distinct rows); coefficients, a
+forest's nodes, importances and metric scalars come back to the driver.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from ..constants import (CV_FOLDS, FEATURE_COLUMNS, LABEL_COLUMN,
 from ..functions.cleaning import check_columns
 from ..functions.flags import engineer_features
 from ..session import materialize
+from . import forest as FO
 from .metrics import (classification_report, confusion, ranking_metrics,
                       ranking_metrics_by_key, threshold_sweep)
 from .split import stratified_folds
@@ -271,26 +272,39 @@ def fit_forest(train: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
 
 def fit_forest_groups(groups: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
                       label: str = LABEL_COLUMN, trees: int = RF_TREES,
-                      max_depth: int = RF_MAX_DEPTH, seed: int = RANDOM_STATE) -> PipelineModel:
+                      max_depth: int = RF_MAX_DEPTH, seed: int = RANDOM_STATE,
+                      in_driver: bool = True) -> PipelineModel | FO.GrownForest:
     """The forest of the rows that (features, label, n) stands for.
 
     Bootstrap draws are made per group (``with_draws``), so every pass is over the distinct
-    rows, whatever their number of copies. The trees are fitted beside each other, ``TREES_AT_ONCE``
-    at a time, and put together into one forest. The layout follows the groups alone, so a
-    fit does not depend on the number of cores."""
+    rows, whatever their number of copies. Up to ``forest.GROUPS_IN_TASK`` groups, tasks grow whole
+    trees (``forest.grown_trees``, one job); beyond, Spark's tree induction fits ``TREES_AT_ONCE`` trees
+    beside each other. Both give the same trees. The layout follows the groups alone, so a
+    fit does not depend on the number of cores.
+
+    With ``in_driver`` false, trees that tasks have grown stay a written table, which
+    ``score`` takes as well."""
     groups = materialize(groups)
-    per_class = groups.groupBy(label).agg(F.sum("n").alias("n")).limit(MAX_CLASSES + 1).collect()
+    per_class = (groups.groupBy(label).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+                 .limit(MAX_CLASSES + 1).collect())
     if len(per_class) > MAX_CLASSES:
         raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     counts = {r[label]: r["n"] for r in per_class}
-    bins = split_bins(groups, features)
-    parts = max(1, -(-groups.count() // GROUPS_PER_TASK))
+    if not counts or any(c is None or c < 0 or c != int(c) for c in counts):
+        raise ValueError(f"{label} must hold classes numbered from 0, it has {sorted(counts, key=str)[:10]}")
+    held = sum(r["groups"] for r in per_class)
+    parts = max(1, -(-held // GROUPS_PER_TASK))
     keys = [*features, label]
     laid = groups.repartition(parts, *keys).sortWithinPartitions(*keys)
     drawn = balanced_weights(with_draws(laid, trees, seed), label, out="w1", counts=counts)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    rows = assembler.transform(drawn).select("features", label, "w1", "draws").cache()
     seeds = [random.Random(seed * 1_000_003 + i).getrandbits(31) for i in range(trees)]
+    if held <= FO.GROUPS_IN_TASK:
+        like, classes = tree_model(label, "weight", max_depth, seeds[0], max(32, held)), int(max(counts)) + 1
+        grown = FO.grown_forest(drawn, features, label, classes, seeds, max_depth, like)
+        return PipelineModel(stages=[assembler, grown.model()]) if in_driver else grown
+    bins = split_bins(groups, features)
+    rows = assembler.transform(drawn).select("features", label, "w1", "draws").cache()
 
     def fit_tree(i: int):
         own = rows.withColumn("weight", F.get("draws", F.lit(i)) * F.col("w1")).filter("weight > 0")
@@ -322,9 +336,12 @@ def join_forests(spark: SparkSession,
     return model
 
 
-def score(model: PipelineModel, df: DataFrame, id_col: str = "encounter_id",
-          label: str = LABEL_COLUMN) -> DataFrame:
-    """J-7: (id, label, score) with score = probability of the positive class."""
+def score(model: PipelineModel | FO.GrownForest, df: DataFrame, id_col: str = "encounter_id",
+          label: str = LABEL_COLUMN, rows: int | None = None) -> DataFrame:
+    """J-7: (id, label, score) with score = probability of the positive class. ``rows`` says
+    how many there are, if that is known: a forest's table goes to as few tasks as hold them."""
+    if isinstance(model, FO.GrownForest):
+        return FO.scores(model, df, id_col, label, None if rows is None else max(1, -(-rows // FO.ROWS_PER_TASK)))
     return model.transform(df).select(
         F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"),
         vector_to_array("probability")[1].alias("score"))
@@ -408,9 +425,10 @@ def cross_validate(frame: DataFrame, k: int = CV_FOLDS, features: Sequence[str]
                    parallelism: int = 4) -> DataFrame:
     """J-19: stratified k-fold ROC-AUC for both models, weights refit per fold.
 
-    The fold-assigned frame is written once to the shared checkpoint folder
-    (``materialize``); all fits read its cube (``fold_cube``). Scores are written as soon as
-    a model is there, so no more than ``parallelism`` models are held.
+    All fits read the cube of the fold-assigned frame (``fold_cube``), which is written once to the
+    shared checkpoint folder. Held-out rows of equal features have one score: a model scores the
+    fold's part of the cube, and the score counts as often as there are rows. Scores are
+    written as soon as a model is there; a forest stays a table (``forest.GrownForest``).
     Up to ``parallelism`` fits are submitted at once (each fit is itself a
     series of distributed jobs), as Spark's CrossValidator does. All held-out scores are
     written and ranked together (``ranking_metrics_by_key``).
@@ -418,18 +436,19 @@ def cross_validate(frame: DataFrame, k: int = CV_FOLDS, features: Sequence[str]
     """
     rows = materialize(frame)
     parts = stratified_folds(rows.select(id_col, label), label, id_col, k).select(id_col, "fold")
-    folds = materialize(fixed_layout(rows.join(parts, id_col), id_col))
-    cube = fold_cube(folds, features, label)
+    cube = fold_cube(rows.join(parts, id_col), features, label)
     statistics = cube_statistics(cube, features, label)
+    held = {r["fold"]: r["count"] for r in cube.groupBy("fold").count().collect()}
     fitters = {"Random Forest": lambda f: fit_forest_groups(
                    cube.filter(F.col("fold") != f).groupBy(*features, label).agg(F.sum("n").alias("n")),
-                   features, label, trees, max_depth),
+                   features, label, trees, max_depth, in_driver=False),
                "Logistic Regression": lambda f: fit_logistic_fold(cube, f, *statistics[f], label)}
 
     def run(task: tuple[str, int]) -> DataFrame:
         name, f = task
-        return materialize(score(fitters[name](f), folds.filter(F.col("fold") == f), id_col, label).select(
-            F.lit(name).alias("model"), F.lit(f).cast("int").alias("fold"), "label", "score"))
+        # in place of an id, the number of rows that a row of the cube stands for
+        return materialize(score(fitters[name](f), cube.filter(F.col("fold") == f), "n", label, held[f]).select(
+            F.lit(name).alias("model"), F.lit(f).cast("int").alias("fold"), "label", "score", F.col("id").alias("n")))
 
     # the long fits first
     tasks = [(name, f) for name in fitters for f in statistics]
@@ -438,4 +457,4 @@ def cross_validate(frame: DataFrame, k: int = CV_FOLDS, features: Sequence[str]
     everything = scored[0]
     for s in scored[1:]:
         everything = everything.unionByName(s)
-    return ranking_metrics_by_key(everything, ["model", "fold"]).select("model", "fold", "roc_auc")
+    return ranking_metrics_by_key(everything, ["model", "fold"], weight="n").select("model", "fold", "roc_auc")
